@@ -217,3 +217,29 @@ def with_blocks(*needed: str, extra: list[str] | None = None) -> str:
         visit(name)
     parts = [BLOCKS[n][0] for n in order] + list(extra or [])
     return "WITH " + ",\n".join(parts) + "\n"
+
+# --- splits, strata, encodings ---------------------------------------------
+HOLDOUT = f"""holdout AS (
+SELECT f.*, ({key_hash('f.id')} % 1000) < 100 AS is_holdout FROM features f)"""
+
+STRATA = """strata AS (
+SELECT f.*, CAST(len(list_filter(list_distinct(e.qs), lambda x: x > e.mn AND x < f.price)) AS INTEGER) AS stratum
+FROM features f CROSS JOIN (
+  SELECT min(price) AS mn, quantile_cont(price, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS qs FROM features) e)"""
+
+SPLIT = f"""split AS (
+SELECT s.* EXCLUDE (rk, sz), rk <= round(0.2 * sz) AS is_test FROM (
+  SELECT st.*, row_number() OVER (PARTITION BY stratum ORDER BY {key_hash('st.id')}, st.id) AS rk,
+         count(*) OVER (PARTITION BY stratum) AS sz
+  FROM strata st) s)"""
+
+TRAIN = """train AS (SELECT * FROM split WHERE NOT is_test)"""
+TEST = """test AS (SELECT * FROM split WHERE is_test)"""
+
+BLOCKS.update({
+    "holdout": (HOLDOUT, ("features",)),
+    "strata": (STRATA, ("features",)),
+    "split": (SPLIT, ("strata",)),
+    "train": (TRAIN, ("split",)),
+    "test": (TEST, ("split",)),
+})

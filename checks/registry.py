@@ -351,3 +351,254 @@ def p24_log_transforms(spark, sf):
     return f.select("id", r6(F.log("price")).alias("log_price"), r6(F.log1p("price")).alias("log1p_price"),
                     r6(F.exp(F.log("price"))).alias("price_from_log"),
                     r6(F.expm1(F.log1p("price"))).alias("price_from_log1p"))
+
+
+# --------------------------------------------------------------------------- folds, splits, bins
+from rentalytics.functions import key_hash  # noqa: E402
+from rentalytics.operators import encoding as EN  # noqa: E402
+from rentalytics.operators import folds as FO  # noqa: E402
+from rentalytics.operators import metrics as ME  # noqa: E402
+from rentalytics.operators import profile as PR  # noqa: E402
+from rentalytics.operators.stats import attach, fill_from_stats, median_col  # noqa: E402
+
+
+def _folds(spark, sf) -> DataFrame:
+    return FO.assign_folds(bench(spark, sf).features, k=5, seed=42)
+
+
+def _split(spark, sf) -> DataFrame:
+    strata = FO.quantile_bins(bench(spark, sf).features, "price", 10)
+    return FO.stratified_holdout(strata, "stratum", 0.2, seed=42)
+
+
+@register("t1_kfold_assignment", O.with_blocks("folds") + "SELECT id, CAST(fold AS INTEGER) AS fold FROM folds")
+def t1_kfold_assignment(spark, sf):
+    return _folds(spark, sf).select("id", "fold")
+
+
+@register("t2_random_holdout", O.with_blocks("holdout") + "SELECT id, is_holdout FROM holdout")
+def t2_random_holdout(spark, sf):
+    return FO.holdout_flag(bench(spark, sf).features, 0.1, seed=42).select("id", "is_holdout")
+
+
+@register("a13_price_p90", O.with_blocks("features") + "SELECT quantile_cont(price, 0.9) AS q FROM features")
+def a13_price_p90(spark, sf):
+    return FO.quantile(bench(spark, sf).features, "price", 0.9)
+
+
+@register("a14_price_deciles", O.with_blocks("strata") + "SELECT id, price, stratum FROM strata")
+def a14_price_deciles(spark, sf):
+    return FO.quantile_bins(bench(spark, sf).features, "price", 10).select("id", "price", "stratum")
+
+
+@register("t3_stratified_split", O.with_blocks("split") + "SELECT id, stratum, is_test FROM split")
+def t3_stratified_split(spark, sf):
+    return _split(spark, sf).select("id", "stratum", "is_test")
+
+
+@register("t4_oof_target_encoding",
+          O.with_blocks("oof_te") +
+          "SELECT id, CAST(fold AS INTEGER) AS fold, round(neighbourhood_te, 6) AS neighbourhood_te FROM oof_te")
+def t4_oof_target_encoding(spark, sf):
+    te = EN.oof_target_encoding(_folds(spark, sf), "neighbourhood_cleansed", "price", "fold", out="neighbourhood_te")
+    return te.select("id", "fold", r6("neighbourhood_te").alias("neighbourhood_te"))
+
+
+_FULL_TE_SQL = (O.with_blocks("features") +
+                "SELECT f.id, round(coalesce(m.te, g.gm), 6) AS neighbourhood_te FROM features f "
+                "LEFT JOIN (SELECT neighbourhood_cleansed, avg(price) AS te FROM features "
+                "           WHERE neighbourhood_cleansed IS NOT NULL GROUP BY 1) m "
+                "  ON m.neighbourhood_cleansed = f.neighbourhood_cleansed "
+                "CROSS JOIN (SELECT avg(price) AS gm FROM features) g")
+
+
+@register("t5_full_target_encoding", _FULL_TE_SQL)
+def t5_full_target_encoding(spark, sf):
+    f = bench(spark, sf).features
+    mapping, mean = EN.fit_target_encoding(f, "neighbourhood_cleansed", "price")
+    te = EN.apply_target_encoding(f, "neighbourhood_cleansed", mapping, mean, out="neighbourhood_te")
+    return te.select("id", r6("neighbourhood_te").alias("neighbourhood_te"))
+
+
+@register("a4_category_mean",
+          O.with_blocks("features") +
+          "SELECT neighbourhood_cleansed, round(avg(price), 6) AS te, count(price) AS n FROM features "
+          "WHERE neighbourhood_cleansed IS NOT NULL GROUP BY 1")
+def a4_category_mean(spark, sf):
+    m = EN.category_means(bench(spark, sf).features, "neighbourhood_cleansed", "price")
+    return m.select("neighbourhood_cleansed", r6("te").alias("te"), "n")
+
+
+@register("a5_global_mean", O.with_blocks("features") + "SELECT round(avg(price), 6) AS global_mean FROM features")
+def a5_global_mean(spark, sf):
+    return EN.global_mean(bench(spark, sf).features, "price").select(r6("global_mean").alias("global_mean"))
+
+
+@register("t7_one_hot_alphabetical",
+          O.with_blocks("holdout") +
+          "SELECT h.id, h.property_type, CAST(s.slot AS INTEGER) AS hot_index FROM holdout h LEFT JOIN ("
+          "  SELECT property_type, row_number() OVER (ORDER BY property_type) - 1 AS slot FROM ("
+          "    SELECT DISTINCT property_type FROM holdout WHERE NOT is_holdout AND property_type IS NOT NULL)) s "
+          "ON s.property_type = h.property_type")
+def t7_one_hot_alphabetical(spark, sf):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+    from pyspark.ml.functions import vector_to_array
+
+    df = FO.holdout_flag(bench(spark, sf).features, 0.1, seed=42)
+    pipe = Pipeline(stages=[
+        StringIndexer(inputCol="property_type", outputCol="__idx", handleInvalid="keep",
+                      stringOrderType="alphabetAsc"),
+        OneHotEncoder(inputCol="__idx", outputCol="__vec", dropLast=True)])
+    model = pipe.fit(df.where(~F.col("is_holdout")))
+    out = model.transform(df)
+    pos = F.array_position(vector_to_array("__vec"), 1.0).cast("int") - 1
+    return out.select("id", "property_type", F.when(pos >= 0, pos).alias("hot_index"))
+
+
+@register("t8_infrequent_bucket",
+          O.with_blocks("train", "split") +
+          "SELECT s.id, s.property_type, CASE WHEN fr.frequent AND s.property_type IS NOT NULL THEN s.property_type "
+          "  WHEN hr.has_rare = 1 THEN 'infrequent' END AS property_type_bucket "
+          "FROM split s LEFT JOIN (SELECT property_type, count(*) >= CAST(0.01 AS DOUBLE) * (SELECT count(*) FROM train) "
+          "  AS frequent FROM train WHERE property_type IS NOT NULL GROUP BY 1) fr ON fr.property_type = s.property_type "
+          "CROSS JOIN (SELECT max(CASE WHEN NOT frequent THEN 1 ELSE 0 END) AS has_rare FROM ("
+          "  SELECT property_type, count(*) >= CAST(0.01 AS DOUBLE) * (SELECT count(*) FROM train) AS frequent "
+          "  FROM train WHERE property_type IS NOT NULL GROUP BY 1)) hr")
+def t8_infrequent_bucket(spark, sf):
+    split = _split(spark, sf)
+    freq = EN.frequent_categories(split.where(~F.col("is_test")), "property_type", 0.01)
+    out = EN.bucket_infrequent(split, freq, "property_type", out="property_type_bucket")
+    return out.select("id", "property_type", "property_type_bucket")
+
+
+_F5_COLS = ["latitude", "n_reviews", "dist_to_center_km"]
+
+
+@register("f5_median_imputer_train_to_test",
+          O.with_blocks("train", "test") +
+          "SELECT t.id, " + ", ".join(f"round(coalesce(CAST(t.{c} AS DOUBLE), m.{c}), 6) AS {c}" for c in _F5_COLS) +
+          " FROM test t CROSS JOIN (SELECT " + ", ".join(f"median({c}) AS {c}" for c in _F5_COLS) + " FROM train) m")
+def f5_median_imputer_train_to_test(spark, sf):
+    split = _split(spark, sf)
+    train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
+    stats = train.agg(*[median_col(c).alias(f"__m_{c}") for c in _F5_COLS])
+    out = attach(test, stats)
+    return out.select("id", *[r6(F.coalesce(F.col(c).cast("double"), F.col(f"__m_{c}"))).alias(c) for c in _F5_COLS])
+
+
+@register("f6_mode_imputer",
+          O.with_blocks("train") +
+          "SELECT 'property_type' AS column_name, (SELECT property_type FROM train WHERE property_type IS NOT NULL "
+          "  GROUP BY 1 ORDER BY count(*) DESC, property_type LIMIT 1) AS mode_value "
+          "UNION ALL SELECT 'room_type', (SELECT room_type FROM train WHERE room_type IS NOT NULL "
+          "  GROUP BY 1 ORDER BY count(*) DESC, room_type LIMIT 1)")
+def f6_mode_imputer(spark, sf):
+    train = _split(spark, sf).where(~F.col("is_test"))
+    wide = train.agg(*[F.mode(c, deterministic=True).alias(c) for c in ("property_type", "room_type")])
+    return wide.selectExpr("stack(2, 'property_type', property_type, 'room_type', room_type) "
+                           "AS (column_name, mode_value)")
+
+
+# --------------------------------------------------------------------------- metrics
+def _oof(spark, sf) -> DataFrame:
+    return EN.oof_target_encoding(_folds(spark, sf), "neighbourhood_cleansed", "price", "fold",
+                                  out="neighbourhood_te")
+
+
+@register("m7_mae_rmse",
+          O.with_blocks("oof_te") +
+          "SELECT round(avg(abs(neighbourhood_te - price)), 6) AS mae, "
+          "round(sqrt(avg((neighbourhood_te - price) * (neighbourhood_te - price))), 6) AS rmse, count(*) AS n "
+          "FROM oof_te")
+def m7_mae_rmse(spark, sf):
+    m = ME.error_metrics(_oof(spark, sf), "price", "neighbourhood_te")
+    return m.select(r6("mae").alias("mae"), r6("rmse").alias("rmse"), "n")
+
+
+@register("a15_fold_summary",
+          O.with_blocks("oof_te") +
+          "SELECT round(avg(mae), 6) AS mae_mean, round(stddev_pop(mae), 6) AS mae_std, round(avg(rmse), 6) AS rmse_mean, "
+          "round(stddev_pop(rmse), 6) AS rmse_std, count(*) AS folds FROM ("
+          "  SELECT fold, avg(abs(neighbourhood_te - price)) AS mae, "
+          "  sqrt(avg((neighbourhood_te - price) * (neighbourhood_te - price))) AS rmse FROM oof_te GROUP BY fold)")
+def a15_fold_summary(spark, sf):
+    per_fold = ME.error_metrics(_oof(spark, sf), "price", "neighbourhood_te", by=["fold"])
+    s = ME.fold_summary(per_fold)
+    return s.select(*[r6(c).alias(c) for c in ("mae_mean", "mae_std", "rmse_mean", "rmse_std")], "folds")
+
+
+@register("m8_tail_metrics",
+          O.with_blocks("oof_te", "test") +
+          "SELECT round(max(p), 6) AS p_tail, round(avg(e), 6) AS mae_overall, "
+          "round(avg(CASE WHEN price >= p THEN e END), 6) AS mae_tail, "
+          "round(avg(CASE WHEN price < p THEN e END), 6) AS mae_body FROM ("
+          "  SELECT t.price, abs(o.neighbourhood_te - t.price) AS e, q.p FROM test t JOIN oof_te o ON o.id = t.id "
+          "  CROSS JOIN (SELECT quantile_cont(price, 0.9) AS p FROM test) q)")
+def m8_tail_metrics(spark, sf):
+    test = _split(spark, sf).where(F.col("is_test")).select("id")
+    scored = _oof(spark, sf).join(test, "id")
+    m = ME.tail_metrics(scored, "price", "neighbourhood_te", 0.9)
+    return m.select(*[r6(c).alias(c) for c in ("p_tail", "mae_overall", "mae_tail", "mae_body")])
+
+
+@register("m9_median_baseline",
+          O.with_blocks("train", "test") +
+          "SELECT round(m.med, 6) AS train_median, round(avg(abs(t.price - m.med)), 6) AS baseline_mae "
+          "FROM test t CROSS JOIN (SELECT median(price) AS med FROM train) m GROUP BY m.med")
+def m9_median_baseline(spark, sf):
+    split = _split(spark, sf)
+    m = ME.median_baseline(split.where(~F.col("is_test")), split.where(F.col("is_test")), "price")
+    return m.select(r6("train_median").alias("train_median"), r6("baseline_mae").alias("baseline_mae"))
+
+
+# --------------------------------------------------------------------------- audits, profiles
+@register("a6_raw_row_counts",
+          O.with_blocks("raw_listings", "raw_reviews") +
+          "SELECT 'listings' AS table_name, count(*) AS n FROM raw_listings "
+          "UNION ALL SELECT 'reviews', count(*) FROM raw_reviews")
+def a6_raw_row_counts(spark, sf):
+    b = bench(spark, sf)
+    return PR.row_counts({"listings": b.raw_listings, "reviews": b.raw_reviews})
+
+
+@register("a7_clean_audit",
+          O.with_blocks("clean", "reviews_clean", "summary") +
+          "SELECT 'listings_features' AS table_name, CAST(34 AS BIGINT) AS n_cols, count(*) AS n_rows, "
+          "min(price) AS min_price, max(price) AS max_price FROM clean "
+          "UNION ALL SELECT 'reviews', 6, count(*), NULL, NULL FROM reviews_clean "
+          "UNION ALL SELECT 'reviews_summary', 6, count(*), NULL, NULL FROM summary")
+def a7_clean_audit(spark, sf):
+    b = bench(spark, sf)
+    return PR.clean_audit({"listings_features": b.listings, "reviews": b.reviews, "reviews_summary": b.summary})
+
+
+@register("a9_category_options",
+          O.with_blocks("features") +
+          "SELECT DISTINCT CAST(neighbourhood_cleansed AS STRING) AS option FROM features "
+          "WHERE neighbourhood_cleansed IS NOT NULL")
+def a9_category_options(spark, sf):
+    return PR.category_options(bench(spark, sf).features, "neighbourhood_cleansed")
+
+
+_BOUND_COLS = ["accommodates", "bedrooms", "beds", "bathrooms", "avg_comment_length", "days_since_last_review"]
+
+
+@register("a10_numeric_bounds",
+          O.with_blocks("features") + " UNION ALL ".join(
+              f"SELECT '{c}' AS column_name, round(min(CAST({c} AS DOUBLE)), 6) AS min_value, "
+              f"round(max(CAST({c} AS DOUBLE)), 6) AS max_value, round(median(CAST({c} AS DOUBLE)), 6) AS median_value "
+              f"FROM features" for c in _BOUND_COLS))
+def a10_numeric_bounds(spark, sf):
+    b = PR.numeric_bounds(bench(spark, sf).features, _BOUND_COLS)
+    return b.select("column_name", *[r6(c).alias(c) for c in ("min_value", "max_value", "median_value")])
+
+
+@register("a11_kept_categories",
+          O.with_blocks("ptmap") +
+          "SELECT category, row_number() OVER (ORDER BY last, category) AS position FROM ("
+          "  SELECT DISTINCT property_type_slim AS category, 0 AS last FROM ptmap WHERE property_type_slim <> 'Other' "
+          "  UNION ALL SELECT 'Other', 1)")
+def a11_kept_categories(spark, sf):
+    k = PR.kept_categories(bench(spark, sf).property_map)
+    return k.select("category", F.col("position").cast("bigint").alias("position"))
