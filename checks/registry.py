@@ -602,3 +602,201 @@ def a10_numeric_bounds(spark, sf):
 def a11_kept_categories(spark, sf):
     k = PR.kept_categories(bench(spark, sf).property_map)
     return k.select("category", F.col("position").cast("bigint").alias("position"))
+
+
+# --------------------------------------------------------------------------- sources and sinks
+import os  # noqa: E402
+
+from rentalytics.config import LISTING_KEEP_COLUMNS  # noqa: E402
+from rentalytics.plans import modelling as MO  # noqa: E402
+from rentalytics.session import scratch_path  # noqa: E402
+from rentalytics.sources import io as IO  # noqa: E402
+
+
+@register("s1_csv_ingest_listings", O.with_blocks("raw_listings") + f"SELECT {_raw_sql_cols} FROM raw_listings")
+def s1_csv_ingest_listings(spark, sf):
+    """Export the raw listings as CSV (quoted, multi-line dialect) and ingest them back."""
+    path = IO.write_raw_csv(bench(spark, sf).raw_listings, scratch_path(spark, "raw_listings_csv"))
+    return IO.read_raw_listings_csv(spark, path)
+
+
+@register("s4_overwrite_table_sink",
+          O.with_blocks("clean", "flags_long") +
+          f"SELECT {_sql_fixed(CLEAN_FIXED, 'c')} FROM clean c")
+def s4_overwrite_table_sink(spark, sf):
+    """Write the clean listings twice with overwrite (drop and recreate) and read back."""
+    path = scratch_path(spark, "listings_features")
+    df = bench(spark, sf).listings
+    IO.write_table(df, path)
+    IO.write_table(df, path)
+    return _fixed(IO.read_table(spark, path), CLEAN_FIXED)
+
+
+@register("s5_feature_cache", O.with_blocks("features") + f"SELECT {_sql_fixed(FEATURE_FIXED)} FROM features")
+def s5_feature_cache(spark, sf):
+    """Read-through cache: first call builds and writes, the second reads the cache."""
+    path = scratch_path(spark, "feature_cache")
+    b = bench(spark, sf)
+    IO.cached_table(spark, path, lambda: b.features)
+    cached = IO.cached_table(spark, path, lambda: (_ for _ in ()).throw(RuntimeError("cache missed")))
+    return _fixed(cached, FEATURE_FIXED)
+
+
+@register("s6_property_map_json_lookup",
+          O.with_blocks("clean") + "SELECT id, property_type, property_type_slim FROM clean")
+def s6_property_map_json_lookup(spark, sf):
+    """Persist the A12 map as a JSON document, load it back and apply it (P11 via J3)."""
+    b = bench(spark, sf)
+    path = IO.write_property_map(b.property_map, scratch_path(spark, "property_type_map"))
+    loaded = IO.read_property_map(spark, path)
+    return L.add_property_type_slim(b.filtered, loaded).select("id", "property_type", "property_type_slim")
+
+
+@register("s11_target_encoding_table", _FULL_TE_SQL)
+def s11_target_encoding_table(spark, sf):
+    """Persist (category, te) + global mean, reload, apply at scoring time (T6)."""
+    f = bench(spark, sf).features
+    mapping, mean = EN.fit_target_encoding(f, "neighbourhood_cleansed", "price")
+    path = IO.write_target_encoding(mapping, mean, scratch_path(spark, "neighbourhood_te"))
+    m2, g2 = IO.read_target_encoding(spark, path)
+    te = EN.apply_target_encoding(f.select("id", "neighbourhood_cleansed"), "neighbourhood_cleansed", m2, g2,
+                                  out="neighbourhood_te")
+    return te.select("id", r6("neighbourhood_te").alias("neighbourhood_te"))
+
+
+@register("p20_review_column_coercion",
+          O.with_blocks("features") + "SELECT id, review_scores_rating, reviews_per_month, days_since_last_review "
+          "FROM features")
+def p20_review_column_coercion(spark, sf):
+    """Review columns arriving as text are coerced before the fills."""
+    b = bench(spark, sf)
+    joined = FT.join_reviews(b.listings, b.summary)
+    as_text = joined.select(*[F.col(c).cast("string").alias(c)
+                              if c in ("review_scores_rating", "reviews_per_month", "days_since_last_review")
+                              else F.col(c) for c in joined.columns])
+    out = FT.add_review_features(as_text)
+    return out.select("id", "review_scores_rating", "reviews_per_month",
+                      F.col("days_since_last_review").cast("bigint").alias("days_since_last_review"))
+
+
+_MATRIX_FIXED = [c for c in FEATURE_FIXED if c not in ("price", "id", "first_review", "last_review", "property_type")]
+
+
+@register("p29_model_matrix", O.with_blocks("features") + f"SELECT {_sql_fixed(_MATRIX_FIXED)} FROM features")
+def p29_model_matrix(spark, sf):
+    m = FT.model_matrix(bench(spark, sf).features)
+    return _fixed(m, [c for c in _MATRIX_FIXED if c in m.columns])
+
+
+_ALIGN = [("neighbourhood_cleansed", "string"), ("accommodates", "bigint"), ("bedrooms", "double"),
+          ("beds", "double"), ("bathrooms", "double"), ("avg_comment_length", "double"),
+          ("days_since_last_review", "bigint"), ("neighbourhood_te", "double")]
+
+
+@register("p30_align_features",
+          O.with_blocks("features") +
+          "SELECT neighbourhood_cleansed, accommodates, bedrooms, beds, bathrooms, "
+          "round(avg_comment_length, 6) AS avg_comment_length, days_since_last_review, "
+          "CAST(NULL AS DOUBLE) AS neighbourhood_te FROM features")
+def p30_align_features(spark, sf):
+    """A scoring frame with text numbers, extra columns and a missing one -> the model's columns."""
+    f = bench(spark, sf).features
+    raw = f.select("neighbourhood_cleansed", "property_type_slim", "room_type",
+                   F.col("accommodates").cast("string").alias("accommodates"),
+                   "bedrooms", "beds", "bathrooms", "avg_comment_length",
+                   F.col("days_since_last_review").cast("string").alias("days_since_last_review"))
+    out = MO.align_features(raw, _ALIGN)
+    return out.withColumn("avg_comment_length", r6("avg_comment_length"))
+
+
+@register("a8_catalog_listing")
+def a8_catalog_listing(spark, sf):
+    """Register the clean tables as views and list them with their column counts."""
+    b = bench(spark, sf)
+    for name, df in {"listings_features": b.listings, "reviews": b.reviews, "reviews_summary": b.summary}.items():
+        df.createOrReplaceTempView(name)
+    counts = PR.row_counts({"listings_features": b.listings, "reviews": b.reviews, "reviews_summary": b.summary})
+    listing = PR.catalog_listing(spark).where(F.col("table_name").isin(
+        "listings_features", "reviews", "reviews_summary"))
+    return listing.join(counts, "table_name")
+
+
+# --------------------------------------------------------------------------- models (rows-only checks)
+SMOKE_TREES = MO.BoostSettings(max_iter=10, max_depth=4, step_size=0.1)
+
+
+@register("m1_gbt_log_target_predictions")
+def m1_gbt_log_target_predictions(spark, sf):
+    """M1-M3: preprocessing + GBT on log1p(price) + inverse transform, fit on the
+    training split and scored on the test split (price-scale predictions)."""
+    split = _split(spark, sf)
+    df = MO.with_label(EN.oof_target_encoding(FO.assign_folds(split), "neighbourhood_cleansed", "price",
+                                              out="neighbourhood_te"), "price", "log1p")
+    numeric, categorical = MO.te_model_columns(df)
+    model = MO.build_pipeline(numeric, categorical, SMOKE_TREES, "log1p", mode_fill=True).fit(
+        df.where(~F.col("is_test")))
+    return model.transform(df.where(F.col("is_test"))).select("id", "price", MO.PREDICTION)
+
+
+@register("m4_cross_validation")
+def m4_cross_validation(spark, sf):
+    per_fold, summary = MO.te_cross_validation(bench(spark, sf).features, SMOKE_TREES, k=5, parallelism=3)
+    return per_fold.crossJoin(summary)
+
+
+@register("m5_final_te_model")
+def m5_final_te_model(spark, sf):
+    """Final target-encoded model, saved with metadata and encoding table (S8, S9,
+    S11); returns the stored metadata record read back from JSON."""
+    path = scratch_path(spark, "te_model")
+    MO.train_te_model(bench(spark, sf).features, SMOKE_TREES, model_dir=path)
+    return spark.read.json(os.path.join(path, "metadata"))
+
+
+@register("m6_random_search")
+def m6_random_search(spark, sf):
+    """Random search over the reference grid with key-hash folds; smoke budget:
+    2 draws, 10 trees each.  Returns one row per draw with its CV MAE."""
+    b = bench(spark, sf)
+    j2 = FT.join_reviews(b.listings, b.summary, keep_listing_id=False)
+    split = FO.stratified_holdout(FO.quantile_bins(j2, "price", 10), "stratum", 0.2)
+    train = FO.assign_folds(split.where(~F.col("is_test")), 5, 42)
+    draws = MO.sample_search_space(2, 42)
+    _, _, metrics = MO.random_search(train, draws, k=5, base=SMOKE_TREES, parallelism=4, max_trees=10)
+    rows = [(i, str(d), float(m)) for i, (d, m) in enumerate(zip(draws, metrics))]
+    return spark.createDataFrame(rows, "draw int, params string, cv_mae double")
+
+
+@register("m10_feature_importance")
+def m10_feature_importance(spark, sf):
+    split = _split(spark, sf)
+    df = MO.with_label(split, "price", "log")
+    numeric, categorical = MO.matrix_model_columns(df)
+    model = MO.build_pipeline(numeric, categorical, SMOKE_TREES, "log", rare_share=0.01).fit(
+        df.where(~F.col("is_test")))
+    scored = model.transform(df.where(F.col("is_test")))
+    return MO.feature_importances(model, scored, 10)
+
+
+@register("m11_batch_scoring")
+def m11_batch_scoring(spark, sf):
+    """Train + save the target-encoded model, then score every listing from the
+    stored model (encoding from the stored table, columns aligned)."""
+    f = bench(spark, sf).features
+    path = scratch_path(spark, "te_model_scoring")
+    MO.train_te_model(f, SMOKE_TREES, model_dir=path)
+    return MO.score(f.drop("neighbourhood_te"), path).select("id", MO.PREDICTION)
+
+
+@register("m12_early_stopping")
+def m12_early_stopping(spark, sf):
+    """GBT with a validation indicator column (hash holdout) and tolerance."""
+    f = FO.holdout_flag(bench(spark, sf).features, 0.1, flag_col="is_validation")
+    df = MO.with_label(f.withColumn("neighbourhood_te", F.lit(0.0)), "price", "log1p")
+    numeric, categorical = MO.te_model_columns(df)
+    settings = MO.BoostSettings(max_iter=50, max_depth=4, step_size=0.1, validation_col="is_validation",
+                                validation_tol=0.01)
+    model = MO.build_pipeline(numeric, categorical, settings, "log1p", mode_fill=True).fit(df)
+    trees = model.stages[-2].getNumTrees
+    return model.transform(df.where(F.col("is_validation"))).select(
+        "id", MO.PREDICTION, F.lit(trees).alias("trees_used"))
