@@ -265,8 +265,8 @@ def j2_join_selected_columns(spark, sf):
     return _fixed(joined, [c for c in joined.columns if c in _J2_COLS])
 
 
-@register("s5_feature_table", O.with_blocks("features") + f"SELECT {_sql_fixed(FEATURE_FIXED)} FROM features")
-def s5_feature_table(spark, sf):
+@register("p23_feature_table_nan_free", O.with_blocks("features") + f"SELECT {_sql_fixed(FEATURE_FIXED)} FROM features")
+def p23_feature_table_nan_free(spark, sf):
     return _fixed(bench(spark, sf).features, FEATURE_FIXED)
 
 

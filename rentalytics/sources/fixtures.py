@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..config import RAW_LISTING_COLUMNS
 from ..operators.broadcast import broadcast_if_small
+from ..operators.partitioning import spread_small_scan
 
 # Part and document rows used by the binding: key = o_orderkey % 200, l_partkey % 200.
 LOOKUP_MODULUS = 200
@@ -35,7 +36,8 @@ def _s(c) -> F.Column:
 def raw_listings(spark: SparkSession, sf_dir: str, all_columns: bool = True) -> DataFrame:
     """The raw listings table (all text).  ``all_columns`` adds the 56 columns
     the cleaning never reads, as NULL text."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+    o = spread_small_scan(
+        table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"))
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     p = (table(spark, sf_dir, "part").select("p_partkey", "p_name")
@@ -89,7 +91,8 @@ def raw_listings(spark: SparkSession, sf_dir: str, all_columns: bool = True) ->
 
 def raw_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw reviews table (all text); comments are document texts."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate")
+    li = spread_small_scan(
+        table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate"))
     d = (table(spark, sf_dir, "documents").select("doc_id", "text")
          .where((F.col("doc_id") > -LOOKUP_MODULUS) & (F.col("doc_id") < LOOKUP_MODULUS)))
     j = li.join(broadcast_if_small(d, LOOKUP_MAX_ROWS), F.col("doc_id") == F.col("l_partkey") % LOOKUP_MODULUS)
