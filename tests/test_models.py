@@ -38,3 +38,22 @@ def test_cross_validation_five_folds(spark):
     per_fold, summary = MO.te_cross_validation(bench(spark, SMOKE_DIR).features, SMALL, k=5)
     assert per_fold.count() == 5
     assert summary.first().folds == 5
+
+
+def test_scoring_stream_drains_all_files(spark):
+    import os
+
+    from rentalytics.streaming.scoring import start_scoring_stream
+
+    f = bench(spark, SMOKE_DIR).features.drop("neighbourhood_te")
+    model_dir = scratch_path(spark, "stream_model")
+    MO.train_te_model(bench(spark, SMOKE_DIR).features, SMALL, model_dir=model_dir)
+    src = scratch_path(spark, "stream_src")
+    f.repartition(3).write.parquet(src)
+    sink, ckpt = scratch_path(spark, "stream_sink"), scratch_path(spark, "stream_ckpt")
+    q = start_scoring_stream(spark, src, f.schema, model_dir, sink, ckpt, max_files_per_trigger=1,
+                             available_now=True)
+    q.awaitTermination(300)
+    out = spark.read.parquet(sink)
+    assert out.count() == f.count()
+    assert out.select("id").distinct().count() == f.count()
