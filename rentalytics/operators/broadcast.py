@@ -1,27 +1,41 @@
 """Broadcast joins behind a size check.
 
-A side is broadcast only when its row count was measured to be under a
-bound; beyond it the join stays a shuffle join (AQE may still convert it at
-run time from real shuffle statistics).
+A side is broadcast only when its row count and byte size were measured to
+be under bounds; beyond them the join stays a shuffle join (AQE may still
+convert it at run time from real shuffle statistics).
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
-# Lookup tables up to this many rows are broadcast.
+# Lookup sides are broadcast up to this many rows and this many bytes.
 DEFAULT_MAX_ROWS = 200_000
+DEFAULT_MAX_BYTES = 64 * 1024 * 1024
+FIXED_WIDTH_BYTES = 8
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` if ``df`` has at most ``max_rows`` rows, else ``df``.
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS,
+                       max_bytes: int = DEFAULT_MAX_BYTES) -> DataFrame:
+    """``broadcast(df)`` if ``df`` measures at most ``max_rows`` rows and
+    ``max_bytes`` bytes (text/binary byte lengths plus 8 bytes per other
+    value), else ``df`` for a shuffle join.
 
-    ``df`` should be a cheap, filtered lookup: the check runs one count job
-    (``limit(max_rows + 1)`` keeps it short when the side is large).
+    The side is persisted (memory, spilling to disk) before it is measured,
+    so the join reads the rows the check already computed instead of
+    computing an aggregated side twice; a lost block is recomputed from
+    lineage.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    var = [f.name for f in df.schema.fields if isinstance(f.dataType, (StringType, BinaryType))]
+    fixed = len(df.columns) - len(var)
+    var_bytes = sum((F.coalesce(F.octet_length(F.col(c)), F.lit(0)).cast("long") for c in var), F.lit(0))
+    row = kept.agg(F.count(F.lit(1)).alias("n"), F.sum(var_bytes).alias("b")).first()
+    n, size = row["n"], (row["b"] or 0) + row["n"] * fixed * FIXED_WIDTH_BYTES
+    return F.broadcast(kept) if n <= max_rows and size <= max_bytes else kept
 
 
 def one_row(df: DataFrame) -> DataFrame:

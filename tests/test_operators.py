@@ -128,3 +128,15 @@ def test_property_map_threshold(spark):
 def test_top_amenities_ties_by_name(spark):
     df = spark.createDataFrame([('["b", "a"]',), ('["a", "c"]',), ('["c", "b"]',), ('["d"]',)], "amenities string")
     assert L.top_amenity_names(df, 2) == ["a", "b"]
+
+
+def test_broadcast_guard_rows_and_bytes(spark):
+    from rentalytics.operators.broadcast import broadcast_if_small
+
+    small = spark.createDataFrame([(i, "x" * 10) for i in range(10)], "k int, v string")
+    big_text = spark.createDataFrame([(i, "x" * 1000) for i in range(10)], "k int, v string")
+    def is_broadcast(df):
+        return "broadcast" in df._jdf.queryExecution().analyzed().toString().lower()
+    assert is_broadcast(broadcast_if_small(small, max_rows=100, max_bytes=10_000))
+    assert not is_broadcast(broadcast_if_small(small, max_rows=5))
+    assert not is_broadcast(broadcast_if_small(big_text, max_rows=100, max_bytes=5_000))
