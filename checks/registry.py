@@ -800,3 +800,54 @@ def m12_early_stopping(spark, sf):
     trees = model.stages[-2].getNumTrees
     return model.transform(df.where(F.col("is_validation"))).select(
         "id", MO.PREDICTION, F.lit(trees).alias("trees_used"))
+
+
+@register("s2_csv_ingest_reviews", O.with_blocks("raw_reviews") + f"SELECT {_review_text_sql} FROM raw_reviews")
+def s2_csv_ingest_reviews(spark, sf):
+    """Export the raw reviews (whole comment texts, quotes and line breaks
+    included) as CSV and ingest them back with the fixed text schema."""
+    path = IO.write_raw_csv(bench(spark, sf).raw_reviews, scratch_path(spark, "raw_reviews_csv"))
+    return _review_text(IO.read_raw_reviews_csv(spark, path))
+
+
+@register("s10_metrics_csv_report",
+          O.with_blocks("oof_te") +
+          "SELECT 'MAE' AS metric, round(avg(abs(neighbourhood_te - price)), 6) AS value FROM oof_te "
+          "UNION ALL SELECT 'RMSE', round(sqrt(avg((neighbourhood_te - price) * (neighbourhood_te - price))), 6) "
+          "FROM oof_te")
+def s10_metrics_csv_report(spark, sf):
+    """metric,value CSV of the out-of-fold encoding predictor, written and read back."""
+    m = ME.error_metrics(_oof(spark, sf), "price", "neighbourhood_te")
+    report = m.selectExpr("stack(2, 'MAE', round(mae, 6), 'RMSE', round(rmse, 6)) AS (metric, value)")
+    path = IO.write_csv_report(report, scratch_path(spark, "model_metrics_csv"))
+    return spark.read.schema("metric string, value double").option("header", "true").csv(path)
+
+
+@register("p25_parse_review_ids",
+          O.with_blocks("raw_reviews") +
+          f"SELECT {O.integral('listing_id')} AS listing_id, {O.integral('id')} AS id, "
+          f"{O.integral('reviewer_id')} AS reviewer_id FROM raw_reviews")
+def p25_parse_review_ids(spark, sf):
+    return R.parse_reviews(bench(spark, sf).raw_reviews).select("listing_id", "id", "reviewer_id")
+
+
+@register("p28_review_text_defaults",
+          O.with_blocks("reviews_clean") +
+          "SELECT id, reviewer_name, CAST(length(comments) AS BIGINT) AS comments_length FROM reviews_clean")
+def p28_review_text_defaults(spark, sf):
+    return bench(spark, sf).reviews.select("id", "reviewer_name",
+                                           F.length("comments").cast("bigint").alias("comments_length"))
+
+
+@register("t9_column_routing")
+def t9_column_routing(spark, sf):
+    """Numeric / categorical routing of both model families (absent and
+    all-NULL numeric columns are skipped), one row per routed column."""
+    b = bench(spark, sf)
+    te_df = EN.oof_target_encoding(FO.assign_folds(b.features), "neighbourhood_cleansed", "price",
+                                   out="neighbourhood_te")
+    te_num, te_cat = MO.te_model_columns(te_df)
+    mx_num, mx_cat = MO.matrix_model_columns(FT.join_reviews(b.listings, b.summary, keep_listing_id=False))
+    rows = ([("target_encoded", c, "numeric") for c in te_num] + [("target_encoded", c, "categorical") for c in te_cat]
+            + [("searched", c, "numeric") for c in mx_num] + [("searched", c, "categorical") for c in mx_cat])
+    return spark.createDataFrame(rows, "model string, column_name string, role string")
