@@ -359,7 +359,6 @@ from rentalytics.operators import encoding as EN  # noqa: E402
 from rentalytics.operators import folds as FO  # noqa: E402
 from rentalytics.operators import metrics as ME  # noqa: E402
 from rentalytics.operators import profile as PR  # noqa: E402
-from rentalytics.operators.stats import attach, fill_from_stats, median_col  # noqa: E402
 
 
 def _folds(spark, sf) -> DataFrame:
@@ -480,11 +479,15 @@ _F5_COLS = ["latitude", "n_reviews", "dist_to_center_km"]
           "SELECT t.id, " + ", ".join(f"round(coalesce(CAST(t.{c} AS DOUBLE), m.{c}), 6) AS {c}" for c in _F5_COLS) +
           " FROM test t CROSS JOIN (SELECT " + ", ".join(f"median({c}) AS {c}" for c in _F5_COLS) + " FROM train) m")
 def f5_median_imputer_train_to_test(spark, sf):
+    """Exact medians fitted on the training split (bounded-memory selection:
+    the columns are continuous), applied to the test split."""
+    from rentalytics.operators.stats import fill_with, median_stats
+
     split = _split(spark, sf)
     train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
-    stats = train.agg(*[median_col(c).alias(f"__m_{c}") for c in _F5_COLS])
-    out = attach(test, stats)
-    return out.select("id", *[r6(F.coalesce(F.col(c).cast("double"), F.col(f"__m_{c}"))).alias(c) for c in _F5_COLS])
+    test = test.select("id", *[F.col(c).cast("double").alias(c) for c in _F5_COLS])
+    filled = fill_with(test, median_stats(train, _F5_COLS, method="select"), _F5_COLS)
+    return filled.select("id", *[r6(c).alias(c) for c in _F5_COLS])
 
 
 @register("f6_mode_imputer",

@@ -7,8 +7,6 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .stats import median_col
-
 
 # --- A6 ---------------------------------------------------------------------
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -58,13 +56,18 @@ def category_options(df: DataFrame, column: str) -> DataFrame:
 
 # --- A10 --------------------------------------------------------------------
 def numeric_bounds(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, min, max, median) for each column, from ONE aggregate."""
+    """(column, min, max, median) per column: min/max from one aggregate,
+    exact medians from the bounded-memory selection (all columns share its
+    passes)."""
+    from .quantiles import exact_quantiles_many
+
     aggs = []
     for c in columns:
         v = F.col(c).cast("double")
-        aggs += [F.min(v).alias(f"{c}__min"), F.max(v).alias(f"{c}__max"),
-                 median_col(c).alias(f"{c}__median")]
-    wide = df.agg(*aggs)
+        aggs += [F.min(v).alias(f"{c}__min"), F.max(v).alias(f"{c}__max")]
+    medians = exact_quantiles_many(df, {c: [0.5] for c in columns})
+    wide = df.agg(*aggs).select("*", *[F.lit(medians[c][0]).cast("double").alias(f"{c}__median")
+                                       for c in columns])
     stack = ", ".join(f"'{c}', `{c}__min`, `{c}__max`, `{c}__median`" for c in columns)
     return wide.selectExpr(f"stack({len(columns)}, {stack}) AS (column_name, min_value, max_value, median_value)")
 

@@ -58,6 +58,33 @@ def fill_from_stats(df: DataFrame, exprs: Mapping[str, Column], prefix: str = "_
     return out
 
 
-def median_fill(df: DataFrame, cols: Iterable[str], approx: bool = False) -> DataFrame:
-    """Fill nulls with each column's median over ``df`` (one aggregate)."""
-    return fill_from_stats(df, {c: median_col(c, approx) for c in cols})
+def median_stats(df: DataFrame, cols: Iterable[str], method: str = "percentile",
+                 prefix: str = "__fill_") -> DataFrame:
+    """1-row frame of column medians over ``df``.
+
+    ``percentile``: one aggregate, memory bounded by distinct values (small
+    domains); ``select``: exact distributed selection with bounded memory
+    (continuous columns, see ``quantiles``); ``approx``: ``percentile_approx``.
+    """
+    cols = list(cols)
+    if method == "select":
+        from .quantiles import exact_median_row
+
+        return exact_median_row(df, cols, prefix)
+    return stats_row(df, {prefix + c: median_col(c, approx=(method == "approx")) for c in cols})
+
+
+def fill_with(df: DataFrame, stats: DataFrame, cols: Iterable[str], prefix: str = "__fill_") -> DataFrame:
+    """``coalesce(c, stats[prefix + c])`` with a 1-row stats frame fitted elsewhere
+    (e.g. on the training split and applied to the test split)."""
+    cols = set(cols)
+    out = attach(df, stats)
+    return out.select(*[
+        F.coalesce(F.col(c), F.col(prefix + c).cast(df.schema[c].dataType)).alias(c) if c in cols else F.col(c)
+        for c in df.columns])
+
+
+def median_fill(df: DataFrame, cols: Iterable[str], approx: bool = False, method: str | None = None) -> DataFrame:
+    """Fill nulls with each column's median over ``df``."""
+    cols = list(cols)
+    return fill_with(df, median_stats(df, cols, method or ("approx" if approx else "percentile")), cols)

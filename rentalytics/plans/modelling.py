@@ -39,6 +39,7 @@ from ..functions import numeric_text
 from ..operators import encoding as EN
 from ..operators import metrics as ME
 from ..operators.ml_stages import InfrequentBucketer, ModeFiller
+from ..session import cut_lineage
 from ..sources import io
 
 LABEL = "__label"
@@ -203,7 +204,8 @@ def te_cross_validation(features: DataFrame, settings: BoostSettings, k: int = 5
 
     df = assign_folds(features.where(F.col("price").isNotNull()), k, seed)
     df = EN.oof_target_encoding(df, TE_CATEGORY_COLUMN, "price", "fold", out=TE_OUTPUT_COLUMN)
-    df = with_label(df, "price", "log1p")
+    # every fold's preprocessing fits and tree passes read this once-written frame
+    df = cut_lineage(with_label(df, "price", "log1p"))
     numeric, categorical = te_model_columns(df)
     pipe = build_pipeline(numeric, categorical, settings, "log1p", mode_fill=True)
     if not nested:
@@ -225,7 +227,7 @@ def random_search(train: DataFrame, draws: list[dict], fold_col: str = "fold", k
                   parallelism: int = 4, max_trees: int | None = None):
     """CrossValidator over sampled settings with the key-hash folds; scored by
     MAE on the price scale; the best setting is refit on all of ``train``."""
-    df = with_label(train, "price", transform)
+    df = cut_lineage(with_label(train, "price", transform))
     numeric, categorical = matrix_model_columns(df)
     pipe = build_pipeline(numeric, categorical, base, transform, rare_share=rare_share)
     g = pipe.getStages()[-2]
@@ -293,7 +295,7 @@ def train_te_model(features: DataFrame, settings: BoostSettings, validation_frac
     fit_rows = df if te_scope == "all" else df.where(~F.col("__val"))
     mapping, mean = EN.fit_target_encoding(fit_rows, TE_CATEGORY_COLUMN, "price")
     df = EN.apply_target_encoding(df, TE_CATEGORY_COLUMN, mapping, mean, out=TE_OUTPUT_COLUMN)
-    df = with_label(df, "price", "log1p")
+    df = cut_lineage(with_label(df, "price", "log1p"))
     numeric, categorical = te_model_columns(df)
     model = build_pipeline(numeric, categorical, settings, "log1p", mode_fill=True).fit(df.where(~F.col("__val")))
     scored = model.transform(df.where(F.col("__val")))

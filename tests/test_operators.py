@@ -140,3 +140,28 @@ def test_broadcast_guard_rows_and_bytes(spark):
     assert is_broadcast(broadcast_if_small(small, max_rows=100, max_bytes=10_000))
     assert not is_broadcast(broadcast_if_small(small, max_rows=5))
     assert not is_broadcast(broadcast_if_small(big_text, max_rows=100, max_bytes=5_000))
+
+
+def test_exact_quantiles_equal_spark_percentile(spark):
+    import random
+
+    from rentalytics.operators.quantiles import exact_quantiles
+
+    rnd = random.Random(7)
+    vals = [rnd.gauss(100, 30) for _ in range(3000)] + [55.5] * 400 + [None] * 20
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    probs = [0.1, 0.25, 0.5, 0.9, 0.999]
+    expect = df.agg(F.percentile("x", probs).alias("p")).first().p
+    got = exact_quantiles(df, "x", probs, final_rows=50, buckets=16)   # forces several passes
+    assert got == list(expect)
+    assert exact_quantiles(df.where("x is null"), "x", [0.5]) == [None]
+
+
+def test_exact_quantiles_many_columns_share_passes(spark):
+    from rentalytics.operators.quantiles import exact_quantiles_many
+
+    rows = [(float(i % 97) * 1.5, float((i * 7919) % 1000) / 7.0 if i % 5 else None, 3.0) for i in range(2000)]
+    df = spark.createDataFrame(rows, "a double, b double, k double")
+    got = exact_quantiles_many(df, {"a": [0.5, 0.9], "b": [0.3], "k": [0.5]}, final_rows=20, buckets=8)
+    for c, ps in {"a": [0.5, 0.9], "b": [0.3], "k": [0.5]}.items():
+        assert got[c] == list(df.agg(F.percentile(c, ps).alias("p")).first().p)
