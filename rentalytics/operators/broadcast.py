@@ -25,9 +25,10 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS,
     value), else ``df`` for a shuffle join.
 
     The side is persisted (memory, spilling to disk) before it is measured,
-    so the join reads the rows the check already computed instead of
-    computing an aggregated side twice; a lost block is recomputed from
-    lineage.
+    so a broadcast reads the rows the check already computed instead of
+    computing an aggregated side twice (a lost block is recomputed from
+    lineage).  A side over the bounds is released again and joined by
+    shuffle.
     """
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
     var = [f.name for f in df.schema.fields if isinstance(f.dataType, (StringType, BinaryType))]
@@ -35,7 +36,10 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS,
     var_bytes = sum((F.coalesce(F.octet_length(F.col(c)), F.lit(0)).cast("long") for c in var), F.lit(0))
     row = kept.agg(F.count(F.lit(1)).alias("n"), F.sum(var_bytes).alias("b")).first()
     n, size = row["n"], (row["b"] or 0) + row["n"] * fixed * FIXED_WIDTH_BYTES
-    return F.broadcast(kept) if n <= max_rows and size <= max_bytes else kept
+    if n <= max_rows and size <= max_bytes:
+        return F.broadcast(kept)
+    kept.unpersist()
+    return df
 
 
 def one_row(df: DataFrame) -> DataFrame:

@@ -79,19 +79,6 @@ def apply_target_encoding(df: DataFrame, cat: str, mapping: DataFrame, mean: Dat
                          F.coalesce(F.col("__te"), F.col("__gm")).alias(out))
 
 
-# --- T7 ---------------------------------------------------------------------
-def category_slots(df: DataFrame, cat: str) -> DataFrame:
-    """(cat, slot): 0-based alphabetical position of each distinct non-null value."""
-    distinct = df.where(F.col(cat).isNotNull()).select(cat).distinct()
-    return distinct.select(cat, (F.row_number().over(Window.orderBy(cat)) - 1).alias("slot"))
-
-
-def one_hot_slot(df: DataFrame, slots: DataFrame, cat: str, out: str = "hot_index") -> DataFrame:
-    """The hot position of each row; unseen and NULL categories -> NULL (all zeros)."""
-    j = _lookup_join(df, slots.select(cat, F.col("slot").alias("__slot")), [cat])
-    return j.select(*df.columns, F.when(F.col(cat).isNotNull(), F.col("__slot")).alias(out))
-
-
 # --- T8, A12 ----------------------------------------------------------------
 def frequent_categories(df: DataFrame, cat: str, min_frequency: float) -> DataFrame:
     """(cat, n, frequent): frequent when n >= min_frequency * rows."""

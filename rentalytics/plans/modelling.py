@@ -197,20 +197,46 @@ def cross_validate(df: DataFrame, pipeline: Pipeline, fold_col: str = "fold", k:
 
 def te_cross_validation(features: DataFrame, settings: BoostSettings, k: int = 5, seed: int = 42,
                         nested: bool = False, parallelism: int = 2) -> tuple[DataFrame, DataFrame]:
-    """CV with out-of-fold neighbourhood encoding.  ``nested=False`` is the
-    reference (encoding computed once over all rows with the same folds);
-    ``nested=True`` would recompute it inside each training split."""
+    """CV with out-of-fold neighbourhood encoding.
+
+    ``nested=False`` is the reference: the encoding is computed once over all
+    rows with the same folds, so a held-out row's category mean already
+    excludes its own fold but the training rows' encodings saw it.
+    ``nested=True`` keeps every held-out fold out of the encoder: training
+    rows get an out-of-fold encoding over the remaining folds, and the
+    held-out fold gets the mapping fitted on the training rows.
+    """
     from ..operators.folds import assign_folds
 
-    df = assign_folds(features.where(F.col("price").isNotNull()), k, seed)
-    df = EN.oof_target_encoding(df, TE_CATEGORY_COLUMN, "price", "fold", out=TE_OUTPUT_COLUMN)
-    # every fold's preprocessing fits and tree passes read this once-written frame
-    df = cut_lineage(with_label(df, "price", "log1p"))
-    numeric, categorical = te_model_columns(df)
-    pipe = build_pipeline(numeric, categorical, settings, "log1p", mode_fill=True)
+    base = cut_lineage(with_label(assign_folds(features.where(F.col("price").isNotNull()), k, seed),
+                                  "price", "log1p"))
     if not nested:
+        df = EN.oof_target_encoding(base, TE_CATEGORY_COLUMN, "price", "fold", out=TE_OUTPUT_COLUMN)
+        # every fold's preprocessing fits and tree passes read this once-written frame
+        df = cut_lineage(df)
+        numeric, categorical = te_model_columns(df)
+        pipe = build_pipeline(numeric, categorical, settings, "log1p", mode_fill=True)
         return cross_validate(df, pipe, "fold", k, parallelism=parallelism)
-    raise NotImplementedError("nested encoding: fit encoding per training split")
+
+    numeric, categorical = te_model_columns(base.withColumn(TE_OUTPUT_COLUMN, F.lit(0.0)))
+    pipe = build_pipeline(numeric, categorical, settings, "log1p", mode_fill=True)
+
+    def fit_one(f: int) -> DataFrame:
+        train = base.where(F.col("fold") != f)
+        held = base.where(F.col("fold") == f)
+        train_te = EN.oof_target_encoding(train, TE_CATEGORY_COLUMN, "price", "fold", out=TE_OUTPUT_COLUMN)
+        mapping, mean = EN.fit_target_encoding(train, TE_CATEGORY_COLUMN, "price")
+        held_te = EN.apply_target_encoding(held, TE_CATEGORY_COLUMN, mapping, mean, out=TE_OUTPUT_COLUMN)
+        model = pipe.fit(cut_lineage(train_te))
+        return model.transform(held_te).select("fold", "price", PREDICTION)
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        scored = list(pool.map(fit_one, range(k)))
+    union = scored[0]
+    for part in scored[1:]:
+        union = union.unionByName(part)
+    per_fold = ME.error_metrics(union, "price", PREDICTION, by=["fold"])
+    return per_fold, ME.fold_summary(per_fold)
 
 
 # --- M6 ---------------------------------------------------------------------

@@ -57,3 +57,9 @@ def test_scoring_stream_drains_all_files(spark):
     out = spark.read.parquet(sink)
     assert out.count() == f.count()
     assert out.select("id").distinct().count() == f.count()
+
+
+def test_nested_cross_validation_runs(spark):
+    per_fold, summary = MO.te_cross_validation(bench(spark, SMOKE_DIR).features, SMALL, k=3, nested=True)
+    assert per_fold.count() == 3
+    assert summary.first().mae_mean > 0

@@ -4,7 +4,7 @@ the rest return rows with a stable schema."""
 import pytest
 
 import __spark_entry__ as E
-from checks.compare import duck, rows_of
+from checks.compare import duck, rows_of, type_diffs
 from conftest import SMOKE_DIR
 
 ML = {"m1_gbt_log_target_predictions", "m4_cross_validation", "m5_final_te_model", "m6_random_search",
@@ -18,7 +18,9 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_query_matches_oracle(spark, con, name):
-    sdf = E.queries()[name](spark, SMOKE_DIR).toPandas()
+    frame = E.queries()[name](spark, SMOKE_DIR)
+    assert type_diffs(frame.dtypes, con, E.oracle_sql()[name]) == []
+    sdf = frame.toPandas()
     odf = con.execute(E.oracle_sql()[name]).df()
     sc, sr = rows_of(sdf)
     oc, orr = rows_of(odf)
