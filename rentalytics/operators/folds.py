@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from ..functions import key_hash
 from ..functions.hashing import HASH_BITS
 from .broadcast import broadcast_if_small
-from .stats import attach, quantile_col
+from .stats import attach, quantiles_row
 
 DECILES = [i / 10 for i in range(1, 10)]
 
@@ -34,26 +34,28 @@ def holdout_flag(df: DataFrame, fraction: float, seed: int = 42, key: str = "id"
 
 
 # --- A13 --------------------------------------------------------------------
-def quantile(df: DataFrame, col: str, q: float, approx: bool = False) -> DataFrame:
+def quantile(df: DataFrame, col: str, q: float, method: str = "select") -> DataFrame:
     """1-row frame with the linearly interpolated ``q`` quantile of ``col``."""
-    return df.agg(quantile_col(col, q, approx).alias("q"))
+    return quantiles_row(df, col, [q], method).select(F.col("q")[0].alias("q"))
 
 
 # --- A14 --------------------------------------------------------------------
 def quantile_bins(df: DataFrame, col: str, q: int = 10, out: str = "stratum",
-                  approx: bool = False) -> DataFrame:
+                  method: str = "select") -> DataFrame:
     """Equal-frequency bins like ``qcut(.., q, duplicates='drop')``.
 
     Edges are the interpolated quantiles; duplicated edges and edges equal to
     the minimum are dropped; intervals are right-closed with the minimum in
-    bin 0, so a value's bin is the number of remaining edges below it.  One
-    aggregate builds the edges; the bin is a native array expression.
+    bin 0, so a value's bin is the number of remaining edges below it.  The
+    edges (and the minimum, the 0-quantile) come from one exact quantile
+    computation; the bin is a native array expression.
     """
-    probs = [i / q for i in range(1, q)]
-    stats = df.agg(F.min(col).alias("__min"), quantile_col(col, probs, approx).alias("__edges"))
+    probs = [0.0] + [i / q for i in range(1, q)]
+    stats = quantiles_row(df, col, probs, method, name="__qs")
     out_df = attach(df, stats)
     v = F.col(col)
-    edges = F.filter(F.array_distinct(F.col("__edges")), lambda e: e > F.col("__min"))
+    low = F.col("__qs")[0]
+    edges = F.filter(F.array_distinct(F.slice(F.col("__qs"), 2, q - 1)), lambda e: e > low)
     bin_ = F.size(F.filter(edges, lambda e: e < v))
     return out_df.select(*df.columns, F.when(v.isNotNull(), bin_).alias(out))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stats import attach, median_col, quantile_col
+from .stats import attach, quantiles_row
 
 
 # --- M7 ---------------------------------------------------------------------
@@ -18,9 +18,9 @@ def error_metrics(df: DataFrame, label: str, pred: str, by: list[str] | None = N
 
 
 # --- M8 ---------------------------------------------------------------------
-def tail_metrics(df: DataFrame, label: str, pred: str, q: float = 0.9) -> DataFrame:
+def tail_metrics(df: DataFrame, label: str, pred: str, q: float = 0.9, method: str = "select") -> DataFrame:
     """MAE overall, at label >= the label's q-quantile and below it."""
-    cut = df.agg(quantile_col(label, q).alias("p_tail"))
+    cut = quantiles_row(df, label, [q], method).select(F.col("q")[0].alias("p_tail"))
     err = F.abs(F.col(pred) - F.col(label))
     hi = F.col(label) >= F.col("p_tail")
     return attach(df, cut).agg(
@@ -32,9 +32,9 @@ def tail_metrics(df: DataFrame, label: str, pred: str, q: float = 0.9) -> DataFr
 
 
 # --- M9 ---------------------------------------------------------------------
-def median_baseline(train: DataFrame, test: DataFrame, label: str) -> DataFrame:
+def median_baseline(train: DataFrame, test: DataFrame, label: str, method: str = "select") -> DataFrame:
     """MAE of predicting the training median for every test row."""
-    med = train.agg(median_col(label).alias("train_median"))
+    med = quantiles_row(train, label, [0.5], method).select(F.col("q")[0].alias("train_median"))
     return attach(test, med).agg(
         F.first("train_median").alias("train_median"),
         F.avg(F.abs(F.col(label) - F.col("train_median"))).alias("baseline_mae"))

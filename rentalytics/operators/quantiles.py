@@ -11,8 +11,8 @@ the needed ranks instead:
    count/min/max per bucket; partial aggregation, at most
    brackets x buckets rows come back) narrows every bracket to the bucket
    holding its rank;
-3. the last bracket (<= ``final_rows`` rows) gives the value by a bounded
-   top-k (``orderBy + limit``).
+3. all last brackets (<= ``final_rows`` rows each) are resolved in one job:
+   a window partition per bracket, ordered by value, keeps the needed rank.
 
 Interpolation is Spark's own formula, so results equal ``percentile``.
 Typically 2-3 passes; a bracket of one repeated value ends at once.
@@ -24,6 +24,7 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 FINAL_ROWS = 100_000
 BUCKETS = 4096
@@ -62,14 +63,20 @@ def _select_ranks(values: DataFrame, targets: dict[tuple[int, int], tuple[float,
                     state[t] = (row["mn"], row["mx"], cum, row["n"])
                     break
                 cum += row["n"]
-    out = {}
-    for t, (lo, hi, below, _) in state.items():
-        if lo == hi:
-            out[t] = lo
-        else:
-            rows = (values.where((c == t[0]) & (v >= lo) & (v <= hi)).orderBy("v")
-                    .limit(t[1] - below + 1).collect())
-            out[t] = rows[-1]["v"]
+    out = {t: lo for t, (lo, hi, _, _) in state.items() if lo == hi}
+    rest = sorted(t for t in state if t not in out)
+    if rest:
+        # all remaining brackets (each <= final_rows rows) in ONE job: one
+        # window partition per bracket, keep the row at the needed rank
+        arr = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(t[0]).alias("c"), F.lit(state[t][0]).alias("lo"),
+                                 F.lit(state[t][1]).alias("hi"), F.lit(t[1] - state[t][2] + 1).alias("k"))
+                        for j, t in enumerate(rest)])
+        hits = values.select("v", F.explode(F.filter(arr, lambda s: (c == s["c"]) & (v >= s["lo"]) & (v <= s["hi"])))
+                             .alias("b"))
+        rn = F.row_number().over(Window.partitionBy("b.j").orderBy("v"))
+        picked = hits.select(F.col("b.j").alias("j"), "v", rn.alias("rn"), F.col("b.k").alias("k"))
+        for row in picked.where(F.col("rn") == F.col("k")).collect():
+            out[rest[row["j"]]] = row["v"]
     return out
 
 

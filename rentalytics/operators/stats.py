@@ -4,10 +4,11 @@ Each helper runs ONE aggregate over the frame (partial aggregation on every
 partition, a single tiny merge) and attaches the 1-row result with a
 broadcast cross join, so a fill needs no collect to the driver.
 
-Exact medians/quantiles (``percentile``) keep one value->count map per
-partial aggregate: their memory is bounded by the number of distinct values
-(small for beds, ratings and cent prices inside the price caps).  Pass
-``approx=True`` for continuous columns with unbounded distinct values.
+Quantile methods: ``select`` (exact distributed selection, bounded memory
+per task, a few passes; the default for generic quantile operators),
+``percentile`` (exact in one aggregate, memory bounded by the number of
+distinct values: used for small domains such as beds, baths and ratings)
+and ``approx`` (``percentile_approx``).
 """
 
 from __future__ import annotations
@@ -34,6 +35,23 @@ def quantile_col(c: str, q, approx: bool = False) -> Column:
     return F.percentile(F.col(c), q)
 
 
+def quantiles_row(df: DataFrame, col: str, probs: list[float], method: str = "select",
+                  name: str = "q") -> DataFrame:
+    """1-row frame whose ``name`` column is the array of ``probs`` quantiles.
+
+    ``select`` (default): exact, bounded memory per task (see ``quantiles``);
+    ``percentile``: exact in one aggregate, memory bounded by distinct values;
+    ``approx``: ``percentile_approx``.
+    """
+    if method == "select":
+        from .quantiles import exact_quantiles
+
+        values = exact_quantiles(df, col, list(probs))
+        return df.sparkSession.range(1).select(
+            F.array(*[F.lit(v).cast("double") for v in values]).alias(name))
+    return df.agg(quantile_col(col, list(probs), approx=(method == "approx")).alias(name))
+
+
 def stats_row(df: DataFrame, exprs: Mapping[str, Column]) -> DataFrame:
     """One aggregate -> a 1-row frame with one column per named expression."""
     return df.agg(*[e.alias(name) for name, e in exprs.items()])
