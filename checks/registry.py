@@ -854,3 +854,22 @@ def t9_column_routing(spark, sf):
     rows = ([("target_encoded", c, "numeric") for c in te_num] + [("target_encoded", c, "categorical") for c in te_cat]
             + [("searched", c, "numeric") for c in mx_num] + [("searched", c, "categorical") for c in mx_cat])
     return spark.createDataFrame(rows, "model string, column_name string, role string")
+
+
+@register("m11_stream_scoring")
+def m11_stream_scoring(spark, sf):
+    """Listings arriving as files, scored by Structured Streaming with the stored
+    model (availableNow trigger drains the folder); returns the sink."""
+    from rentalytics.streaming.scoring import start_scoring_stream
+
+    f = bench(spark, sf).features
+    model_dir = scratch_path(spark, "stream_model")
+    MO.train_te_model(f, SMOKE_TREES, model_dir=model_dir)
+    src = scratch_path(spark, "stream_source")
+    arriving = f.drop("neighbourhood_te")
+    arriving.repartition(4).write.parquet(src)
+    sink, ckpt = scratch_path(spark, "stream_sink"), scratch_path(spark, "stream_checkpoint")
+    q = start_scoring_stream(spark, src, arriving.schema, model_dir, sink, ckpt, max_files_per_trigger=2,
+                             available_now=True)
+    q.awaitTermination()
+    return spark.read.parquet(sink).select("id", MO.PREDICTION)

@@ -63,3 +63,22 @@ def test_nested_cross_validation_runs(spark):
     per_fold, summary = MO.te_cross_validation(bench(spark, SMOKE_DIR).features, SMALL, k=3, nested=True)
     assert per_fold.count() == 3
     assert summary.first().mae_mean > 0
+
+
+def test_gbt_beats_median_baseline_on_signal(spark):
+    from rentalytics.operators import folds as FO
+    from rentalytics.operators import metrics as ME
+
+    f = bench(spark, SMOKE_DIR).features
+    # a price with signal in the features (the bound fixture price has none)
+    sig = f.withColumn("price", 40.0 + 35.0 * F.col("accommodates") + 20.0 * F.col("bedrooms")
+                       + (F.col("id") % 7).cast("double"))
+    df = FO.holdout_flag(sig, 0.2, flag_col="is_test")
+    df = MO.with_label(df.withColumn("neighbourhood_te", F.lit(0.0)), "price", "log1p")
+    numeric, categorical = MO.te_model_columns(df)
+    model = MO.build_pipeline(numeric, categorical, MO.BoostSettings(max_iter=30, max_depth=4, step_size=0.2),
+                              "log1p", mode_fill=True).fit(df.where(~F.col("is_test")))
+    test = df.where(F.col("is_test"))
+    mae = ME.error_metrics(model.transform(test), "price", "prediction").first().mae
+    base = ME.median_baseline(df.where(~F.col("is_test")), test, "price").first().baseline_mae
+    assert mae < 0.5 * base

@@ -165,3 +165,17 @@ def test_exact_quantiles_many_columns_share_passes(spark):
     got = exact_quantiles_many(df, {"a": [0.5, 0.9], "b": [0.3], "k": [0.5]}, final_rows=20, buckets=8)
     for c, ps in {"a": [0.5, 0.9], "b": [0.3], "k": [0.5]}.items():
         assert got[c] == list(df.agg(F.percentile(c, ps).alias("p")).first().p)
+
+
+def test_cleaning_invariant_to_input_partitioning(spark):
+    from checks.workbench import bench
+    from conftest import SMOKE_DIR
+    from rentalytics.plans.cleaning import clean_tables
+
+    b = bench(spark, SMOKE_DIR)
+    outs = []
+    for n in (1, 7):
+        t = clean_tables(b.raw_listings.repartition(n), b.raw_reviews.repartition(n))
+        outs.append(sorted(tuple(r) for r in t.listings.collect()))
+        outs.append(sorted(tuple(r) for r in t.summary.collect()))
+    assert outs[0] == outs[2] and outs[1] == outs[3]

@@ -8,6 +8,7 @@ from checks.compare import duck, rows_of, type_diffs
 from conftest import SMOKE_DIR
 
 ML = {"m1_gbt_log_target_predictions", "m4_cross_validation", "m5_final_te_model", "m6_random_search",
+      "m11_stream_scoring",
       "m10_feature_importance", "m11_batch_scoring", "m12_early_stopping"}
 
 
