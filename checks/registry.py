@@ -380,9 +380,9 @@ def t2_random_holdout(spark, sf):
     return FO.holdout_flag(bench(spark, sf).features, 0.1, seed=42).select("id", "is_holdout")
 
 
-@register("a13_price_p90", O.with_blocks("features") + "SELECT quantile_cont(price, 0.9) AS q FROM features")
+@register("a13_price_p90", O.with_blocks("features") + "SELECT round(quantile_cont(price, 0.9), 6) AS q FROM features")
 def a13_price_p90(spark, sf):
-    return FO.quantile(bench(spark, sf).features, "price", 0.9)
+    return FO.quantile(bench(spark, sf).features, "price", 0.9).select(r6("q").alias("q"))
 
 
 @register("a14_price_deciles", O.with_blocks("strata") + "SELECT id, price, stratum FROM strata")
