@@ -179,3 +179,16 @@ def test_cleaning_invariant_to_input_partitioning(spark):
         outs.append(sorted(tuple(r) for r in t.listings.collect()))
         outs.append(sorted(tuple(r) for r in t.summary.collect()))
     assert outs[0] == outs[2] and outs[1] == outs[3]
+
+
+def test_library_plan_equals_staged_workbench(spark):
+    from checks.workbench import bench
+    from conftest import SMOKE_DIR
+    from rentalytics.plans.cleaning import clean_tables, feature_table
+
+    b = bench(spark, SMOKE_DIR)
+    t = clean_tables(b.raw_listings, b.raw_reviews)
+    assert t.listings.columns == b.listings.columns and len(t.listings.columns) == 34
+    assert sorted(tuple(r) for r in t.listings.collect()) == sorted(tuple(r) for r in b.listings.collect())
+    f = feature_table(t.listings, t.summary)
+    assert sorted(tuple(r) for r in f.collect()) == sorted(tuple(r) for r in b.features.collect())
