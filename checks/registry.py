@@ -758,16 +758,31 @@ def m5_final_te_model(spark, sf):
 
 @register("m6_random_search")
 def m6_random_search(spark, sf):
-    """Random search over the reference grid with key-hash folds; smoke budget:
-    2 draws, 10 trees each.  Returns one row per draw with its CV MAE."""
+    """Searched-model flow on the clean listings x summary join: stratified
+    split, random search over the reference grid with key-hash folds (smoke
+    budget: 2 draws, 10 trees), refit, test MAE overall/tail/body, median
+    baseline, saved model and report; returns the report read back."""
     b = bench(spark, sf)
     j2 = FT.join_reviews(b.listings, b.summary, keep_listing_id=False)
-    split = FO.stratified_holdout(FO.quantile_bins(j2, "price", 10), "stratum", 0.2)
-    train = FO.assign_folds(split.where(~F.col("is_test")), 5, 42)
-    draws = MO.sample_search_space(2, 42)
-    _, _, metrics = MO.random_search(train, draws, k=5, base=SMOKE_TREES, parallelism=4, max_trees=10)
-    rows = [(i, str(d), float(m)) for i, (d, m) in enumerate(zip(draws, metrics))]
-    return spark.createDataFrame(rows, "draw int, params string, cv_mae double")
+    path = scratch_path(spark, "searched_model")
+    MO.train_searched_model(j2, MO.sample_search_space(2, 42), k=5, base=SMOKE_TREES, parallelism=4,
+                            max_trees=10, model_dir=path)
+    return spark.read.json(os.path.join(path, "metadata"))
+
+
+@register("s4_clean_step_tables_audit",
+          O.with_blocks("clean", "reviews_clean", "summary") +
+          "SELECT 'listings_features' AS table_name, CAST(34 AS BIGINT) AS n_cols, count(*) AS n_rows, "
+          "min(price) AS min_price, max(price) AS max_price FROM clean "
+          "UNION ALL SELECT 'reviews', 6, count(*), NULL, NULL FROM reviews_clean "
+          "UNION ALL SELECT 'reviews_summary', 6, count(*), NULL, NULL FROM summary")
+def s4_clean_step_tables_audit(spark, sf):
+    """The clean step end to end: raw -> three written tables -> verify_clean audit."""
+    from rentalytics.plans.cleaning import audit_clean_tables, clean_tables, write_clean_tables
+
+    b = bench(spark, sf)
+    paths = write_clean_tables(clean_tables(b.raw_listings, b.raw_reviews), scratch_path(spark, "clean"))
+    return audit_clean_tables(spark, paths)
 
 
 @register("m10_feature_importance")

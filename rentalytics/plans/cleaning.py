@@ -54,3 +54,24 @@ def features_from_raw(raw_listings: DataFrame, raw_reviews: DataFrame,
                       params: CleanParams = CleanParams(), **listing_options) -> DataFrame:
     t = clean_tables(raw_listings, raw_reviews, params, **listing_options)
     return feature_table(t.listings, t.summary, params)
+
+
+def write_clean_tables(tables: CleanTables, base: str) -> dict[str, str]:
+    """The clean step's sinks: three overwritten tables under ``base`` (a
+    shared folder or a catalog database name), then read back."""
+    from ..sources import io
+
+    sep = "/" if "/" in base or base.startswith("file:") else "."
+    paths = {name: f"{base}{sep}{name}" for name in ("listings_features", "reviews", "reviews_summary")}
+    io.write_table(tables.listings, paths["listings_features"])
+    io.write_table(tables.reviews, paths["reviews"])
+    io.write_table(tables.summary, paths["reviews_summary"])
+    return paths
+
+
+def audit_clean_tables(spark, paths: dict[str, str]):
+    """``verify_clean``: table, column count, rows, min/max price of the written tables."""
+    from ..operators.profile import clean_audit
+    from ..sources import io
+
+    return clean_audit({name: io.read_table(spark, p) for name, p in paths.items()})
