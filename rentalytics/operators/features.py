@@ -8,7 +8,7 @@ from pyspark.sql.types import DoubleType, StringType
 
 from ..config import REVIEW_FEATURE_COLUMNS, SPECIAL_PROPERTY_WORDS, CleanParams
 from ..functions import haversine_km, nan_to_null, numeric_text, truthy_int
-from .stats import attach, median_col, stats_row
+from .stats import attach, median_stats, stats_row
 
 SUMMARY_FEATURES = ("n_reviews", "first_review", "last_review",
                     "avg_comment_length", "days_since_last_review")
@@ -46,26 +46,27 @@ def add_amenity_ints(df: DataFrame) -> DataFrame:
 
 
 # --- P20, F2, F3, F4 --------------------------------------------------------
-def add_review_features(df: DataFrame, approx: bool = False) -> DataFrame:
+def add_review_features(df: DataFrame, median_method: str = "select") -> DataFrame:
     """Coerce review columns, then fill: rating -> median, per-month and comment
-    length -> 0, recency -> its max.  Median and max come from one aggregate."""
+    length -> 0, recency -> its max.  The max is one aggregate; the median is
+    exact with bounded memory (``median_method`` as in ``stats``)."""
     present = [c for c in REVIEW_FEATURE_COLUMNS if c in df.columns]
     coerced = df.select(*[
         numeric_text(c).alias(c) if c in present and isinstance(df.schema[c].dataType, StringType)
         else F.col(c) for c in df.columns])
-    needs = {}
+    fills = []
     if "review_scores_rating" in present:
-        needs["review_scores_rating"] = median_col("review_scores_rating", approx)
+        coerced = attach(coerced, median_stats(coerced, ["review_scores_rating"], median_method))
+        fills.append("review_scores_rating")
     if "days_since_last_review" in present:
-        needs["days_since_last_review"] = F.max("days_since_last_review")
-    if needs:
-        stats = stats_row(coerced, {"__fill_" + c: e for c, e in needs.items()})
-        coerced = attach(coerced, stats)
+        coerced = attach(coerced, stats_row(coerced, {"__fill_days_since_last_review":
+                                                      F.max("days_since_last_review")}))
+        fills.append("days_since_last_review")
     out = []
     for c in df.columns:
         col = F.col(c)
-        if c in needs:
-            col = F.coalesce(col, F.col("__fill_" + c)).cast(coerced.schema[c].dataType)
+        if c in fills:
+            col = F.coalesce(col, F.col("__fill_" + c).cast(coerced.schema[c].dataType))
         elif c in ("reviews_per_month", "avg_comment_length"):
             col = F.coalesce(col, F.lit(0).cast(coerced.schema[c].dataType))
         out.append(col.alias(c))
@@ -92,10 +93,10 @@ def add_superhost_int(df: DataFrame) -> DataFrame:
     return df.withColumn("host_is_superhost", truthy_int("host_is_superhost"))
 
 
-def build_features(df: DataFrame, params: CleanParams = CleanParams(), approx: bool = False) -> DataFrame:
+def build_features(df: DataFrame, params: CleanParams = CleanParams(), median_method: str = "select") -> DataFrame:
     """Amenities -> review fills -> distance -> price per person -> superhost."""
     out = add_amenity_ints(df)
-    out = add_review_features(out, approx=approx)
+    out = add_review_features(out, median_method=median_method)
     out = add_distance_to_center(out, params.center_lat, params.center_lon)
     if "price" in out.columns and "accommodates" in out.columns:
         out = add_price_per_person(out)
