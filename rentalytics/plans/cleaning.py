@@ -56,16 +56,22 @@ def features_from_raw(raw_listings: DataFrame, raw_reviews: DataFrame,
     return feature_table(t.listings, t.summary, params)
 
 
-def write_clean_tables(tables: CleanTables, base: str) -> dict[str, str]:
+def write_clean_tables(tables: CleanTables, base: str, buckets: int | None = None) -> dict[str, str]:
     """The clean step's sinks: three overwritten tables under ``base`` (a
-    shared folder or a catalog database name), then read back."""
+    shared folder or a catalog database name).
+
+    With ``buckets`` (catalog only) the listings are bucketed on ``id`` and
+    reviews and summary on ``listing_id`` with the same count, so rebuilding
+    the feature table joins them without shuffling either side.
+    """
     from ..sources import io
 
     sep = "/" if "/" in base or base.startswith("file:") else "."
     paths = {name: f"{base}{sep}{name}" for name in ("listings_features", "reviews", "reviews_summary")}
-    io.write_table(tables.listings, paths["listings_features"])
-    io.write_table(tables.reviews, paths["reviews"])
-    io.write_table(tables.summary, paths["reviews_summary"])
+    keys = {"listings_features": "id", "reviews": "listing_id", "reviews_summary": "listing_id"}
+    frames = {"listings_features": tables.listings, "reviews": tables.reviews, "reviews_summary": tables.summary}
+    for name, df in frames.items():
+        io.write_table(df, paths[name], bucket_by=(buckets, keys[name]) if buckets else None)
     return paths
 
 

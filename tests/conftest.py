@@ -16,6 +16,7 @@ def spark():
 
     scratch = tempfile.mkdtemp(prefix="rentalytics-tests-")
     s = build_session("local[4]", shuffle_partitions=8,
-                      extra={"spark.checkpoint.dir": os.path.join(scratch, "checkpoints")})
+                      extra={"spark.checkpoint.dir": os.path.join(scratch, "checkpoints"),
+                             "spark.sql.warehouse.dir": os.path.join(scratch, "warehouse")})
     yield s
     s.stop()

@@ -48,3 +48,20 @@ def test_summary_side_shuffled_once(spark, capsys):
     p = plan(join_reviews(b.listings, R.reviews_summary(b.reviews)), capsys)
     assert p.count("hashpartitioning(listing_id") == 1
     assert p.count("hashpartitioning(id") == 1
+
+
+def test_bucketed_clean_tables_join_without_shuffle(spark, capsys):
+    from rentalytics.plans.cleaning import CleanTables, write_clean_tables
+
+    b = bench(spark, SMOKE_DIR)
+    paths = write_clean_tables(CleanTables(b.listings, b.reviews, b.summary), "rentalytics_bucketed", buckets=8)
+    listings, summary = (io.read_table(spark, paths[n]) for n in ("listings_features", "reviews_summary"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")   # force the large-table join shape
+    try:
+        joined = join_reviews(listings, summary)
+        p = plan(joined, capsys)
+        assert "SortMergeJoin" in p and "Exchange" not in p
+        assert joined.count() == b.listings.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
