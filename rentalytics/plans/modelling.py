@@ -385,17 +385,30 @@ def save_trained(trained: TrainedModel, model_dir: str, te: tuple[DataFrame, Dat
 
 
 # --- M11 --------------------------------------------------------------------
-def score(df: DataFrame, model_dir: str, keep: tuple[str, ...] = ("id",)) -> DataFrame:
-    """Batch scoring: stored encoding -> feature alignment -> model.  The
-    inverse target transform is part of the stored pipeline; ``keep`` columns
-    (ids) ride along."""
-    spark = df.sparkSession
+@dataclass
+class StoredModel:
+    """A saved model opened once: pipeline, feature types, encoding table."""
+    model: PipelineModel
+    feature_types: list
+    te: tuple[DataFrame, DataFrame] | None
+
+
+def load_stored(spark: SparkSession, model_dir: str) -> StoredModel:
     meta = spark.read.json(os.path.join(model_dir, "metadata")).first()
     types = [tuple(ft.split(":", 1)) for ft in meta["feature_types"]]
-    if meta["uses_target_encoding"] and TE_OUTPUT_COLUMN not in df.columns:
-        mapping, mean = io.read_target_encoding(spark, os.path.join(model_dir, "target_encoding"))
+    te = (io.read_target_encoding(spark, os.path.join(model_dir, "target_encoding"))
+          if meta["uses_target_encoding"] else None)
+    return StoredModel(PipelineModel.load(os.path.join(model_dir, "model")), types, te)
+
+
+def score(df: DataFrame, model_dir: str | StoredModel, keep: tuple[str, ...] = ("id",)) -> DataFrame:
+    """Batch scoring: stored encoding -> feature alignment -> model.  The
+    inverse target transform is part of the stored pipeline; ``keep`` columns
+    (ids) ride along.  Pass a ``StoredModel`` to score many batches with one load."""
+    stored = model_dir if isinstance(model_dir, StoredModel) else load_stored(df.sparkSession, model_dir)
+    if stored.te is not None and TE_OUTPUT_COLUMN not in df.columns:
+        mapping, mean = stored.te
         df = EN.apply_target_encoding(df, TE_CATEGORY_COLUMN, mapping, mean, out=TE_OUTPUT_COLUMN)
-    names = {n for n, _ in types}
+    names = {n for n, _ in stored.feature_types}
     extra = [(c, t) for c, t in df.dtypes if c in keep and c not in names]
-    model = PipelineModel.load(os.path.join(model_dir, "model"))
-    return model.transform(align_features(df, types + extra))
+    return stored.model.transform(align_features(df, stored.feature_types + extra))

@@ -2,8 +2,9 @@
 
 The reference scores one listing per request from a web form.  Here
 requests are files dropped into a folder: a file stream picks them up, each
-micro-batch is scored by the stored model with the batch scorer (encoding
-table, column alignment, pipeline), and written under its batch id.
+micro-batch is scored by the stored model (opened once when the stream
+starts: pipeline, encoding table, feature types) with the batch scorer,
+and written under its batch id.
 Re-running a batch after a failure overwrites the same folder, so the sink
 is idempotent; progress lives in the checkpoint on shared storage.
 """
@@ -16,13 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..plans.modelling import PREDICTION, score
+from ..plans.modelling import PREDICTION, StoredModel, load_stored, score
 
 
-def score_batch_to(sink_dir: str, model_dir: str, keep: tuple[str, ...] = ("id",)):
+def score_batch_to(sink_dir: str, stored: StoredModel, keep: tuple[str, ...] = ("id",)):
     """foreachBatch body: score one micro-batch and overwrite its folder."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        scored = score(batch, model_dir, keep=keep).select(*[c for c in keep], PREDICTION)
+        scored = score(batch, stored, keep=keep).select(*[c for c in keep], PREDICTION)
         scored.write.mode("overwrite").parquet(os.path.join(sink_dir, f"batch_id={batch_id}"))
     return write
 
@@ -36,7 +37,7 @@ def start_scoring_stream(spark: SparkSession, source_dir: str, schema: StructTyp
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     writer = (reader.load(source_dir).writeStream
-              .foreachBatch(score_batch_to(sink_dir, model_dir, keep))
+              .foreachBatch(score_batch_to(sink_dir, load_stored(spark, model_dir), keep))
               .option("checkpointLocation", checkpoint_dir))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()

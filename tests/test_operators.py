@@ -192,3 +192,23 @@ def test_library_plan_equals_staged_workbench(spark):
     assert sorted(tuple(r) for r in t.listings.collect()) == sorted(tuple(r) for r in b.listings.collect())
     f = feature_table(t.listings, t.summary)
     assert sorted(tuple(r) for r in f.collect()) == sorted(tuple(r) for r in b.features.collect())
+
+
+def test_review_summary_with_hot_listing(spark):
+    """One listing holds a third of all reviews: partial aggregation keeps the
+    result exact (checked against pandas)."""
+    from rentalytics.operators import reviews as R
+
+    rows = []
+    for i in range(3000):
+        lid = 1 if i % 3 == 0 else 2 + i % 50
+        rows.append((str(lid), str(i), f"2024-01-{1 + i % 28:02d}", str(i % 9), None, "x" * (i % 13)))
+    raw = spark.createDataFrame(rows, "listing_id string, id string, date string, reviewer_id string, "
+                                      "reviewer_name string, comments string").repartition(6)
+    got = R.reviews_summary(R.clean_reviews(raw)).toPandas().set_index("listing_id")
+    pdf = raw.toPandas()
+    pdf["n"] = pdf.comments.str.len()
+    hot = pdf[pdf.listing_id == "1"]
+    assert got.loc[1, "n_reviews"] == len(hot) == 1000
+    assert abs(got.loc[1, "avg_comment_length"] - hot.n.mean()) < 1e-12
+    assert got.loc[1, "days_since_last_review"] == 0
