@@ -21,17 +21,33 @@ SESSION_DEFAULTS = {
 }
 
 
+# Large-cluster sizing (~100 TB inputs): many initial shuffle partitions that
+# AQE coalesces to ~256 MB each, 256 MB scan splits, skew splitting above
+# 5x the median partition, and a broadcast threshold that stays small.
+CLUSTER_DEFAULTS = {
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+}
+
+
 def build_session(master: str | None = None, app_name: str = "rentalytics",
-                  shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
+                  shuffle_partitions: int | None = None, extra: dict | None = None,
+                  cluster: bool = False) -> SparkSession:
     """Create (or reuse) a session with the defaults above.
 
-    On a cluster leave ``master`` unset and pass ``spark.checkpoint.dir`` in
-    ``extra`` or through the submit configuration.
+    On a cluster leave ``master`` unset, pass ``cluster=True`` for the sizing
+    in ``CLUSTER_DEFAULTS`` and name ``spark.checkpoint.dir`` (a shared
+    folder) in ``extra`` or through the submit configuration.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in SESSION_DEFAULTS.items():
+    for key, value in {**SESSION_DEFAULTS, **(CLUSTER_DEFAULTS if cluster else {})}.items():
         builder = builder.config(key, value)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
