@@ -11,7 +11,9 @@ def spread_small_scan(df: DataFrame, min_partitions: int | None = None) -> DataF
     per-row work after it - parsing, text lengths, joins with wide lookups -
     runs on every core.  With many files or row groups (the large-data case)
     this returns ``df`` unchanged and adds no shuffle."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. a Spark Connect session): leave the scan as is
+        return df
+    return df.repartition(target) if current < target else df

@@ -64,8 +64,14 @@ def shared_dir(spark: SparkSession) -> str:
     Read from ``spark.checkpoint.dir`` (what the cluster names).  Only a
     local-mode session with nothing configured gets a fresh scratch folder.
     """
-    sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server owns the checkpoint folder
+        if not configured:
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+        return configured.rstrip("/")
+    configured = configured or sc.getCheckpointDir()
     if configured:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(configured)
