@@ -12,7 +12,8 @@ the needed ranks instead:
    brackets x buckets rows come back) narrows every bracket to the bucket
    holding its rank;
 3. all last brackets (<= ``final_rows`` rows each) are resolved in one job:
-   a window partition per bracket, ordered by value, keeps the needed rank.
+   a window partition per distinct bracket, ordered by value, keeps the
+   rows at the needed ranks.
 
 Interpolation is Spark's own formula, so results equal ``percentile``.
 Typically 2-3 passes; a bracket of one repeated value ends at once.
@@ -64,19 +65,22 @@ def _select_ranks(values: DataFrame, targets: dict[tuple[int, int], tuple[float,
                     break
                 cum += row["n"]
     out = {t: lo for t, (lo, hi, _, _) in state.items() if lo == hi}
-    rest = sorted(t for t in state if t not in out)
+    rest = [t for t in state if t not in out]
     if rest:
         # all remaining brackets (each <= final_rows rows) in ONE job: one
-        # window partition per bracket, keep the row at the needed rank
-        arr = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(t[0]).alias("c"), F.lit(state[t][0]).alias("lo"),
-                                 F.lit(state[t][1]).alias("hi"), F.lit(t[1] - state[t][2] + 1).alias("k"))
-                        for j, t in enumerate(rest)])
+        # window partition per distinct bracket, keep the rows at the needed ranks
+        brackets = sorted({(t[0],) + state[t][:3] for t in rest})
+        ks = {b: sorted({t[1] - b[3] + 1 for t in rest if (t[0],) + state[t][:3] == b}) for b in brackets}
+        arr = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(b[0]).alias("c"), F.lit(b[1]).alias("lo"),
+                                 F.lit(b[2]).alias("hi"), F.array(*[F.lit(k) for k in ks[b]]).alias("ks"))
+                        for j, b in enumerate(brackets)])
         hits = values.select("v", F.explode(F.filter(arr, lambda s: (c == s["c"]) & (v >= s["lo"]) & (v <= s["hi"])))
                              .alias("b"))
         rn = F.row_number().over(Window.partitionBy("b.j").orderBy("v"))
-        picked = hits.select(F.col("b.j").alias("j"), "v", rn.alias("rn"), F.col("b.k").alias("k"))
-        for row in picked.where(F.col("rn") == F.col("k")).collect():
-            out[rest[row["j"]]] = row["v"]
+        picked = hits.select(F.col("b.j").alias("j"), "v", rn.alias("rn"), F.col("b.ks").alias("ks"))
+        for row in picked.where(F.array_contains(F.col("ks"), F.col("rn"))).collect():
+            b = brackets[row["j"]]
+            out[(b[0], b[3] + row["rn"] - 1)] = row["v"]
     return out
 
 
