@@ -7,17 +7,25 @@ later blocks build on; ``sql(name)`` assembles the statement for one query.
 
 from __future__ import annotations
 
-NUMERIC_RE = r"^[+-]?(([0-9]+(\.[0-9]*)?|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity)$"
+NUMERIC_RE = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)(e[+-]?[0-9]+)?$"
+INFINITY_RE = r"^[+-]?(inf|infinity)$"
+
+
+def stripped(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 
 
 def num(x: str) -> str:
-    return (f"CASE WHEN regexp_full_match(lower(trim({x})), '{NUMERIC_RE}') "
-            f"THEN TRY_CAST(trim({x}) AS DOUBLE) END")
+    t = stripped(x)
+    return (f"CASE WHEN regexp_full_match(lower({x}), '{INFINITY_RE}') THEN TRY_CAST({x} AS DOUBLE) "
+            f"WHEN regexp_full_match(lower({t}), '{NUMERIC_RE}') AND NOT isinf(TRY_CAST({t} AS DOUBLE)) "
+            f"THEN TRY_CAST({t} AS DOUBLE) END")
 
 
 def integral(x: str) -> str:
     d = num(x)
-    return (f"COALESCE(CASE WHEN regexp_full_match(trim({x}), '[+-]?[0-9]+') THEN TRY_CAST(trim({x}) AS BIGINT) END, "
+    t = stripped(x)
+    return (f"COALESCE(CASE WHEN regexp_full_match({t}, '[+-]?[0-9]+') THEN TRY_CAST({t} AS BIGINT) END, "
             f"CASE WHEN ({d}) = floor({d}) AND abs({d}) < 9.0e18 THEN CAST({d} AS BIGINT) END)")
 
 

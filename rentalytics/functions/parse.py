@@ -12,10 +12,15 @@ from pyspark.sql import functions as F
 
 from ..config import TRUTHY_TEXT
 
-# Text accepted as a number: optional sign, decimal or exponent form, or
-# infinity.  Checked on the trimmed, lower-cased text.  Rejects '1d', '1,000',
-# 'nan' and '' (which a bare cast would let through or turn into NaN).
-NUMERIC_TEXT = r"^[+-]?(([0-9]+(\.[0-9]*)?|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity)$"
+# Text accepted as a number after stripping surrounding whitespace: optional
+# sign, decimal or exponent form (checked lower-cased).  Rejects '1d', '1,000',
+# 'nan' and ''.  Infinity literals are accepted only without surrounding
+# whitespace, and a finite-looking number that overflows is missing - the
+# coercing parse of the reference behaves the same way.  (``\z``: Java's ``$``
+# would also match before a trailing newline.)
+NUMERIC_TEXT = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)(e[+-]?[0-9]+)?\z"
+INFINITY_TEXT = r"^[+-]?(inf|infinity)\z"
+SURROUNDING_SPACE = r"^\s+|\s+$"
 
 # Largest magnitude that safely converts to BIGINT.
 _BIGINT_SAFE = 9.0e18
@@ -27,13 +32,17 @@ def _col(c) -> Column:
 
 def numeric_text(c) -> Column:
     """Text -> DOUBLE the way a coercing numeric parse does; junk -> NULL."""
-    text = F.trim(_col(c).cast("string"))
-    return F.when(F.lower(text).rlike(NUMERIC_TEXT), text.try_cast("double"))
+    raw = _col(c).cast("string")
+    text = F.regexp_replace(raw, SURROUNDING_SPACE, "")
+    value = text.try_cast("double")
+    finite = F.abs(value) != F.lit(float("inf"))
+    return (F.when(F.lower(raw).rlike(INFINITY_TEXT), raw.try_cast("double"))
+            .when(F.lower(text).rlike(NUMERIC_TEXT) & finite, value))
 
 
 def integral_text(c) -> Column:
     """Text -> BIGINT: the exact integer text, else a whole-valued number."""
-    text = F.trim(_col(c).cast("string"))
+    text = F.regexp_replace(_col(c).cast("string"), SURROUNDING_SPACE, "")
     as_double = numeric_text(text)
     whole = (as_double == F.floor(as_double)) & (F.abs(as_double) < F.lit(_BIGINT_SAFE))
     return F.coalesce(text.try_cast("bigint"), F.when(whole, as_double.cast("bigint")))
