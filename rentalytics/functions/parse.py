@@ -60,7 +60,7 @@ def tf_flag(c) -> Column:
 
 def truthy_int(c) -> Column:
     """Any value -> 1 if its text is one of TRUTHY_TEXT, else 0 (NULL -> 0)."""
-    text = F.lower(F.trim(_col(c).cast("string")))
+    text = F.lower(F.regexp_replace(_col(c).cast("string"), SURROUNDING_SPACE, ""))
     return F.when(text.isin(*TRUTHY_TEXT), F.lit(1)).otherwise(F.lit(0))
 
 

@@ -37,8 +37,8 @@ def test_price_text(spark):
 def test_tf_flag_and_truthy(spark):
     df = one_col(spark, ["t", "f", None, "x"])
     assert [r[0] for r in df.select(tf_flag("v")).collect()] == [True, False, False, False]
-    df2 = one_col(spark, ["true", "1", "T", "yes", "y", "1.0", None, "no"])
-    assert [r[0] for r in df2.select(truthy_int("v")).collect()] == [1, 1, 1, 1, 1, 0, 0, 0]
+    df2 = one_col(spark, ["true", "1", "T", "yes", "y", "1.0", None, "no", "\tYes\n"])
+    assert [r[0] for r in df2.select(truthy_int("v")).collect()] == [1, 1, 1, 1, 1, 0, 0, 0, 1]
 
 
 def test_amenity_count(spark):
