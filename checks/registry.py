@@ -857,7 +857,8 @@ def p28_review_text_defaults(spark, sf):
                                            F.length("comments").cast("bigint").alias("comments_length"))
 
 
-@register("t9_column_routing")
+@register("t9_column_routing",
+          O.with_blocks("features", "joined", "top_amenities") + "SELECT 'target_encoded' AS model, 'accommodates' AS column_name, 'numeric' AS role FROM features HAVING count(accommodates) > 0 UNION ALL SELECT 'target_encoded' AS model, 'bedrooms' AS column_name, 'numeric' AS role FROM features HAVING count(bedrooms) > 0 UNION ALL SELECT 'target_encoded' AS model, 'beds' AS column_name, 'numeric' AS role FROM features HAVING count(beds) > 0 UNION ALL SELECT 'target_encoded' AS model, 'bathrooms' AS column_name, 'numeric' AS role FROM features HAVING count(bathrooms) > 0 UNION ALL SELECT 'target_encoded' AS model, 'avg_comment_length' AS column_name, 'numeric' AS role FROM features HAVING count(avg_comment_length) > 0 UNION ALL SELECT 'target_encoded' AS model, 'days_since_last_review' AS column_name, 'numeric' AS role FROM features HAVING count(days_since_last_review) > 0 UNION ALL SELECT 'target_encoded' AS model, 'amenities_count' AS column_name, 'numeric' AS role FROM features HAVING count(amenities_count) > 0 UNION ALL SELECT 'target_encoded' AS model, 'dist_to_center_km' AS column_name, 'numeric' AS role FROM features HAVING count(dist_to_center_km) > 0 UNION ALL SELECT 'target_encoded', 'neighbourhood_te', 'numeric' UNION ALL SELECT 'target_encoded', 'property_type', 'categorical' UNION ALL SELECT 'target_encoded', 'room_type', 'categorical' UNION ALL SELECT 'searched', 'latitude', 'numeric' FROM joined HAVING count(latitude) > 0 UNION ALL SELECT 'searched', 'longitude', 'numeric' FROM joined HAVING count(longitude) > 0 UNION ALL SELECT 'searched', 'accommodates', 'numeric' FROM joined HAVING count(accommodates) > 0 UNION ALL SELECT 'searched', 'bedrooms', 'numeric' FROM joined HAVING count(bedrooms) > 0 UNION ALL SELECT 'searched', 'beds', 'numeric' FROM joined HAVING count(beds) > 0 UNION ALL SELECT 'searched', 'bathrooms', 'numeric' FROM joined HAVING count(bathrooms) > 0 UNION ALL SELECT 'searched', 'minimum_nights', 'numeric' FROM joined HAVING count(minimum_nights) > 0 UNION ALL SELECT 'searched', 'maximum_nights', 'numeric' FROM joined HAVING count(maximum_nights) > 0 UNION ALL SELECT 'searched', 'host_is_superhost', 'numeric' FROM joined HAVING count(host_is_superhost) > 0 UNION ALL SELECT 'searched', 'review_scores_rating', 'numeric' FROM joined HAVING count(review_scores_rating) > 0 UNION ALL SELECT 'searched', 'review_scores_accuracy', 'numeric' FROM joined HAVING count(review_scores_accuracy) > 0 UNION ALL SELECT 'searched', 'review_scores_cleanliness', 'numeric' FROM joined HAVING count(review_scores_cleanliness) > 0 UNION ALL SELECT 'searched', 'review_scores_checkin', 'numeric' FROM joined HAVING count(review_scores_checkin) > 0 UNION ALL SELECT 'searched', 'review_scores_communication', 'numeric' FROM joined HAVING count(review_scores_communication) > 0 UNION ALL SELECT 'searched', 'review_scores_location', 'numeric' FROM joined HAVING count(review_scores_location) > 0 UNION ALL SELECT 'searched', 'review_scores_value', 'numeric' FROM joined HAVING count(review_scores_value) > 0 UNION ALL SELECT 'searched', 'reviews_per_month', 'numeric' FROM joined HAVING count(reviews_per_month) > 0 UNION ALL SELECT 'searched', 'amenities_count', 'numeric' FROM joined HAVING count(amenities_count) > 0 UNION ALL SELECT 'searched', 'n_reviews', 'numeric' FROM joined HAVING count(n_reviews) > 0 UNION ALL SELECT 'searched', 'avg_comment_length', 'numeric' FROM joined HAVING count(avg_comment_length) > 0 UNION ALL SELECT 'searched', 'days_since_last_review', 'numeric' FROM joined HAVING count(days_since_last_review) > 0 UNION ALL SELECT 'searched', 'amenity_' || lower(replace(amenity, ' ', '_')), 'numeric' FROM top_amenities UNION ALL SELECT 'searched', 'neighbourhood_cleansed', 'categorical' UNION ALL SELECT 'searched', 'property_type_slim', 'categorical' UNION ALL SELECT 'searched', 'room_type', 'categorical'")
 def t9_column_routing(spark, sf):
     """Numeric / categorical routing of both model families (absent and
     all-NULL numeric columns are skipped), one row per routed column."""
