@@ -712,7 +712,12 @@ def p30_align_features(spark, sf):
     return out.withColumn("avg_comment_length", r6("avg_comment_length"))
 
 
-@register("a8_catalog_listing")
+@register("a8_catalog_listing",
+          O.with_blocks("clean", "reviews_clean", "summary") +
+          "SELECT 'listings_features' AS table_name, CAST(NULL AS VARCHAR) AS database, 'TEMPORARY' AS table_type, "
+          "34 AS n_cols, count(*) AS n FROM clean "
+          "UNION ALL SELECT 'reviews', NULL, 'TEMPORARY', 6, count(*) FROM reviews_clean "
+          "UNION ALL SELECT 'reviews_summary', NULL, 'TEMPORARY', 6, count(*) FROM summary")
 def a8_catalog_listing(spark, sf):
     """Register the clean tables as views and list them with their column counts."""
     b = bench(spark, sf)

@@ -32,7 +32,7 @@ def test_query_matches_oracle(spark, con, name):
 
 def test_every_query_has_oracle_or_is_listed():
     missing = set(E.queries()) - set(E.oracle_sql())
-    assert missing <= ML | {"a8_catalog_listing"}
+    assert missing <= ML
 
 
 def test_entry_smoke(spark):
