@@ -50,8 +50,9 @@ def catalog_listing(spark: SparkSession, database: str | None = None) -> DataFra
 
 # --- A9 ---------------------------------------------------------------------
 def category_options(df: DataFrame, column: str) -> DataFrame:
-    """Distinct non-null values as text (sort with orderBy when displaying)."""
-    return df.select(F.col(column).cast("string").alias("option")).where(F.col("option").isNotNull()).distinct()
+    """Distinct non-null values as text, sorted."""
+    return (df.select(F.col(column).cast("string").alias("option")).where(F.col("option").isNotNull())
+            .distinct().orderBy("option"))
 
 
 # --- A10 --------------------------------------------------------------------

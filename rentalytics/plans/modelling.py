@@ -11,6 +11,7 @@ comparable with the reference's published errors.
 
 from __future__ import annotations
 
+import datetime
 import json
 import os
 import random
@@ -296,6 +297,10 @@ def train_searched_model(joined: DataFrame, draws: list[dict], k: int = 5, seed:
     counts = split.agg(F.sum((~F.col("is_test")).cast("long")).alias("train_rows"),
                        F.sum(F.col("is_test").cast("long")).alias("test_rows"))
     report = (tail.crossJoin(baseline).crossJoin(counts)
+              .withColumn("saved_at", F.lit(datetime.datetime.now().strftime("%Y-%m-%d %H:%M:%S")))
+              .withColumn("target", F.lit("price (log-trained, predictions on price scale)"))
+              .withColumn("features", F.array(*[F.lit(c) for c in MATRIX_CATEGORICAL_FEATURES], *[
+                  F.lit(c) for c in matrix_model_columns(with_label(train, "price", "log"))[0]]))
               .withColumn("cv_mae_mean", F.lit(float(min(cv_maes))))
               .withColumn("best_params", F.lit(json.dumps(best, sort_keys=True))))
     if model_dir:
@@ -372,6 +377,9 @@ def save_trained(trained: TrainedModel, model_dir: str, te: tuple[DataFrame, Dat
     if te is not None:
         io.write_target_encoding(te[0], te[1], os.path.join(model_dir, "target_encoding"))
     meta = {
+        "model_name": f"GBT regressor ({trained.transform} target"
+                      + (" + neighbourhood target encoding)" if trained.uses_te else ")"),
+        "trained_on": datetime.date.today().isoformat(),
         "features": [n for n, _ in trained.feature_types],
         "feature_types": [f"{n}:{t}" for n, t in trained.feature_types],
         "metrics": json.dumps(trained.metrics),
