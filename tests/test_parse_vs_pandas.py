@@ -23,3 +23,26 @@ def test_numeric_text_matches_pandas(spark):
         if e != got[v]:
             diffs.append((v, e, got[v]))
     assert diffs == []
+
+
+def test_price_text_matches_strip_then_float(spark):
+    """Price text: keep digits and dots, then parse.  Where the reference's
+    parse raises (no digits, two dots) ours is NULL; elsewhere they agree."""
+    from rentalytics.functions import price_text
+
+    rnd = random.Random(5)
+    tokens = ["$", "€", ",", ".", " ", "0", "1", "5", "9", "00", "1,250", "-", "USD", "k"]
+    vals = sorted({"".join(rnd.choice(tokens) for _ in range(rnd.randint(0, 6))) for _ in range(4000)})
+    got = {r.v: r.p for r in spark.createDataFrame([(v,) for v in vals], "v string")
+           .select("v", price_text("v").alias("p")).collect()}
+    stripped = pd.Series(vals, dtype=object).str.replace(r"[^\d.]", "", regex=True)
+    checked = 0
+    for v, s in zip(vals, stripped):
+        try:
+            expect = float(s)
+        except ValueError:
+            assert got[v] is None
+            continue
+        assert got[v] == expect
+        checked += 1
+    assert checked > 1000
