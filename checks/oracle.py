@@ -84,9 +84,9 @@ FROM raw_listings)"""
 PREPARED = """prepared AS (SELECT * FROM parsed WHERE price IS NOT NULL)"""
 
 AMENITY_ITEMS = """amenity_items AS (
-SELECT id, unnest(CASE WHEN json_valid(coalesce(amenities, '[]')) THEN from_json(coalesce(amenities, '[]'), '["VARCHAR"]')
-                        ELSE []::VARCHAR[] END) AS amenity
-FROM prepared)"""
+SELECT id, unnest(CASE WHEN regexp_full_match(t, '(?s)\\s*\\[.*\\]\\s*') AND json_valid(t)
+                        THEN from_json(t, '["VARCHAR"]') ELSE []::VARCHAR[] END) AS amenity
+FROM (SELECT id, regexp_replace(amenities, ',\\s*\\]\\s*$', ']') AS t FROM prepared))"""
 
 TOP_AMENITIES = """top_amenities AS (
 SELECT amenity, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, amenity) AS amenity_rank

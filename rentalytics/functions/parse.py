@@ -71,8 +71,15 @@ def amenity_count(c) -> Column:
 
 
 def amenity_list(c) -> Column:
-    """Raw list text -> ARRAY<STRING>; NULL or malformed -> empty array."""
-    parsed = F.from_json(_col(c), "array<string>", {"allowSingleQuotes": "true"})
+    """Raw list text -> ARRAY<STRING>; NULL or malformed -> empty array.
+
+    Single or double quotes; a trailing comma before the closing bracket is
+    accepted (as a Python list literal allows); text around the list makes it
+    malformed (the JSON reader alone would ignore trailing text).
+    """
+    text = F.regexp_replace(_col(c), r",\s*\]\s*\z", "]")
+    whole = text.rlike(r"(?s)^\s*\[.*\]\s*\z")
+    parsed = F.when(whole, F.from_json(text, "array<string>", {"allowSingleQuotes": "true"}))
     return F.coalesce(parsed, F.array().cast("array<string>"))
 
 

@@ -46,3 +46,22 @@ def test_price_text_matches_strip_then_float(spark):
         assert got[v] == expect
         checked += 1
     assert checked > 1000
+
+
+def test_amenity_list_matches_python_list_literals(spark):
+    """Well-formed list literals parse like Python's literal parser; malformed
+    text (which the reference rejects) gives an empty list."""
+    import ast
+
+    from rentalytics.functions import amenity_list
+
+    forms = ['["Wifi", "Kitchen"]', "['Wifi', 'Kitchen']", "[]", '["a, b"]', '["Caf\\u00e9"]',
+             '["say \\"hi\\""]', "['it\\'s']", '[ \'x\' , "y" ]', '["a",]', '["a", "b" , ]', '["x\\\\y"]',
+             '["emoji 😀"]', '["line\\nbreak"]', "[1, 2]"]
+    malformed = ['["a"] trailing', "junk", '["a"', "", "null"]
+    got = {r.v: r.p for r in spark.createDataFrame([(f,) for f in forms + malformed], "v string")
+           .select("v", amenity_list("v").alias("p")).collect()}
+    for f in forms:
+        assert got[f] == [str(x) for x in ast.literal_eval(f)], f
+    for f in malformed:
+        assert got[f] == [], f
