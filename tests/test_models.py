@@ -107,3 +107,19 @@ def test_scoring_stream_restart_is_exactly_once(spark):
     second.write.mode("append").parquet(src)
     out = drain()
     assert out.count() == arriving.count() and out.distinct().count() == arriving.count()
+
+
+def test_train_scope_encoding_and_early_stopping(spark):
+    from rentalytics.operators import folds as FO
+
+    f = bench(spark, SMOKE_DIR).features
+    trained = MO.train_te_model(f, SMALL, te_scope="train")
+    assert trained.metrics["validation_rows"] > 0 and trained.uses_te
+
+    df = FO.holdout_flag(f, 0.2, flag_col="is_validation")
+    df = MO.with_label(df.withColumn("neighbourhood_te", F.lit(0.0)), "price", "log1p")
+    numeric, categorical = MO.te_model_columns(df)
+    settings = MO.BoostSettings(max_iter=200, max_depth=3, step_size=0.5, validation_col="is_validation",
+                                validation_tol=0.01)
+    model = MO.build_pipeline(numeric, categorical, settings, "log1p", mode_fill=True).fit(df)
+    assert model.stages[-2].getNumTrees < 200      # stopped on the validation rows
