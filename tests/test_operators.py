@@ -212,3 +212,19 @@ def test_review_summary_with_hot_listing(spark):
     assert got.loc[1, "n_reviews"] == len(hot) == 1000
     assert abs(got.loc[1, "avg_comment_length"] - hot.n.mean()) < 1e-12
     assert got.loc[1, "days_since_last_review"] == 0
+
+
+def test_strict_ids_fail_or_drop(spark):
+    import pytest
+
+    from rentalytics.config import RAW_LISTING_COLUMNS
+
+    base = {c: None for c in RAW_LISTING_COLUMNS}
+    rows = [dict(base, id="1", price="$100.00", accommodates="2", minimum_nights="2", amenities='["a"]'),
+            dict(base, id="x1", price="$100.00", accommodates="2", minimum_nights="2", amenities='["a"]')]
+    raw = spark.createDataFrame([tuple(r[c] for c in RAW_LISTING_COLUMNS) for r in rows],
+                                ", ".join(f"{c} string" for c in RAW_LISTING_COLUMNS))
+    with pytest.raises(Exception):
+        L.clean_listings(raw, checkpoint_prepared=False).collect()
+    out = L.clean_listings(raw, checkpoint_prepared=False, strict_ids=False).collect()
+    assert [r.id for r in out] == [1]
