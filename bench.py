@@ -3,7 +3,8 @@
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py
 
 Each query is forced with a ``noop`` write (full computation, nothing
-collected).  The end-to-end cleaning plans run from the raw bound tables;
+collected).  ``reviews_summary_hot_listing_third`` re-keys a third of the
+reviews onto one listing to show the skew behaviour.  The end-to-end cleaning plans run from the raw bound tables;
 the downstream operators run on the feature table written once to the
 shared folder, as a user would keep it.
 """
@@ -60,6 +61,10 @@ def main() -> None:
 
     run("clean_listings", lambda: L.clean_listings(raw_l, params))
     run("reviews_summary", lambda: R.reviews_summary(R.clean_reviews(raw_r)))
+    # skew: the same reviews with a third of them re-keyed onto one listing
+    hot_r = raw_r.withColumn("listing_id", F.when(F.abs(F.hash("id")) % 3 == 0, F.lit("1"))
+                             .otherwise(F.col("listing_id")))
+    run("reviews_summary_hot_listing_third", lambda: R.reviews_summary(R.clean_reviews(hot_r)))
 
     def features():
         t = clean_tables(raw_l, raw_r, params)
