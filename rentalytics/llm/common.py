@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -80,3 +84,28 @@ def ranked(df: DataFrame, order: list[Column], rank: str, name: str) -> DataFram
     starts = counts.select(part, F.coalesce(F.sum(before).over(earlier), F.lit(0)).alias(before))
     return (laid.join(F.broadcast(starts), part)  # one row per partition of the layout
             .withColumn(rank, F.col(before) + F.col(place)).drop(part, place, before))
+
+
+def sized_batches(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in batches whose texts in ``column`` have about
+    ``most`` bytes together; a longer text is a batch of its own."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        start = held = 0
+        for row, size in enumerate(sizes):
+            if held and held + size > most:
+                yield batch.slice(start, row - start)
+                start, held = row, 0
+            held += size
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts, one after the other, and where each begins
+    (one offset more than texts); a null is empty."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return raw[offsets[0]:offsets[-1]], offsets - offsets[0]

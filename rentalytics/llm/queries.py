@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import digest_tree, hilbert_shards, source_mix
+from . import byte_cnn, dac_tokens, digest_tree, hilbert_shards, secret_scan, source_mix, spaced_seeds
 
 QUERIES = {
     "op1_hilbert_shards": hilbert_shards.op1_hilbert_shards,
     "op2_digest_tree": digest_tree.op2_digest_tree,
+    "op3_byte_cnn": byte_cnn.op3_byte_cnn,
+    "op6_trigram_secrets": secret_scan.op6_trigram_secrets,
     "op7_source_mix": source_mix.op7_source_mix,
+    "op8_spaced_seeds": spaced_seeds.op8_spaced_seeds,
+    "op10_dac_tokens": dac_tokens.op10_dac_tokens,
 }
 
 SQL = {
