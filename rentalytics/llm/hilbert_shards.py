@@ -95,13 +95,12 @@ def hilbert_order(df: DataFrame, dimensions: tuple[str, ...], bits: int = BITS)
     steps = [i / (1 << bits) for i in range(1, 1 << bits)]
     cuts = df.agg(*[F.percentile_approx(v, steps, ACCURACY).alias(f"cut{i}")
                     for i, v in enumerate(images.values())]).first()
-    cells = []
-    for bounds, image in zip(cuts, images.values(), strict=True):
-        cell = F.lit(0)
-        for bound in bounds or []:
-            cell = cell + F.when(image > F.lit(bound), 1).otherwise(0)
-        cells.append(cell)
-    return curve_index(cells, bits)
+    bounds = F.array(*[F.array(*[F.lit(x) for x in own or []]).cast("array<double>") for own in cuts])
+    # Lambda variables hold what each step computed: no image or cell is evaluated twice.
+    cells = F.transform(F.array(*images.values()), lambda image, i: F.size(
+        F.filter(F.get(bounds, i), lambda bound: image > bound)))
+    index = F.transform(F.array(cells), lambda c: curve_index([F.get(c, F.lit(i)) for i in range(len(images))], bits))
+    return F.get(index, F.lit(0))
 
 
 def hilbert_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
