@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
-from . import byte_cnn, dac_tokens, digest_tree, hilbert_shards, secret_scan, source_mix, spaced_seeds
+from . import (
+    byte_cnn,
+    dac_tokens,
+    digest_tree,
+    dom_boost,
+    hilbert_shards,
+    jaccard_join,
+    license_scan,
+    secret_scan,
+    source_mix,
+    spaced_seeds,
+)
 
 QUERIES = {
     "op1_hilbert_shards": hilbert_shards.op1_hilbert_shards,
     "op2_digest_tree": digest_tree.op2_digest_tree,
     "op3_byte_cnn": byte_cnn.op3_byte_cnn,
+    "op4_license_scan": license_scan.op4_license_scan,
+    "op5_dom_boost": dom_boost.op5_dom_boost,
     "op6_trigram_secrets": secret_scan.op6_trigram_secrets,
     "op7_source_mix": source_mix.op7_source_mix,
     "op8_spaced_seeds": spaced_seeds.op8_spaced_seeds,
+    "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_dac_tokens": dac_tokens.op10_dac_tokens,
 }
 
 SQL = {
     "op2_digest_tree": digest_tree.OP2_SQL,
     "op7_source_mix": source_mix.OP7_SQL,
+    "op9_jaccard_join": jaccard_join.OP9_SQL,
 }
