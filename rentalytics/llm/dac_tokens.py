@@ -31,9 +31,15 @@ CHUNK_BITS = 8
 RANK_BITS = 512
 SEGMENT_IDS = 1 << 18
 END_ID = 1
-# Words whose ids a worker remembers; the memory is emptied when it is full.
-MEMORY_WORDS = 1_000_000
-BATCH_BYTES = 8 << 20
+# Pieces of words whose ids a worker remembers (the memory is emptied when it
+# is full), and pieces encoded in one call.
+MEMORY_PIECES = 600_000
+CALL_PIECES = 1000
+BATCH_BYTES = 2 << 20
+# The vocabulary's marker between texts, and what all its markers begin with.
+BETWEEN = "<|endoftext|>"
+MARKER = "<|"
+_TAIL = r"^(?P<stem>.*[\p{L}\p{N}])(?P<tail>[*$%&#.,!?;:]+)$"
 
 LEVELS = "array<struct<codes:binary,more:binary,ranks:binary>>"
 SEGMENT = (f"part int, seg int, first_id long, n_ids long, doc_ids array<long>, doc_ends array<long>, levels {LEVELS}")
@@ -90,10 +96,13 @@ class Codes:
 
 
 class WordEncoder:
-    """Ids of texts, word by word.
+    """Ids of texts, from the ids of their words.
 
-    The vocabulary's merges never cross ASCII white space, so a text's ids
-    are those of its words in order, and each distinct word is encoded once.
+    The vocabulary lower-cases, and its merges cross neither white space nor
+    the place where closing punctuation follows a letter or digit.  So A-Z
+    are lower-cased, words are cut into stem and tail there, and every
+    distinct piece is encoded once, many in one call with the end marker
+    between them.  Texts with a marker of their own are encoded whole.
     """
 
     def __init__(self, vocabulary: str):
@@ -101,33 +110,61 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.between = self.tokenizer.token_to_id(BETWEEN)
         self._forget()
 
     def _forget(self) -> None:
-        self.entry, self.ids, self.ends = {}, array("I", [END_ID]), array("q", [0, 1])  # entry 0: the end id
+        # Entry 0 has no ids, entry 1 the end id.
+        self.entry, self.ids, self.ends = {"": 0}, array("I", [END_ID]), array("q", [0, 0, 1])
+
+    def _ids_of(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _learn(self, pieces: list[str]) -> None:
+        for at in range(0, len(pieces), CALL_PIECES):
+            own = pieces[at:at + CALL_PIECES]
+            got = np.array([*self._ids_of(BETWEEN.join(own)), self.between], np.uint32)
+            cuts = np.flatnonzero(got == self.between)
+            self.ends.frombytes((len(self.ids) + cuts - np.arange(len(cuts))).astype(np.int64).tobytes())
+            self.ids.frombytes(got[got != self.between].tobytes())
+            for number, piece in enumerate(own, len(self.entry) + 1):
+                self.entry[piece] = number
+
+    def _entries(self, pieces: pa.Array) -> np.ndarray:
+        coded = pieces.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        self._learn([p for p in distinct if p not in self.entry])
+        numbers = np.fromiter(map(self.entry.__getitem__, distinct), np.int64, len(distinct))
+        return numbers[coded.indices.to_numpy()]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by END_ID, and the number of each text's."""
-        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        texts = pc.fill_null(texts, "")
+        marked = pc.indices_nonzero(pc.match_substring(texts, MARKER)).to_pylist()
+        plain = texts if not marked else pc.if_else(pc.match_substring(texts, MARKER), "", texts)
+        words = pc.ascii_split_whitespace(pc.ascii_lower(plain))
         coded = words.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.entry) + len(distinct) > MEMORY_WORDS:
+        cut = pc.extract_regex(coded.dictionary, _TAIL)
+        stems = pc.if_else(cut.is_valid(), pc.struct_field(cut, "stem"), coded.dictionary)
+        tails = pc.fill_null(pc.struct_field(cut, "tail"), "")
+        if len(self.entry) > MEMORY_PIECES:
             self._forget()
-        new = [w for w in distinct if w not in self.entry]
-        for word, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.entry[word] = len(self.ends) - 1
-            self.ids.extend(got.ids)
-            self.ends.append(len(self.ids))
-        entry = np.fromiter((self.entry[w] for w in distinct), np.int64, len(distinct))
+        entry = np.stack([self._entries(stems), self._entries(tails)], 1)
         offsets = words.offsets.to_numpy().astype(np.int64)
         offsets = offsets - offsets[0]
-        run = np.insert(entry[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64), offsets[1:], 0)
-        ends, ids = np.array(self.ends), np.array(self.ids, np.uint32)
-        counts = (ends[1:] - ends[:-1])[run]
-        upto = np.cumsum(counts)
-        from_ = np.repeat(ends[run] - (upto - counts), counts)
-        closed = upto[offsets[1:] + np.arange(len(texts))]
-        return ids[from_ + np.arange(len(from_))], np.diff(closed, prepend=0)
+        which = coded.indices.to_numpy() if len(coded) else np.zeros(0, np.int64)
+        run = np.insert(entry[which], offsets[1:], (0, 1), axis=0).ravel()
+        ends, ids = np.frombuffer(self.ends, np.int64), np.frombuffer(self.ids, np.uint32)
+        starts, sizes = ends[:-1][run], np.diff(ends)[run]
+        upto = np.cumsum(sizes)
+        got = ids[np.repeat(starts - (upto - sizes), sizes) + np.arange(upto[-1] if len(upto) else 0)]
+        counts = np.diff(upto[2 * (offsets[1:] + np.arange(len(texts))) + 1], prepend=0)
+        if not marked:
+            return got, counts
+        parts = np.split(got, np.cumsum(counts)[:-1])
+        for text in marked:
+            parts[text] = np.array([*self._ids_of(texts[text].as_py()), END_ID], np.uint32)
+        return np.concatenate(parts), np.array([len(p) for p in parts])
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
