@@ -1,23 +1,56 @@
-"""The training-data pipeline: documents through the stages of STAGES."""
+"""The training-data pipeline: documents through the stages of STAGES.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
+written as Parquet and read again as the next stage's ``docs``.  All but the
+last return the columns of ``docs``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rentalytics.llm import common, source_mix
+from rentalytics.llm import byte_cnn, common, dac_tokens, jaccard_join, source_mix, spaced_seeds
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the byte network, trained on the labelled rows, accepts."""
+    return byte_cnn.accepted(docs, byte_cnn.train_on(docs, common.table(spark, sf_dir, "labels")))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of every component of five-word Jaccard links of 0.8 or more."""
+    return jaccard_join.one_of_each(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no passage with a benchmark item."""
+    return spaced_seeds.clean_documents(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources mixed to their target weights: each row as often as the mix takes it."""
+    """The sources at their target weights: each row as often as the mix takes it."""
     return source_mix.mix_documents(docs)
 
 
-STAGES = [("source mix", mix)]
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix as token ids in directly addressable codes, read back per document."""
+    return dac_tokens.encoded_digests(docs, dac_tokens.vocabulary_file())
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", decontaminate),
+    ("mixing sources", mix),
+    ("token output", tokens),
+]
 
+# SQL cannot express the trained classifier and the tokenizer: tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``; each result is written in the shared folder."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = common.written(stage(spark, docs, sf_dir), name.replace(" ", "_"))
