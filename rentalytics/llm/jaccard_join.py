@@ -37,7 +37,12 @@ BATCH_BYTES = 4 << 20
 # the tasks).  The order only decides how many candidates there are.
 COUNTERS_BITS = 20
 COUNTERS_ROW = 1 << 14
-MIN_HASHES = 3
+# Min-hashes of a set; the first KEYS group sets with a leader, and a set is
+# compared with the leader only if so many of all agree.  What that leaves
+# out, the index finds.
+MIN_HASHES = 16
+KEYS = 3
+LEAST_AGREEING = 10
 # Narrow rows up to which a join may broadcast them (about 50 bytes each).
 BROADCAST_ROWS = 1_000_000
 # Width of a size block: sizes of one block differ by a tenth.
@@ -89,7 +94,7 @@ def _levels(survey: DataFrame) -> np.ndarray:
 
 def _sketch(levels):
     """Per set: its min-hashes, how typical it is, and its prefix, rarest shingle first."""
-    seeds = [pow(0xBF58476D1CE4E5B9, k + 1, 1 << 64) for k in range(MIN_HASHES)]
+    seeds = [np.uint64(pow(0xBF58476D1CE4E5B9, k + 1, 1 << 64)) for k in range(MIN_HASHES)]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.sized_batches(batches, "text", BATCH_BYTES):
@@ -100,58 +105,65 @@ def _sketch(levels):
                 level = levels.value[s >> np.uint64(64 - COUNTERS_BITS)]
                 order = np.argsort((level.astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8)), kind="stable")
                 prefix = s[order[:len(s) - (4 * len(s) + 4) // 5 + 1]].view(np.int64)
-                least = [int((s * np.uint64(k)).min().view(np.int64)) for k in seeds]
-                rows.append((key, _class(s), len(s), float(level.mean()), least, prefix))
+                least = np.array([(s * k).min() for k in seeds]).view(np.int64)
+                rows.append((key, _class(s), len(s), float(level.mean()), least[:KEYS], (least & 0x7F).astype(np.int8), prefix))
             if rows:
-                kinds = (pa.binary(), pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-                names = ("key", "cls", "n", "typical", "least", "prefix")
+                kinds = (pa.binary(), pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int8()),
+                         pa.list_(pa.int64()))
+                names = ("key", "cls", "n", "typical", "least", "bytes", "prefix")
                 yield _rows({name: pa.array(col, kind) for name, kind, col in
                              zip(names, kinds, zip(*rows, strict=True), strict=True)})
 
     return sketch
 
 
-SKETCH = "key binary, cls long, n int, typical double, least array<long>, prefix array<long>"
+SKETCH = "key binary, cls long, n int, typical double, least array<long>, bytes array<tinyint>, prefix array<long>"
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The wanted classes' sets, once per task and class."""
-    seen = set()
-    for batch in common.sized_batches(batches, "text", BATCH_BYTES):
-        rows = []
-        wanted = batch.column("cls").to_pylist()
-        for cls, s in zip(wanted, shingle_sets(*common.text_bytes(batch.column("text"))), strict=True):
-            if cls not in seen:
-                seen.add(cls)
-                rows.append((cls, s.view(np.int64)))
-        if rows:
-            yield _rows({"cls": pa.array([r[0] for r in rows], pa.int64()),
-                         "shingles": pa.array([r[1] for r in rows], pa.list_(pa.int64()))})
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of texts whose whole shingle sets link; the sets of the last
+    few left texts are kept, as pairs of one leader often follow each other."""
+    known: dict[int, np.ndarray] = {}
+    for batch in common.sized_batches(batches, "y", BATCH_BYTES):
+        lefts = batch.column("u").to_pylist()
+        new = {u: row for row, u in enumerate(lefts) if u not in known}
+        if len(known) > 64:
+            known, new = {}, {u: row for row, u in enumerate(lefts)}
+        own = batch.column("x").take(pa.array(list(new.values()), pa.int64()))
+        known.update(zip(new, shingle_sets(*common.text_bytes(own)), strict=True))
+        links = []
+        for u, y in zip(lefts, shingle_sets(*common.text_bytes(batch.column("y"))), strict=True):
+            x = known[u]
+            links.append(len(np.intersect1d(x, y, assume_unique=True)) * 9 >= (len(x) + len(y)) * 4)
+        yield batch.select(["u", "v"]).filter(pa.array(links, pa.bool_()))
 
 
 def verified(pairs: DataFrame, classes: DataFrame, keyed: DataFrame) -> DataFrame:
-    """The pairs (u, v) of classes that link, as u, v: sets are made again
-    from the texts of the classes that occur, and compared as a whole."""
+    """The pairs (u, v) of classes that link, as u, v.  Sets are made again
+    from the whole texts of the classes that occur: texts are half as large
+    to shuffle as their hashes."""
     nodes = pairs.select(F.col("u").alias("cls")).unionByName(pairs.select(F.col("v").alias("cls"))).distinct()
     wanted = common.written(nodes.join(classes.select("cls", "key"), "cls"), "wanted")
-    texts = keyed.join(common.broadcast_within(wanted, BROADCAST_ROWS), "key").select("cls", "text")
-    sets = common.written(texts.mapInArrow(_sets, "cls long, shingles array<long>"), "sets")
-    one = sets.select(F.col("cls").alias("u"), F.col("shingles").alias("x"))
-    other = sets.select(F.col("cls").alias("v"), F.col("shingles").alias("y"))
-    both = pairs.select("u", "v").join(one, "u").join(other, "v")
-    linked = F.size(F.array_intersect("x", "y")) * 9 >= (F.size("x") + F.size("y")) * 4
-    return common.written(both.where(linked).select("u", "v").distinct(), "linked")
+    texts = common.written(
+        keyed.join(common.broadcast_within(wanted, BROADCAST_ROWS), "key").select("cls", "text"), "texts")
+    left = texts.join(pairs.select(F.col("u").alias("cls")).distinct(), "cls", "left_semi").select(
+        F.col("cls").alias("u"), F.col("text").alias("x"))
+    right = texts.select(F.col("cls").alias("v"), F.col("text").alias("y"))
+    both = pairs.select("u", "v").join(right, "v").join(left, "u").select("u", "v", "x", "y")
+    return common.written(both.mapInArrow(_linked, "u long, v long").distinct(), "linked")
 
 
 def leader_pairs(classes: DataFrame) -> DataFrame:
-    """(u, v): a class and the most typical class with the same min-hash, if their sizes allow a link."""
-    shared = classes.select("cls", "n", "typical", F.posexplode("least").alias("which", "least"))
+    """(u, v): the most typical class with a min-hash, and every other class
+    with it whose size and min-hashes let a link be expected."""
+    shared = classes.select("cls", "n", "typical", "bytes", F.posexplode("least").alias("which", "least"))
     leaders = (shared.groupBy("which", "least")
-               .agg(F.max(F.struct("typical", "cls", "n")).alias("lead"), F.count(F.lit(1)).alias("members"))
+               .agg(F.max(F.struct("typical", "cls", "n", "bytes")).alias("lead"), F.count(F.lit(1)).alias("members"))
                .where("members > 1"))
+    agreeing = F.size(F.filter(F.zip_with("bytes", "lead.bytes", lambda a, b: a == b), lambda same: same))
     pairs = shared.join(leaders, ["which", "least"]).where(
         (F.col("cls") != F.col("lead.cls"))
-        & (F.least("n", "lead.n") * 5 >= F.greatest("n", "lead.n") * 4))
+        & (F.least("n", "lead.n") * 5 >= F.greatest("n", "lead.n") * 4) & (agreeing >= LEAST_AGREEING))
     return common.written(pairs.select(F.col("lead.cls").alias("u"), F.col("cls").alias("v")).distinct(), "leader_pairs")
 
 
@@ -161,19 +173,19 @@ def _block(size):
 
 def candidate_pairs(classes: DataFrame, roots: DataFrame) -> DataFrame:
     """(u, v): pairs of classes of different components that share a prefix
-    shingle at places where a link is possible; each pair once."""
+    shingle at places where a link is possible.
+
+    The bound of a place holds for the first common shingle, and is weaker
+    the earlier the place: a pair that fails at its first one fails at all.
+    """
     tokens = classes.select("cls", "n", F.posexplode("prefix").alias("place", "shingle"))
     lists = common.written(tokens.groupBy("shingle").agg(F.count(F.lit(1)).alias("length"))
                            .where("length > 1").select("shingle"), "lists")
     live = tokens.join(common.broadcast_within(lists, BROADCAST_ROWS), "shingle", "left_semi")
-    own = live.groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("place", "shingle"))).alias("own"))
-    own = own.join(roots, F.col("cls") == F.col("node"), "left").select(
-        "cls", "n", F.coalesce("root", "cls").alias("comp"), "own")
-    placed = own.select("cls", "n", "comp", "own", F.posexplode("own").alias("nth", "at")).select(
-        "cls", "n", "comp", F.col("at.shingle").alias("shingle"),
-        # Largest partner that what is left of this set, from this shingle on, suffices for.
-        F.floor((9 * (F.col("n") - F.col("at.place")) - 4 * F.col("n")) / 4).cast("int").alias("most"),
-        F.transform(F.slice("own", F.lit(1), F.col("nth")), lambda t: t["shingle"]).alias("earlier"))
+    # Largest partner that what is left of a set, from this shingle on, suffices for.
+    most = F.floor((9 * (F.col("n") - F.col("place")) - 4 * F.col("n")) / 4).cast("int")
+    placed = live.join(common.broadcast_within(roots, BROADCAST_ROWS), F.col("cls") == F.col("node"), "left").select(
+        "shingle", "cls", "n", F.coalesce("root", "cls").alias("comp"), most.alias("most"))
     placed = common.written(placed, "index_lists")
     # A list with one component has its answers; in the others the largest component is not paired with itself.
     shares = placed.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("n"))
@@ -185,17 +197,14 @@ def candidate_pairs(classes: DataFrame, roots: DataFrame) -> DataFrame:
     probes = open_lists.withColumn("upto", upto).where(F.col("upto") >= F.col("n")).select(
         "shingle", F.when(F.col("minor"), 0).otherwise(1).alias("side"),
         F.explode(F.sequence(_block(F.col("n")), _block(F.col("upto")))).alias("block"),
-        F.col("cls").alias("u"), F.col("n").alias("u_n"), F.col("comp").alias("u_comp"),
-        "upto", F.col("earlier").alias("u_earlier"))
+        F.col("cls").alias("u"), F.col("n").alias("u_n"), F.col("comp").alias("u_comp"), "upto")
     index = open_lists.select(
         "shingle", F.explode(F.when(F.col("minor"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("side"),
         _block(F.col("n")).alias("block"),
-        F.col("cls").alias("v"), F.col("n").alias("v_n"), F.col("comp").alias("v_comp"), "most",
-        F.col("earlier").alias("v_earlier"))
+        F.col("cls").alias("v"), F.col("n").alias("v_n"), F.col("comp").alias("v_comp"), "most")
     pairs = probes.join(index, ["shingle", "side", "block"]).where(
         (F.col("u_comp") != F.col("v_comp")) & (F.col("v_n") <= F.col("upto")) & (F.col("most") >= F.col("u_n"))
-        & ((F.col("u_n") < F.col("v_n")) | ((F.col("u_n") == F.col("v_n")) & (F.col("u") < F.col("v"))))
-        & ~F.arrays_overlap("u_earlier", "v_earlier"))
+        & ((F.col("u_n") < F.col("v_n")) | ((F.col("u_n") == F.col("v_n")) & (F.col("u") < F.col("v")))))
     return common.written(pairs.select("u", "v").distinct(), "candidate_pairs")
 
 
@@ -223,7 +232,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sketches = keyed.mapInArrow(_sketch(levels), SKETCH)
     alone = sketches.join(common.broadcast_within(several, BROADCAST_ROWS), F.col("cls") == F.col("of"), "left").where(
         F.col("of").isNull() | (F.col("key") == F.col("kept_key")))
-    classes = common.written(alone.select("key", "cls", "n", "typical", "least", "prefix"), "sketches")
+    classes = common.written(alone.select("key", "cls", "n", "typical", "least", "bytes", "prefix"), "sketches")
     if not several.isEmpty():
         repeated = classes.groupBy("cls").count().where("count > 1")
         if not repeated.isEmpty():  # rows that are equal in doc_id and text
