@@ -39,7 +39,8 @@ BATCH_BYTES = 2 << 20
 # The vocabulary's marker between texts, and what all its markers begin with.
 BETWEEN = "<|endoftext|>"
 MARKER = "<|"
-_TAIL = r"^(?P<stem>.*[\p{L}\p{N}])(?P<tail>[*$%&#.,!?;:]+)$"
+# U+0130 is left out: its lower case ends in a mark, which closing punctuation joins.
+_TAIL = r"^(?P<stem>.*(?:[^\x{130}\P{L}]|\p{N}))(?P<tail>[*$%&#.,!?;:]+)$"
 
 LEVELS = "array<struct<codes:binary,more:binary,ranks:binary>>"
 SEGMENT = (f"part int, seg int, first_id long, n_ids long, doc_ids array<long>, doc_ends array<long>, levels {LEVELS}")
