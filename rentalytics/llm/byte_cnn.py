@@ -150,7 +150,8 @@ def train_on(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Netw
     order = F.xxhash64("doc_id")
     sample = None
     for value in sorted(counts):
-        part = known.where(F.col("label") == value).orderBy(order, "doc_id").limit(SAMPLE_PER_CLASS)
+        some = known.where((F.col("label") == value) & common.in_share("doc_id", SAMPLE_PER_CLASS, counts[value]))
+        part = some.orderBy(order, "doc_id").limit(SAMPLE_PER_CLASS)
         sample = part if sample is None else sample.unionByName(part)
     texts = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", "text")
     rows = (texts.join(F.broadcast(sample), "doc_id")  # 2 * SAMPLE_PER_CLASS rows at most

@@ -57,6 +57,13 @@ def row_key(columns: tuple[str, ...] = ("doc_id", "text")) -> Column:
         F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in columns])))
 
 
+def in_share(column: str, rows: int, of: int) -> Column:
+    """True for about four times ``rows`` of ``of`` rows, by a hash of the
+    column: what a bounded sample is taken from, so that no task sends more
+    than its part of it."""
+    return F.pmod(F.xxhash64(column, F.lit("sample")), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1, 4 * rows / max(of, 1))) + 1)
+
+
 def broadcast_within(df: DataFrame, rows: int) -> DataFrame:
     """Hint a broadcast only where the written table ``df`` has at most
     ``rows`` narrow rows; beyond that Spark picks a shuffle join."""

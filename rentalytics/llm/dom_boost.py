@@ -365,9 +365,10 @@ def variant(source: str, rng: np.random.Generator) -> str:
 
 
 def train_on(pages: DataFrame, seed: int = 5) -> Boosted:
-    """Trees from a sample of SAMPLE_PAGES pages, taken by a hash of their html."""
-    sample = (pages.select("html").where(F.octet_length("html") <= SAMPLE_BYTES)
-              .orderBy(F.xxhash64("html"), "html").limit(SAMPLE_PAGES).collect())
+    """Trees from a sample of SAMPLE_PAGES different pages at most, taken by a hash of their html."""
+    some = pages.select("html").where((F.octet_length("html") <= SAMPLE_BYTES)
+                                      & common.in_share("html", SAMPLE_PAGES, pages.count()))
+    sample = some.distinct().orderBy(F.xxhash64("html"), "html").limit(SAMPLE_PAGES).collect()
     rng = np.random.default_rng(seed)
     sources = [r["html"] for r in sample]
     parsed = [parse(s) for s in sources + [variant(s, rng) for s in sources] + [variant(s, rng) for s in sources]]
