@@ -181,7 +181,7 @@ def candidate_pairs(classes: DataFrame, roots: DataFrame) -> DataFrame:
     tokens = classes.select("cls", "n", F.posexplode("prefix").alias("place", "shingle"))
     lists = common.written(tokens.groupBy("shingle").agg(F.count(F.lit(1)).alias("length"))
                            .where("length > 1").select("shingle"), "lists")
-    live = tokens.join(common.broadcast_within(lists, BROADCAST_ROWS), "shingle", "left_semi")
+    live = tokens.join(lists, "shingle", "left_semi")
     # Largest partner that what is left of a set, from this shingle on, suffices for.
     most = F.floor((9 * (F.col("n") - F.col("place")) - 4 * F.col("n")) / 4).cast("int")
     placed = live.join(common.broadcast_within(roots, BROADCAST_ROWS), F.col("cls") == F.col("node"), "left").select(
