@@ -31,7 +31,7 @@ RATE = 0.004
 SAMPLE_PER_CLASS = 1500
 SAMPLE_BYTES = 20_000
 # Bytes scored together, and chunks per matrix product.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 PRODUCT_CHUNKS = 1 << 14
 
 

@@ -115,27 +115,39 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        # Entry 0 has no ids, entry 1 the end id.
-        self.entry, self.ids, self.ends = {"": 0}, array("I", [END_ID]), array("q", [0, 0, 1])
+        # Entry 0 has no ids, entry 1 the end id; a piece's entry is its place among the known ones.
+        self.known, self.tails = pa.array(["", BETWEEN]), {"": 0}
+        self.ids, self.ends = array("I", [END_ID]), array("q", [0, 0, 1])
 
     def _ids_of(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: pa.Array) -> None:
+        self.known = pa.concat_arrays([self.known, pieces])
         for at in range(0, len(pieces), CALL_PIECES):
-            own = pieces[at:at + CALL_PIECES]
+            own = pieces.slice(at, CALL_PIECES).to_pylist()
             got = np.array([*self._ids_of(BETWEEN.join(own)), self.between], np.uint32)
             cuts = np.flatnonzero(got == self.between)
             self.ends.frombytes((len(self.ids) + cuts - np.arange(len(cuts))).astype(np.int64).tobytes())
             self.ids.frombytes(got[got != self.between].tobytes())
-            for number, piece in enumerate(own, len(self.entry) + 1):
-                self.entry[piece] = number
+
+    def _tail_entries(self, pieces: pa.Array) -> np.ndarray:
+        """Tails are few: their entries are kept by name."""
+        coded = pieces.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        new = [name for name in names if name not in self.tails]
+        self.tails.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self._learn(pa.array(new, pa.string()))
+        return np.array([self.tails[name] for name in names], np.int64)[coded.indices.to_numpy()]
 
     def _entries(self, pieces: pa.Array) -> np.ndarray:
         coded = pieces.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        self._learn([p for p in distinct if p not in self.entry])
-        numbers = np.fromiter(map(self.entry.__getitem__, distinct), np.int64, len(distinct))
+        found = pc.index_in(coded.dictionary, value_set=self.known)
+        numbers = pc.fill_null(found, -1).to_numpy().astype(np.int64)
+        new = numbers < 0
+        if new.any():
+            numbers[new] = len(self.known) + np.arange(new.sum())
+            self._learn(coded.dictionary.filter(pa.array(new)))
         return numbers[coded.indices.to_numpy()]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -148,9 +160,9 @@ class WordEncoder:
         cut = pc.extract_regex(coded.dictionary, _TAIL)
         stems = pc.if_else(cut.is_valid(), pc.struct_field(cut, "stem"), coded.dictionary)
         tails = pc.fill_null(pc.struct_field(cut, "tail"), "")
-        if len(self.entry) > MEMORY_PIECES:
+        if len(self.known) > MEMORY_PIECES:
             self._forget()
-        entry = np.stack([self._entries(stems), self._entries(tails)], 1)
+        entry = np.stack([self._entries(stems), self._tail_entries(tails)], 1)
         offsets = words.offsets.to_numpy().astype(np.int64)
         offsets = offsets - offsets[0]
         which = coded.indices.to_numpy() if len(coded) else np.zeros(0, np.int64)
