@@ -30,13 +30,20 @@ def integral(x: str) -> str:
 
 
 RAW_LISTINGS = """raw_listings AS (
-SELECT CAST(o.o_orderkey AS STRING) AS id, n.n_name AS neighbourhood_cleansed,
+SELECT CASE WHEN o.o_orderkey % 211 = 7 THEN ' ' || CAST(o.o_orderkey AS STRING) || ' '
+       WHEN o.o_orderkey % 223 = 5 THEN CAST(o.o_orderkey + 100000000000000000 AS STRING)
+       WHEN o.o_orderkey % 227 = 3 THEN CAST(o.o_orderkey AS STRING) || '.0' ELSE CAST(o.o_orderkey AS STRING) END AS id,
+  CASE WHEN o.o_orderkey % 61 = 0 THEN NULL WHEN o.o_orderkey % 499 = 88 THEN 'Quarter ' || CAST(o.o_orderkey AS STRING)
+       ELSE n.n_name END AS neighbourhood_cleansed,
   CASE WHEN o.o_orderkey % 97 = 0 THEN NULL ELSE '48.' || CAST(8566 + (o.o_custkey % 200 - 100) * 5 AS STRING) END AS latitude,
   '2.' || CAST(3522 + (o.o_orderkey % 300 - 150) * 3 AS STRING) AS longitude,
-  p.p_name AS property_type, o.o_orderpriority AS room_type,
-  CASE WHEN o.o_orderkey % 89 = 0 THEN NULL ELSE CAST(o.o_orderkey % 9 AS STRING) END AS accommodates,
+  CASE WHEN o.o_orderkey % 53 = 1 THEN p.p_name || ' boat' WHEN o.o_orderkey % 59 = 2 THEN 'Loft ' || p.p_name
+       ELSE p.p_name END AS property_type, o.o_orderpriority AS room_type,
+  CASE WHEN o.o_orderkey % 89 = 0 THEN NULL WHEN o.o_orderkey % 47 = 3 THEN '2.5' WHEN o.o_orderkey % 97 = 5 THEN '1e1'
+       WHEN o.o_orderkey % 83 = 4 THEN ' 3 ' ELSE CAST(o.o_orderkey % 9 AS STRING) END AS accommodates,
   CASE WHEN o.o_orderkey % 17 = 0 THEN NULL ELSE CAST(o.o_orderkey % 5 AS STRING) END AS bedrooms,
-  CASE WHEN o.o_orderkey % 13 = 0 THEN 'N/A' ELSE CAST(1 + o.o_orderkey % 6 AS STRING) END AS beds,
+  CASE WHEN o.o_orderkey % 13 = 0 THEN 'N/A' WHEN o.o_orderkey % 101 = 1 THEN '1d'
+       WHEN o.o_orderkey % 103 = 2 THEN 'nan' ELSE CAST(1 + o.o_orderkey % 6 AS STRING) END AS beds,
   CASE WHEN o.o_orderkey % 19 = 0 THEN NULL ELSE CAST(o.o_orderkey % 4 AS STRING) || '.5' END AS bathrooms,
   CASE WHEN o.o_orderkey % 23 = 0 THEN NULL WHEN o.o_orderkey % 31 = 0 THEN '[]'
        ELSE '["' || replace(p.p_name, ' ', '", "') || '"]' END AS amenities,
@@ -44,8 +51,10 @@ SELECT CAST(o.o_orderkey AS STRING) AS id, n.n_name AS neighbourhood_cleansed,
        WHEN o.o_totalprice >= 100000 THEN '$' || CAST(CAST(floor(o.o_totalprice / 100000) AS BIGINT) AS STRING) || ','
             || lpad(CAST(CAST(floor(o.o_totalprice / 100) AS BIGINT) % 1000 AS STRING), 3, '0') || '.00'
        ELSE '$' || CAST(CAST(floor(o.o_totalprice / 100) AS BIGINT) AS STRING) || '.00' END AS price,
-  CAST(1 + o.o_orderkey % 40 AS STRING) AS minimum_nights,
-  CAST(20 + o.o_orderkey % 400 AS STRING) AS maximum_nights,
+  CASE WHEN o.o_orderkey % 43 = 2 THEN '1.5' WHEN o.o_orderkey % 41 = 3 THEN '0'
+       ELSE CAST(1 + o.o_orderkey % 40 AS STRING) END AS minimum_nights,
+  CASE WHEN o.o_orderkey % 37 = 1 THEN '2' WHEN o.o_orderkey % 109 = 4 THEN 'n/a'
+       ELSE CAST(20 + o.o_orderkey % 400 AS STRING) END AS maximum_nights,
   CASE o.o_orderkey % 3 WHEN 0 THEN 't' WHEN 1 THEN 'f' ELSE NULL END AS host_is_superhost,
   CASE WHEN o.o_orderkey % 7 = 0 THEN NULL ELSE CAST(3 + o.o_orderkey % 3 AS STRING) END AS review_scores_rating,
   CAST(NULL AS STRING) AS review_scores_accuracy, CAST(NULL AS STRING) AS review_scores_cleanliness,
@@ -54,16 +63,17 @@ SELECT CAST(o.o_orderkey AS STRING) AS id, n.n_name AS neighbourhood_cleansed,
   CASE WHEN o.o_orderkey % 11 = 0 THEN NULL ELSE CAST(o.o_orderkey % 5 AS STRING) || '.25' END AS reviews_per_month
 FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey
 JOIN nation n ON n.n_nationkey = c.c_nationkey
-JOIN part p ON p.p_partkey = o.o_orderkey % 200)"""
+JOIN part p ON p.p_partkey = o.o_orderkey % (SELECT count(*) FROM part))"""
 
 RAW_REVIEWS = """raw_reviews AS (
 SELECT CAST(l.l_orderkey AS STRING) AS listing_id,
-  CAST(l.l_orderkey * 100000 + l.l_partkey AS STRING) AS id,
-  CASE WHEN l.l_partkey % 101 = 0 THEN NULL ELSE substr(CAST(l.l_shipdate AS STRING), 1, 10) END AS date,
+  CAST(l.l_orderkey * 100000 + l.l_partkey AS STRING) || CASE WHEN l.l_partkey % 113 = 3 THEN '.5' ELSE '' END AS id,
+  CASE WHEN l.l_partkey % 101 = 0 THEN NULL WHEN l.l_partkey % 103 = 1 THEN '2020-02-30'
+       WHEN l.l_partkey % 107 = 2 THEN 'soon' ELSE substr(CAST(l.l_shipdate AS STRING), 1, 10) END AS date,
   CAST(l.l_suppkey AS STRING) AS reviewer_id,
   CASE WHEN l.l_suppkey % 11 = 0 THEN NULL ELSE 'Supplier ' || CAST(l.l_suppkey AS STRING) END AS reviewer_name,
   CASE WHEN l.l_partkey % 37 = 0 THEN NULL ELSE d.text END AS comments
-FROM lineitem l JOIN documents d ON d.doc_id = l.l_partkey % 200)"""
+FROM lineitem l JOIN documents d ON d.doc_id = l.l_partkey % (SELECT count(*) FROM documents))"""
 
 _SCORES = ["review_scores_rating", "review_scores_accuracy", "review_scores_cleanliness",
            "review_scores_checkin", "review_scores_communication", "review_scores_location",
@@ -72,10 +82,10 @@ _SCORES = ["review_scores_rating", "review_scores_accuracy", "review_scores_clea
 PARSED = f"""parsed AS (
 SELECT {integral('id')} AS id, neighbourhood_cleansed,
   {num('latitude')} AS latitude, {num('longitude')} AS longitude,
-  property_type, room_type, {integral('accommodates')} AS accommodates,
+  property_type, room_type, {num('accommodates')} AS accommodates,
   {num('bedrooms')} AS bedrooms, {num('beds')} AS beds, {num('bathrooms')} AS bathrooms,
   amenities, TRY_CAST(regexp_replace(price, '[^0-9.]', '', 'g') AS DOUBLE) AS price,
-  {integral('minimum_nights')} AS minimum_nights, {integral('maximum_nights')} AS maximum_nights,
+  {num('minimum_nights')} AS minimum_nights, {num('maximum_nights')} AS maximum_nights,
   host_is_superhost,
   {', '.join(num(c) + ' AS ' + c for c in _SCORES)},
   {num('reviews_per_month')} AS reviews_per_month
@@ -228,7 +238,7 @@ def with_blocks(*needed: str, extra: list[str] | None = None) -> str:
 
 # --- splits, strata, encodings ---------------------------------------------
 HOLDOUT = f"""holdout AS (
-SELECT f.*, ({key_hash('f.id')} % 1000) < 100 AS is_holdout FROM features f)"""
+SELECT f.*, ({key_hash('f.id')} < 0.1 * 4294967296) AS is_holdout FROM features f)"""
 
 STRATA = """strata AS (
 SELECT f.*, CAST(len(list_filter(list_distinct(e.qs), lambda x: x > e.mn AND x < f.price)) AS INTEGER) AS stratum

@@ -19,7 +19,7 @@ from rentalytics.session import cut_lineage
 from rentalytics.sources import fixtures
 
 PARAMS = CleanParams()
-_CACHE: dict[tuple[int, str], "Workbench"] = {}
+_CACHE: dict[tuple[str, str], "Workbench"] = {}
 
 
 class Workbench:
@@ -79,7 +79,7 @@ class Workbench:
 
 
 def bench(spark: SparkSession, sf_dir: str) -> Workbench:
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _CACHE:
         _CACHE[key] = Workbench(spark, sf_dir)
     return _CACHE[key]

@@ -54,11 +54,11 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--folds", type=int, default=5)
     p.add_argument("--trees", type=int, default=TE_MODEL_SETTINGS["n_estimators"])
     p.add_argument("--nested", action="store_true")
+    p.add_argument("--early-stopping", action="store_true")
     p = sub.add_parser("train")
     p.add_argument("--clean", required=True)
     p.add_argument("--model-dir", required=True)
     p.add_argument("--draws", type=int, default=30)
-    p.add_argument("--max-trees", type=int)
     p = sub.add_parser("score")
     p.add_argument("--model-dir", required=True)
     p.add_argument("--input", required=True)
@@ -85,14 +85,15 @@ def main(argv: list[str] | None = None) -> int:
         per_fold, summary = M.te_cross_validation(feats, settings, k=args.folds, nested=args.nested)
         per_fold.orderBy("fold").show()
         summary.show()
+        if args.early_stopping:
+            settings = replace(settings, validation_col="__val")
         trained = M.train_te_model(feats, settings, model_dir=args.model_dir)
         print(json.dumps(trained.metrics))
     elif args.cmd == "train":
         paths = _paths(args.clean)
         joined = C.join_reviews(io.read_table(spark, paths["listings_features"]),
                                 io.read_table(spark, paths["reviews_summary"]), keep_listing_id=False)
-        _, report = M.train_searched_model(joined, M.sample_search_space(args.draws), max_trees=args.max_trees,
-                                           model_dir=args.model_dir)
+        _, report = M.train_searched_model(joined, M.sample_search_space(args.draws), model_dir=args.model_dir)
         report.show(vertical=True, truncate=False)
     elif args.cmd == "score":
         scored = M.score(io.read_table(spark, args.input), args.model_dir)

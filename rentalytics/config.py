@@ -62,7 +62,6 @@ LISTING_NUMERIC_COLUMNS = (
 )
 
 # Of those, the ones stored as BIGINT in the clean table (the rest are DOUBLE).
-LISTING_INTEGER_COLUMNS = ("accommodates", "minimum_nights", "maximum_nights")
 
 # Columns whose nulls are filled with the column median after dropping null prices.
 MEDIAN_FILL_COLUMNS = ("beds", "bathrooms", "bedrooms")

@@ -7,7 +7,6 @@ convert it at run time from real shuffle statistics).
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
@@ -24,21 +23,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS,
     ``max_bytes`` bytes (text/binary byte lengths plus 8 bytes per other
     value), else ``df`` for a shuffle join.
 
-    The side is persisted (memory, spilling to disk) before it is measured,
-    so a broadcast reads the rows the check already computed instead of
-    computing an aggregated side twice (a lost block is recomputed from
-    lineage).  A side over the bounds is released again and joined by
-    shuffle.
+    The check reads one row more than the bound at most and keeps nothing.
     """
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
     var = [f.name for f in df.schema.fields if isinstance(f.dataType, (StringType, BinaryType))]
     fixed = len(df.columns) - len(var)
     var_bytes = sum((F.coalesce(F.octet_length(F.col(c)), F.lit(0)).cast("long") for c in var), F.lit(0))
-    row = kept.agg(F.count(F.lit(1)).alias("n"), F.sum(var_bytes).alias("b")).first()
+    row = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(var_bytes).alias("b")).first()
     n, size = row["n"], (row["b"] or 0) + row["n"] * fixed * FIXED_WIDTH_BYTES
     if n <= max_rows and size <= max_bytes:
-        return F.broadcast(kept)
-    kept.unpersist()
+        return F.broadcast(df)
     return df
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
-from ..config import REVIEW_FEATURE_COLUMNS, SPECIAL_PROPERTY_WORDS, CleanParams
+from ..config import MATRIX_DROPPED_COLUMNS, REVIEW_FEATURE_COLUMNS, SPECIAL_PROPERTY_WORDS, CleanParams
 from ..functions import haversine_km, nan_to_null, numeric_text, truthy_int
 from .stats import attach, median_stats, stats_row
 
@@ -122,5 +122,5 @@ def add_special_property_flags(df: DataFrame, column: str = "property_type") ->
 
 
 # --- P29 --------------------------------------------------------------------
-def model_matrix(df: DataFrame, dropped=("price", "id", "first_review", "last_review", "property_type")) -> DataFrame:
+def model_matrix(df: DataFrame, dropped=MATRIX_DROPPED_COLUMNS) -> DataFrame:
     return df.drop(*dropped)

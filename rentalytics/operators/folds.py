@@ -27,10 +27,10 @@ def assign_folds(df: DataFrame, k: int = 5, seed: int = 42, key: str = "id",
 
 # --- T2 ---------------------------------------------------------------------
 def holdout_flag(df: DataFrame, fraction: float, seed: int = 42, key: str = "id",
-                 flag_col: str = "is_holdout", resolution: int = 1000) -> DataFrame:
-    """Unstratified split: a key is held out when H(key) % 1000 < 1000 * fraction."""
-    cut = int(round(fraction * resolution))
-    return df.withColumn(flag_col, (key_hash(key, seed) % resolution) < cut)
+                 flag_col: str = "is_holdout") -> DataFrame:
+    """Unstratified split: a key is held out when its hash, read as a share of
+    the whole hash range, is below ``fraction``."""
+    return df.withColumn(flag_col, key_hash(key, seed) < F.lit(float(fraction) * 2.0 ** HASH_BITS))
 
 
 # --- A13 --------------------------------------------------------------------

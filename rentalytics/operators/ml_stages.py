@@ -30,6 +30,14 @@ class _Labels(Params):
 
 
 # --- F6 ---------------------------------------------------------------------
+def most_frequent(df: DataFrame, column: str):
+    """The most frequent non-null value (ties -> smallest), None without one:
+    counted per value with a top-1, so no task holds all distinct values."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    row = counts.orderBy(F.col("n").desc(), F.col(column)).limit(1).first()
+    return row[column] if row else None
+
+
 class ModeFiller(Estimator, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
     """Fill NULLs with the column's most frequent value (ties -> smallest)."""
 
@@ -40,8 +48,7 @@ class ModeFiller(Estimator, HasInputCols, DefaultParamsReadable, DefaultParamsWr
 
     def _fit(self, df: DataFrame) -> "ModeFillerModel":
         cols = self.getInputCols()
-        row = df.agg(*[F.mode(c, deterministic=True).alias(c) for c in cols]).first()
-        values = {c: row[c] for c in cols}
+        values = {c: most_frequent(df, c) for c in cols}
         return ModeFillerModel(inputCols=cols, labels=json.dumps(values))
 
 
@@ -76,6 +83,8 @@ class InfrequentBucketer(Estimator, HasInputCols, DefaultParamsReadable, Default
         from .encoding import frequent_categories
 
         share = self.getOrDefault(self.minFrequency)
+        if not share > 0:
+            raise ValueError("minFrequency must be above 0: it bounds the labels kept (1 / minFrequency)")
         fitted = {}
         for c in self.getInputCols():
             freq = frequent_categories(df, c, share)

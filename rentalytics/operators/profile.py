@@ -50,7 +50,9 @@ def catalog_listing(spark: SparkSession, database: str | None = None) -> DataFra
 
 # --- A9 ---------------------------------------------------------------------
 def category_options(df: DataFrame, column: str) -> DataFrame:
-    """Distinct non-null values as text, sorted."""
+    """Distinct non-null values as text, sorted; none for an absent column."""
+    if column not in df.columns:
+        return df.sparkSession.createDataFrame([], "option string")
     return (df.select(F.col(column).cast("string").alias("option")).where(F.col("option").isNotNull())
             .distinct().orderBy("option"))
 
@@ -59,9 +61,13 @@ def category_options(df: DataFrame, column: str) -> DataFrame:
 def numeric_bounds(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, min, max, median) per column: min/max from one aggregate,
     exact medians from the bounded-memory selection (all columns share its
-    passes)."""
+    passes).  An absent column has no row."""
     from .quantiles import exact_quantiles_many
 
+    columns = [c for c in columns if c in df.columns]
+    if not columns:
+        return df.sparkSession.createDataFrame(
+            [], "column_name string, min_value double, max_value double, median_value double")
     aggs = []
     for c in columns:
         v = F.col(c).cast("double")
@@ -75,7 +81,8 @@ def numeric_bounds(df: DataFrame, columns: list[str]) -> DataFrame:
 
 # --- A11 --------------------------------------------------------------------
 def kept_categories(mapping: DataFrame, slim: str = "property_type_slim", other: str = "Other") -> DataFrame:
-    """Sorted kept categories with 'Other' appended last when it is absent."""
+    """Sorted kept categories with 'Other' last.  There are at most 1 / threshold
+    kept ones, so the ranking task stays small however many rare types map to 'Other'."""
     kept = mapping.select(F.col(slim).alias("category")).where(F.col("category") != other).distinct()
     with_other = kept.unionByName(mapping.sparkSession.range(1).select(F.lit(other).alias("category")))
     return with_other.select("category", F.when(F.col("category") == other, 1).otherwise(0).alias("__last"))\

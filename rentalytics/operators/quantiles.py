@@ -5,7 +5,8 @@ one task: fine for small domains (beds, ratings, cent prices inside caps),
 unbounded for continuous columns.  This selection finds the exact values at
 the needed ranks instead:
 
-1. one aggregate: count, min, max;
+1. one aggregate: count, infinities, min and max of the finite values
+   (infinities are answered by rank alone);
 2. while a target's bracket holds more than ``final_rows`` rows: one
    histogram aggregate (``buckets`` equal-width buckets per open bracket,
    count/min/max per bucket; partial aggregation, at most
@@ -16,7 +17,9 @@ the needed ranks instead:
    rows at the needed ranks.
 
 Interpolation is Spark's own formula, so results equal ``percentile``.
-Typically 2-3 passes; a bracket of one repeated value ends at once.
+Typically 2-3 passes; a bracket of one repeated value ends at once.  The
+ends of a bracket fall into its first and last bucket, so every pass makes it
+smaller; a pass that does not raises an error.
 """
 
 from __future__ import annotations
@@ -42,12 +45,15 @@ def _select_ranks(values: DataFrame, targets: dict[tuple[int, int], tuple[float,
         open_ = sorted({(t[0], lo, hi) for t, (lo, hi, _, inside) in state.items() if inside > final_rows and lo < hi})
         if not open_:
             break
+        # halves where the width of a finite range is beyond the largest double
         arr = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(ci).alias("c"), F.lit(lo).alias("lo"),
-                                 F.lit(hi).alias("hi")) for i, (ci, lo, hi) in enumerate(open_)])
+                                 F.lit(hi).alias("hi"), F.lit(0.5 if math.isinf(hi - lo) else 1.0).alias("unit"))
+                        for i, (ci, lo, hi) in enumerate(open_)])
         inside_ = F.filter(arr, lambda s: (c == s["c"]) & (v >= s["lo"]) & (v <= s["hi"]))
         hits = values.select("v", F.explode(inside_).alias("b"))
-        width = F.col("b.hi") - F.col("b.lo")
-        bucket = F.least(F.floor((v - F.col("b.lo")) / width * buckets), F.lit(buckets - 1)).cast("int")
+        unit = F.col("b.unit")
+        width = F.col("b.hi") * unit - F.col("b.lo") * unit
+        bucket = F.least(F.floor((v * unit - F.col("b.lo") * unit) / width * buckets), F.lit(buckets - 1)).cast("int")
         hist = (hits.groupBy(F.col("b.i").alias("i"), bucket.alias("k"))
                 .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"))
                 .collect())
@@ -61,6 +67,8 @@ def _select_ranks(values: DataFrame, targets: dict[tuple[int, int], tuple[float,
             cum = below
             for row in sorted(by_bracket[open_.index(key)], key=lambda x: x["k"]):
                 if cum + row["n"] > t[1]:
+                    if row["n"] >= inside:
+                        raise RuntimeError(f"quantile bracket [{lo}, {hi}] of {inside} rows did not shrink")
                     state[t] = (row["mn"], row["mx"], cum, row["n"])
                     break
                 cum += row["n"]
@@ -93,9 +101,13 @@ def exact_quantiles_many(df: DataFrame, probs: dict[str, list[float]], final_row
                       for i, name in enumerate(cols)])
     values = (df.select(F.explode(pairs).alias("p")).select("p.c", "p.v")
               .where(F.col("v").isNotNull() & ~F.isnan("v")))
+    infinity = float("inf")
+    finite = F.when(F.abs("v") != infinity, F.col("v"))
     stats = {r["c"]: r for r in values.groupBy("c").agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx")).collect()}
-    targets, positions = {}, {}
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("v") == -infinity).alias("below"),
+        F.count(finite).alias("finite"), F.min(finite).alias("mn"), F.max(finite).alias("mx")).collect()}
+    values = values.where(F.abs("v") != infinity)
+    targets, positions, at = {}, {}, {}
     for i, name in enumerate(cols):
         st = stats.get(i)
         if st is None:
@@ -103,8 +115,14 @@ def exact_quantiles_many(df: DataFrame, probs: dict[str, list[float]], final_row
         positions[name] = [(st["n"] - 1) * p for p in probs[name]]
         for pos in positions[name]:
             for r in {int(math.floor(pos)), int(math.ceil(pos))}:
-                targets[(i, r)] = (st["mn"], st["mx"], st["n"])
-    at = _select_ranks(values, targets, final_rows, buckets)
+                if r < st["below"]:
+                    at[(i, r)] = -infinity
+                elif r >= st["below"] + st["finite"]:
+                    at[(i, r)] = infinity
+                else:
+                    targets[(i, r - st["below"])] = (st["mn"], st["mx"], st["finite"])
+    found = _select_ranks(values, targets, final_rows, buckets)
+    at.update({(i, r + stats[i]["below"]): value for (i, r), value in found.items()})
     out: dict[str, list[float | None]] = {}
     for i, name in enumerate(cols):
         if name not in positions:

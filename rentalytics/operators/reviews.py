@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import RAW_REVIEW_COLUMNS
 from ..functions import date_text, integral_text
+from ..session import cut_lineage
 from .broadcast import one_row
 
 
@@ -76,4 +77,5 @@ def add_review_recency(summary: DataFrame, reviews: DataFrame | None = None) ->
 
 def reviews_summary(reviews: DataFrame) -> DataFrame:
     """clean reviews -> reviews_summary (6 columns)."""
-    return add_review_recency(summarise_reviews(reviews), reviews)
+    # The latest of all dates is the latest last_review: one scan of the reviews.
+    return add_review_recency(cut_lineage(summarise_reviews(reviews)))

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import datetime
 import json
+import math
 import os
 import random
 from concurrent.futures import ThreadPoolExecutor
@@ -74,12 +75,8 @@ class BoostSettings:
     ignored: tuple = ()
 
 
-def settings_from_reference(params: dict, base: BoostSettings = BoostSettings(),
-                            max_trees: int | None = None) -> BoostSettings:
-    """XGBoost-style parameter names -> GBTRegressor settings (M1 mapping).
-
-    ``max_trees`` is an explicit compute budget for smoke runs (default: none).
-    """
+def settings_from_reference(params: dict, base: BoostSettings = BoostSettings()) -> BoostSettings:
+    """XGBoost-style parameter names -> GBTRegressor settings (M1 mapping)."""
     s = base
     mapping = {
         "n_estimators": ("max_iter", int), "learning_rate": ("step_size", float),
@@ -96,8 +93,6 @@ def settings_from_reference(params: dict, base: BoostSettings = BoostSettings(),
             s = replace(s, **{field: conv(v)})
         else:
             ignored.append(k)
-    if max_trees is not None:
-        s = replace(s, max_iter=min(s.max_iter, max_trees))
     return replace(s, ignored=tuple(sorted(ignored)))
 
 
@@ -242,16 +237,23 @@ def te_cross_validation(features: DataFrame, settings: BoostSettings, k: int = 5
 
 # --- M6 ---------------------------------------------------------------------
 def sample_search_space(n: int, seed: int = 42, space: dict = SEARCH_SPACE) -> list[dict]:
-    """``n`` reproducible random draws from the grid (driver-side choice of
-    hyper-parameters only; no data involved)."""
-    rng = random.Random(seed)
+    """``n`` reproducible random draws from the grid without repeats, at most
+    the whole grid (driver-side choice of hyper-parameters only; no data involved)."""
     keys = sorted(space)
-    return [{k: rng.choice(space[k]) for k in keys} for _ in range(n)]
+    draws = []
+    for place in random.Random(seed).sample(range(math.prod(len(space[k]) for k in keys)),
+                                            min(n, math.prod(len(space[k]) for k in keys))):
+        draw = {}
+        for k in keys:
+            place, choice = divmod(place, len(space[k]))
+            draw[k] = space[k][choice]
+        draws.append(draw)
+    return draws
 
 
 def random_search(train: DataFrame, draws: list[dict], fold_col: str = "fold", k: int = 5,
                   base: BoostSettings = BoostSettings(), transform: str = "log", rare_share: float = 0.01,
-                  parallelism: int = 4, max_trees: int | None = None):
+                  parallelism: int = 4):
     """CrossValidator over sampled settings with the key-hash folds; scored by
     MAE on the price scale; the best setting is refit on all of ``train``."""
     df = cut_lineage(with_label(train, "price", transform))
@@ -260,7 +262,7 @@ def random_search(train: DataFrame, draws: list[dict], fold_col: str = "fold", k
     g = pipe.getStages()[-2]
     maps = []
     for d in draws:
-        s = settings_from_reference(d, base, max_trees)
+        s = settings_from_reference(d, base)
         maps.append({g.maxIter: s.max_iter, g.stepSize: s.step_size, g.maxDepth: s.max_depth,
                      g.subsamplingRate: s.subsampling_rate, g.featureSubsetStrategy: s.feature_subset,
                      g.minInstancesPerNode: s.min_instances_per_node, g.minInfoGain: s.min_info_gain,
@@ -275,8 +277,7 @@ def random_search(train: DataFrame, draws: list[dict], fold_col: str = "fold", k
 
 def train_searched_model(joined: DataFrame, draws: list[dict], k: int = 5, seed: int = 42,
                          test_fraction: float = 0.2, strata: int = 10, base: BoostSettings = BoostSettings(),
-                         tail_quantile: float = 0.9, parallelism: int = 4, max_trees: int | None = None,
-                         model_dir: str | None = None) -> tuple[object, DataFrame]:
+                         tail_quantile: float = 0.9, parallelism: int = 4, model_dir: str | None = None) -> tuple[object, DataFrame]:
     """The searched-model flow: price-decile stratified test split, random
     search with key-hash folds on the training rows, refit of the best
     setting, test MAE overall / in the tail / in the body, the training-median
@@ -289,7 +290,7 @@ def train_searched_model(joined: DataFrame, draws: list[dict], k: int = 5, seed:
     split = cut_lineage(split)
     train = assign_folds(split.where(~F.col("is_test")), k, seed)
     test = split.where(F.col("is_test"))
-    cv_model, best, cv_maes = random_search(train, draws, "fold", k, base, "log", 0.01, parallelism, max_trees)
+    cv_model, best, cv_maes = random_search(train, draws, "fold", k, base, "log", 0.01, parallelism)
     model = cv_model.bestModel
     scored = model.transform(with_label(test, "price", "log"))
     tail = ME.tail_metrics(scored, "price", PREDICTION, tail_quantile)
@@ -298,7 +299,7 @@ def train_searched_model(joined: DataFrame, draws: list[dict], k: int = 5, seed:
                        F.sum(F.col("is_test").cast("long")).alias("test_rows"))
     report = (tail.crossJoin(baseline).crossJoin(counts)
               .withColumn("saved_at", F.lit(datetime.datetime.now().strftime("%Y-%m-%d %H:%M:%S")))
-              .withColumn("target", F.lit("price (log-trained, predictions on price scale)"))
+              .withColumn("target", F.lit("price; fitted on its logarithm, predicted in price units"))
               .withColumn("features", F.array(*[F.lit(c) for c in MATRIX_CATEGORICAL_FEATURES], *[
                   F.lit(c) for c in matrix_model_columns(with_label(train, "price", "log"))[0]]))
               .withColumn("cv_mae_mean", F.lit(float(min(cv_maes))))
@@ -351,7 +352,7 @@ def train_te_model(features: DataFrame, settings: BoostSettings, validation_frac
                    seed: int = 42, te_scope: str = "all", model_dir: str | None = None) -> TrainedModel:
     """Final target-encoded model: encoding from all rows (``te_scope='all'``,
     as the reference) or from the training split only; 90/10 split by key
-    hash; validation MAE/RMSE; model, metadata and encoding table saved."""
+    hash (``settings.validation_col="__val"`` stops early on it); validation MAE/RMSE; model, metadata and encoding table saved."""
     from ..operators.folds import holdout_flag
 
     df = holdout_flag(features.where(F.col("price").isNotNull()), validation_fraction, seed, flag_col="__val")
@@ -360,18 +361,21 @@ def train_te_model(features: DataFrame, settings: BoostSettings, validation_frac
     df = EN.apply_target_encoding(df, TE_CATEGORY_COLUMN, mapping, mean, out=TE_OUTPUT_COLUMN)
     df = cut_lineage(with_label(df, "price", "log1p"))
     numeric, categorical = te_model_columns(df)
-    model = build_pipeline(numeric, categorical, settings, "log1p", mode_fill=True).fit(df.where(~F.col("__val")))
+    # With early stopping the fit itself sets the validation rows apart.
+    rows = df if settings.validation_col == "__val" else df.where(~F.col("__val"))
+    model = build_pipeline(numeric, categorical, settings, "log1p", mode_fill=True).fit(rows)
     scored = model.transform(df.where(F.col("__val")))
     row = ME.error_metrics(scored, "price", PREDICTION).first()
     types = [(c, dict(df.dtypes)[c]) for c in numeric + categorical]
     trained = TrainedModel(model, types, {"MAE": round(row["mae"], 2), "RMSE": round(row["rmse"], 2),
                                           "validation_rows": row["n"]}, settings, "log1p", True)
     if model_dir:
-        save_trained(trained, model_dir, te=(mapping, mean))
+        save_trained(trained, model_dir, te=(mapping, mean), spark=features.sparkSession)
     return trained
 
 
-def save_trained(trained: TrainedModel, model_dir: str, te: tuple[DataFrame, DataFrame] | None = None) -> str:
+def save_trained(trained: TrainedModel, model_dir: str, te: tuple[DataFrame, DataFrame] | None = None,
+                 spark: SparkSession | None = None) -> str:
     """Model (Spark ML persistence), encoding table and a 1-row metadata record."""
     trained.model.write().overwrite().save(os.path.join(model_dir, "model"))
     if te is not None:
@@ -387,7 +391,7 @@ def save_trained(trained: TrainedModel, model_dir: str, te: tuple[DataFrame, Dat
         "target_transform": trained.transform,
         "uses_target_encoding": trained.uses_te,
     }
-    session = SparkSession.getActiveSession()
+    session = spark or (te[0].sparkSession if te else SparkSession.builder.getOrCreate())
     io.write_json_record(session.createDataFrame([meta]), os.path.join(model_dir, "metadata"))
     return model_dir
 
@@ -414,7 +418,7 @@ def score(df: DataFrame, model_dir: str | StoredModel, keep: tuple[str, ...] = (
     inverse target transform is part of the stored pipeline; ``keep`` columns
     (ids) ride along.  Pass a ``StoredModel`` to score many batches with one load."""
     stored = model_dir if isinstance(model_dir, StoredModel) else load_stored(df.sparkSession, model_dir)
-    if stored.te is not None and TE_OUTPUT_COLUMN not in df.columns:
+    if stored.te is not None and TE_OUTPUT_COLUMN not in df.columns and TE_CATEGORY_COLUMN in df.columns:
         mapping, mean = stored.te
         df = EN.apply_target_encoding(df, TE_CATEGORY_COLUMN, mapping, mean, out=TE_OUTPUT_COLUMN)
     names = {n for n, _ in stored.feature_types}

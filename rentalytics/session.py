@@ -90,8 +90,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df):
-    """Reliable checkpoint into the shared folder (never a local checkpoint):
-    later passes read the written data, and a lost executor costs a re-read,
-    not a recomputation of everything upstream."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written once as parquet in the shared folder and read back:
+    later passes prune columns and push filters into the written data, and a
+    lost executor costs a re-read, not a recomputation of everything upstream."""
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from rentalytics.operators.quantiles import exact_quantiles_many
 
 values = st.lists(st.one_of(st.none(), st.integers(-5, 5).map(float),
-                            st.floats(-1e6, 1e6, allow_nan=False, allow_infinity=False)),
+                            st.floats(-1e6, 1e6, allow_nan=False, allow_infinity=False),
+                            st.sampled_from([float("inf"), float("-inf"), 1.7e308, -1.7e308, 5e-324])),
                   min_size=1, max_size=60)
 probs = st.lists(st.sampled_from([0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]), min_size=1, max_size=3, unique=True)
 
@@ -21,4 +22,15 @@ def test_selection_equals_percentile(spark, vals, ps, buckets, final_rows):
     if expect is None:
         assert got == [None] * len(ps)
     else:
-        assert got == list(expect)
+        assert repr(got) == repr(list(expect))  # NaN between two infinities on both sides
+
+
+def test_extreme_ranges_end(spark):
+    infinity = float("inf")
+    rows = [(float(i),) for i in range(1000)] + [(infinity,), (-infinity,), (1.7e308,), (-1.7e308,), (5e-324,)]
+    df = spark.createDataFrame(rows, "x double").repartition(4)
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    direct = exact_quantiles_many(df, {"x": probs})["x"]
+    for final_rows in (1, 8):
+        assert exact_quantiles_many(df, {"x": probs}, final_rows=final_rows)["x"] == direct
+    assert direct == list(df.agg(F.percentile("x", probs).alias("p")).first().p)
