@@ -4,7 +4,7 @@
     python -m rentalytics audit    --clean BASE
     python -m rentalytics features --clean BASE --out PATH [--refresh]
     python -m rentalytics evaluate --features PATH --model-dir DIR [--folds 5] [--trees 2000] [--nested]
-    python -m rentalytics train    --clean BASE --model-dir DIR [--draws 30]
+    python -m rentalytics train    --clean BASE --model-dir DIR [--draws 30 | --space FILE]
     python -m rentalytics score    --model-dir DIR --input PATH --out PATH
 
 BASE is a shared folder or a catalog database; run under spark-submit on a
@@ -59,6 +59,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--clean", required=True)
     p.add_argument("--model-dir", required=True)
     p.add_argument("--draws", type=int, default=30)
+    p.add_argument("--space", help="JSON file with the list of settings to search, instead of --draws from the grid")
     p = sub.add_parser("score")
     p.add_argument("--model-dir", required=True)
     p.add_argument("--input", required=True)
@@ -93,7 +94,12 @@ def main(argv: list[str] | None = None) -> int:
         paths = _paths(args.clean)
         joined = C.join_reviews(io.read_table(spark, paths["listings_features"]),
                                 io.read_table(spark, paths["reviews_summary"]), keep_listing_id=False)
-        _, report = M.train_searched_model(joined, M.sample_search_space(args.draws), model_dir=args.model_dir)
+        if args.space:
+            with open(args.space) as file:
+                draws = json.load(file)
+        else:
+            draws = M.sample_search_space(args.draws)
+        _, report = M.train_searched_model(joined, draws, model_dir=args.model_dir)
         report.show(vertical=True, truncate=False)
     elif args.cmd == "score":
         scored = M.score(io.read_table(spark, args.input), args.model_dir)

@@ -9,7 +9,7 @@ from rentalytics.session import scratch_path
 from rentalytics.sources import io
 
 
-def test_cli_clean_features_evaluate_train_score(spark):
+def test_cli_clean_features_evaluate_train_score(spark, tmp_path):
     b = bench(spark, SMOKE_DIR)
     listings_csv = io.write_raw_csv(b.raw_listings, scratch_path(spark, "cli_listings"))
     reviews_csv = io.write_raw_csv(b.raw_reviews, scratch_path(spark, "cli_reviews"))
@@ -26,5 +26,7 @@ def test_cli_clean_features_evaluate_train_score(spark):
     assert main(["score", "--model-dir", te_dir, "--input", feats, "--out", out]) == 0
     assert io.read_table(spark, out).count() == b.features.count()
     mx_dir = scratch_path(spark, "cli_searched")
-    assert main(["train", "--clean", base, "--model-dir", mx_dir, "--draws", "1", "--max-trees", "3"]) == 0
+    space = tmp_path / "space.json"
+    space.write_text('[{"n_estimators": 3, "max_depth": 2}]')
+    assert main(["train", "--clean", base, "--model-dir", mx_dir, "--space", str(space)]) == 0
     assert os.path.exists(os.path.join(mx_dir, "metadata"))

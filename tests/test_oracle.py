@@ -7,11 +7,6 @@ import __spark_entry__ as E
 from checks.compare import duck, rows_of, type_diffs
 from conftest import SMOKE_DIR
 
-ML = {"m1_gbt_log_target_predictions", "m4_cross_validation", "m5_final_te_model", "m6_random_search",
-      "m11_stream_scoring",
-      "m10_feature_importance", "m11_batch_scoring", "m12_early_stopping"}
-
-
 @pytest.fixture(scope="module")
 def con():
     return duck(SMOKE_DIR)
@@ -31,8 +26,9 @@ def test_query_matches_oracle(spark, con, name):
 
 
 def test_every_query_has_oracle_or_is_listed():
+    """All but training-data operators that SQL cannot express (see tests/llm)."""
     missing = set(E.queries()) - set(E.oracle_sql())
-    assert missing <= ML
+    assert all(name == "pipeline" or name.startswith("op") for name in missing)
 
 
 def test_entry_smoke(spark):
