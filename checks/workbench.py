@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from rentalytics.config import CleanParams
 from rentalytics.operators import listings as L
 from rentalytics.operators import reviews as R
+from rentalytics.operators.folds import quantile_bins, stratified_holdout
 from rentalytics.plans.cleaning import feature_table
 from rentalytics.session import cut_lineage
 from rentalytics.sources import fixtures
@@ -77,6 +78,11 @@ class Workbench:
     def features(self) -> DataFrame:
         return cut_lineage(feature_table(self.listings, self.summary, self.params))
 
+    @cached_property
+    def split(self) -> DataFrame:
+        strata = quantile_bins(self.features, "price", 10)
+        return cut_lineage(stratified_holdout(strata, "stratum", 0.2, seed=42))
+
 
 def bench(spark: SparkSession, sf_dir: str) -> Workbench:
     key = (spark.sparkContext.applicationId, sf_dir)

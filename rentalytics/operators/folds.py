@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions import key_hash
 from ..functions.hashing import HASH_BITS
+from ..session import cut_lineage
 from .broadcast import broadcast_if_small
 from .stats import attach, quantiles_row
 
@@ -86,12 +87,30 @@ def rank_within(df: DataFrame, group: str, order_hash: str, tie: str, out: str =
 
 
 def stratified_holdout(df: DataFrame, stratum: str, fraction: float, seed: int = 42,
-                       key: str = "id", flag_col: str = "is_test") -> DataFrame:
-    """Per stratum, the round(fraction * n) rows with the smallest H(key) are held out."""
-    h = df.withColumn("__h", key_hash(key, seed))
-    sizes = h.groupBy(stratum).agg(F.count(F.lit(1)).alias("__size"))
-    ranked = rank_within(h, stratum, "__h", key, out="__rank")
-    quota = F.round(F.lit(float(fraction)) * F.col("__size"))
-    sizes = broadcast_if_small(sizes.withColumnRenamed(stratum, "__s"), 1 << 20)
-    out = ranked.join(sizes, ranked[stratum].eqNullSafe(sizes["__s"]), "left")
-    return out.select(*df.columns, (F.col("__rank") <= quota).alias(flag_col))
+                       key: str = "id", flag_col: str = "is_test", bucket_bits: int = 16) -> DataFrame:
+    """Per stratum, the round(fraction * n) rows with the smallest (H(key), key) are held out.
+
+    Counts per (stratum, hash bucket) say in which bucket a stratum's quota
+    ends; only the (hash, key) pairs of that bucket - one in 2**bucket_bits of
+    the stratum - are ranked, which gives the last pair held out.  Every other
+    row is compared with its stratum's pair: no full row is sorted or moved.
+    """
+    shift = HASH_BITS - bucket_bits
+    hashed = df.select(F.col(stratum).alias("s"), key_hash(key, seed).alias("h"), F.col(key).alias("k"))
+    bucket = F.shiftright("h", shift).alias("bucket")
+    upto = Window.partitionBy("s").orderBy("bucket")
+    counts = (hashed.groupBy("s", bucket).agg(F.count(F.lit(1)).alias("n"))
+              .withColumn("upto", F.sum("n").over(upto))
+              .withColumn("quota", F.round(F.lit(float(fraction)) * F.sum("n").over(Window.partitionBy("s")))))
+    ends = (counts.where((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("n") < F.col("quota")))
+            .select(F.col("s").alias("end_s"), F.col("bucket").alias("end_bucket"),
+                    (F.col("quota") - F.col("upto") + F.col("n")).alias("rest")))
+    ends = broadcast_if_small(cut_lineage(ends), 1 << 20)
+    last = (hashed.join(ends, F.col("s").eqNullSafe(F.col("end_s")) & (F.shiftright("h", shift) == F.col("end_bucket")))
+            .withColumn("rank", F.row_number().over(Window.partitionBy("s").orderBy("h", "k")))
+            .where(F.col("rank") == F.col("rest"))
+            .select(F.col("s").alias("__s"), F.struct("h", "k").alias("__last")))
+    last = broadcast_if_small(cut_lineage(last), 1 << 20)
+    out = df.join(last, F.col(stratum).eqNullSafe(F.col("__s")), "left")
+    own = F.struct(key_hash(key, seed).alias("h"), F.col(key).alias("k"))
+    return out.select(*df.columns, F.coalesce(own <= F.col("__last"), F.lit(False)).alias(flag_col))
