@@ -14,8 +14,10 @@ rarest fifth of their shingles (the prefix) in any common order.
   (all that is left after the first common shingle must suffice), so a set
   visits only the blocks it can have a partner in, and of a list's dominant
   component only the others are paired with it.
-* Surviving pairs between components are verified exactly on whole sets, so
-  every link either lies inside a component or is found: components are exact.
+* Surviving pairs between components are bounded by how their shingles spread
+  over hash ranges (no more can be common than the smaller count of every
+  range), and verified exactly on whole sets.  So every link either lies
+  inside a component or is found: components are exact.
 """
 
 from __future__ import annotations
@@ -45,6 +47,8 @@ KEYS = 3
 LEAST_AGREEING = 10
 # Narrow rows up to which a join may broadcast them (about 50 bytes each).
 BROADCAST_ROWS = 1_000_000
+# Shingles per hash range of a set's spread, about.
+RANGE_SHINGLES = 4
 # Width of a size block: sizes of one block differ by a tenth.
 BLOCK_RATIO = 1.1
 
@@ -92,6 +96,32 @@ def _levels(survey: DataFrame) -> np.ndarray:
     return levels
 
 
+def spread(shingles: np.ndarray) -> np.ndarray:
+    """How many shingles are in each of 2**k equal hash ranges, in hash order."""
+    bits = max(len(shingles) // RANGE_SHINGLES, 1).bit_length() - 1
+    ranges = (shingles >> np.uint64(63 - bits)) >> np.uint64(1)
+    return np.minimum(np.bincount(ranges.astype(np.int64), minlength=1 << bits), 65535).astype("<u2")
+
+
+def most_common(x: np.ndarray, y: np.ndarray) -> int:
+    """An upper bound of the common shingles of two sets by their spreads."""
+    while len(x) > len(y):
+        x = x.reshape(-1, 2).sum(1, dtype=np.int64)
+    while len(y) > len(x):
+        y = y.reshape(-1, 2).sum(1, dtype=np.int64)
+    return int(np.minimum(x, y).sum(dtype=np.int64))
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose spreads leave room for a link."""
+    for batch in batches:
+        sizes = zip(batch.column("x_n").to_pylist(), batch.column("y_n").to_pylist(), strict=True)
+        spreads = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
+        room = [9 * most_common(np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")) >= 4 * (n + m)
+                for (n, m), (x, y) in zip(sizes, spreads, strict=True)]
+        yield batch.select(["u", "v"]).filter(pa.array(room, pa.bool_()))
+
+
 def _sketch(levels):
     """Per set: its min-hashes, how typical it is, and its prefix, rarest shingle first."""
     seeds = [np.uint64(pow(0xBF58476D1CE4E5B9, k + 1, 1 << 64)) for k in range(MIN_HASHES)]
@@ -106,18 +136,20 @@ def _sketch(levels):
                 order = np.argsort((level.astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8)), kind="stable")
                 prefix = s[order[:len(s) - (4 * len(s) + 4) // 5 + 1]].view(np.int64)
                 least = np.array([(s * k).min() for k in seeds]).view(np.int64)
-                rows.append((key, _class(s), len(s), float(level.mean()), least[:KEYS], (least & 0x7F).astype(np.int8), prefix))
+                rows.append((key, _class(s), len(s), float(level.mean()), least[:KEYS], (least & 0x7F).astype(np.int8),
+                             spread(s).tobytes(), prefix))
             if rows:
                 kinds = (pa.binary(), pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int8()),
-                         pa.list_(pa.int64()))
-                names = ("key", "cls", "n", "typical", "least", "bytes", "prefix")
+                         pa.binary(), pa.list_(pa.int64()))
+                names = ("key", "cls", "n", "typical", "least", "bytes", "spread", "prefix")
                 yield _rows({name: pa.array(col, kind) for name, kind, col in
                              zip(names, kinds, zip(*rows, strict=True), strict=True)})
 
     return sketch
 
 
-SKETCH = "key binary, cls long, n int, typical double, least array<long>, bytes array<tinyint>, prefix array<long>"
+SKETCH = ("key binary, cls long, n int, typical double, least array<long>, bytes array<tinyint>, spread binary, "
+          "prefix array<long>")
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,12 +170,21 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["u", "v"]).filter(pa.array(links, pa.bool_()))
 
 
+def _nodes(pairs: DataFrame, name: str) -> DataFrame:
+    ends = pairs.select(F.col("u").alias("cls")).unionByName(pairs.select(F.col("v").alias("cls")))
+    return common.broadcast_within(common.written(ends.distinct(), name), BROADCAST_ROWS)
+
+
 def verified(pairs: DataFrame, classes: DataFrame, keyed: DataFrame) -> DataFrame:
-    """The pairs (u, v) of classes that link, as u, v.  Sets are made again
-    from the whole texts of the classes that occur: texts are half as large
-    to shuffle as their hashes."""
-    nodes = pairs.select(F.col("u").alias("cls")).unionByName(pairs.select(F.col("v").alias("cls"))).distinct()
-    wanted = common.written(nodes.join(classes.select("cls", "key"), "cls"), "wanted")
+    """The pairs (u, v) of classes that link, as u, v.  What the spreads leave
+    is compared on whole sets, made again from the texts of the classes that
+    occur: texts are half as large to shuffle as their hashes."""
+    sizes = common.written(classes.join(_nodes(pairs, "ends"), "cls").select("cls", "n", "spread"), "spreads")
+    one = sizes.select(F.col("cls").alias("u"), F.col("n").alias("x_n"), F.col("spread").alias("x"))
+    other = sizes.select(F.col("cls").alias("v"), F.col("n").alias("y_n"), F.col("spread").alias("y"))
+    pairs = common.written(pairs.select("u", "v").join(one, "u").join(other, "v").mapInArrow(
+        _possible, "u long, v long"), "possible")
+    wanted = common.written(classes.join(_nodes(pairs, "nodes"), "cls").select("cls", "key"), "wanted")
     texts = common.written(
         keyed.join(common.broadcast_within(wanted, BROADCAST_ROWS), "key").select("cls", "text"), "texts")
     left = texts.join(pairs.select(F.col("u").alias("cls")).distinct(), "cls", "left_semi").select(
@@ -232,7 +273,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sketches = keyed.mapInArrow(_sketch(levels), SKETCH)
     alone = sketches.join(common.broadcast_within(several, BROADCAST_ROWS), F.col("cls") == F.col("of"), "left").where(
         F.col("of").isNull() | (F.col("key") == F.col("kept_key")))
-    classes = common.written(alone.select("key", "cls", "n", "typical", "least", "bytes", "prefix"), "sketches")
+    classes = common.written(alone.select("key", "cls", "n", "typical", "least", "bytes", "spread", "prefix"), "sketches")
     if not several.isEmpty():
         repeated = classes.groupBy("cls").count().where("count > 1")
         if not repeated.isEmpty():  # rows that are equal in doc_id and text

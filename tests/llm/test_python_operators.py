@@ -251,6 +251,16 @@ def test_shingle_hashes_are_those_of_the_words():
     assert len(set(np.concatenate(sets).tolist())) == len(set().union(*map(shingle_set, texts)))
 
 
+def test_spreads_bound_the_common_shingles():
+    rng = np.random.default_rng(2)
+    pool = rng.integers(0, 2**64 - 1, 3000, dtype=np.uint64, endpoint=True)
+    for _ in range(60):
+        x, y = (np.unique(rng.choice(pool, int(rng.integers(1, 2500)))) for _ in range(2))
+        bound = jaccard_join.most_common(jaccard_join.spread(x), jaccard_join.spread(y))
+        assert len(np.intersect1d(x, y)) <= bound <= min(len(x), len(y))
+        assert jaccard_join.most_common(jaccard_join.spread(x), jaccard_join.spread(x)) == len(x)
+
+
 def test_jaccard_edge_cases(edge_docs, no_docs):
     assert joined(edge_docs) == brute_components([r[:2] for r in ROWS])
     kept = jaccard_join.one_of_each(edge_docs)
