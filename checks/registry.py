@@ -477,18 +477,14 @@ def a5_global_mean(spark, sf):
           "ON s.property_type = h.property_type")
 def t7_one_hot_alphabetical(spark, sf):
     from pyspark.ml import Pipeline
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer
     from pyspark.ml.functions import vector_to_array
 
+    from rentalytics.plans.modelling import one_hot_stages
+
     df = FO.holdout_flag(bench(spark, sf).features, 0.1, seed=42)
-    pipe = Pipeline(stages=[
-        StringIndexer(inputCol="property_type", outputCol="__idx", handleInvalid="keep",
-                      stringOrderType="alphabetAsc"),
-        OneHotEncoder(inputCol="__idx", outputCol="__vec", dropLast=True)])
-    model = pipe.fit(df.where(~F.col("is_holdout")))
-    out = model.transform(df)
-    pos = F.array_position(vector_to_array("__vec"), 1.0).cast("int") - 1
-    return out.select("id", "property_type", F.when(pos >= 0, pos).alias("hot_index"))
+    model = Pipeline(stages=one_hot_stages(["property_type"])).fit(df.where(~F.col("is_holdout")))
+    pos = F.array_position(vector_to_array("property_type__ohe"), 1.0).cast("int") - 1
+    return model.transform(df).select("id", "property_type", F.when(pos >= 0, pos).alias("hot_index"))
 
 
 @register("t8_infrequent_bucket",
@@ -502,9 +498,11 @@ def t7_one_hot_alphabetical(spark, sf):
           "  FROM train WHERE property_type IS NOT NULL GROUP BY 1)) hr")
 def t8_infrequent_bucket(spark, sf):
     split = _split(spark, sf)
-    freq = EN.frequent_categories(split.where(~F.col("is_test")), "property_type", 0.01)
-    out = EN.bucket_infrequent(split, freq, "property_type", out="property_type_bucket")
-    return out.select("id", "property_type", "property_type_bucket")
+    from rentalytics.operators.ml_stages import InfrequentBucketer
+
+    split = split.withColumn("property_type_bucket", F.col("property_type"))
+    fitted = InfrequentBucketer(inputCols=["property_type_bucket"], minFrequency=0.01).fit(split.where(~F.col("is_test")))
+    return fitted.transform(split).select("id", "property_type", "property_type_bucket")
 
 
 _F5_COLS = ["latitude", "n_reviews", "dist_to_center_km"]
@@ -517,13 +515,12 @@ _F5_COLS = ["latitude", "n_reviews", "dist_to_center_km"]
 def f5_median_imputer_train_to_test(spark, sf):
     """Exact medians fitted on the training split (bounded-memory selection:
     the columns are continuous), applied to the test split."""
-    from rentalytics.operators.stats import fill_with, median_stats
+    from rentalytics.operators.ml_stages import MedianFiller
 
-    split = _split(spark, sf)
-    train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
-    test = test.select("id", *[F.col(c).cast("double").alias(c) for c in _F5_COLS])
-    filled = fill_with(test, median_stats(train, _F5_COLS, method="select"), _F5_COLS)
-    return filled.select("id", *[r6(c).alias(c) for c in _F5_COLS])
+    split = _split(spark, sf).select("id", "is_test", *[F.col(c).cast("double").alias(c) for c in _F5_COLS])
+    filler = MedianFiller(inputCols=_F5_COLS, outputCols=[f"{c}__imp" for c in _F5_COLS])
+    filled = filler.fit(split.where(~F.col("is_test"))).transform(split.where(F.col("is_test")))
+    return filled.select("id", *[r6(f"{c}__imp").alias(c) for c in _F5_COLS])
 
 
 @register("f6_mode_imputer",

@@ -16,7 +16,6 @@ from .broadcast import broadcast_if_small
 from .stats import attach
 
 LOOKUP_ROWS = 1_000_000
-INFREQUENT = "infrequent"
 
 
 def _lookup_join(df: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFrame:
@@ -79,22 +78,10 @@ def apply_target_encoding(df: DataFrame, cat: str, mapping: DataFrame, mean: Dat
                          F.coalesce(F.col("__te"), F.col("__gm")).alias(out))
 
 
-# --- T8, A12 ----------------------------------------------------------------
+# --- T8 ----------------------------------------------------------------
 def frequent_categories(df: DataFrame, cat: str, min_frequency: float) -> DataFrame:
     """(cat, n, frequent): frequent when n >= min_frequency * rows."""
     counts = df.groupBy(cat).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("__total"))
     return (attach(counts.where(F.col(cat).isNotNull()), total)
             .select(cat, "n", (F.col("n") >= F.lit(float(min_frequency)) * F.col("__total")).alias("frequent")))
-
-
-def bucket_infrequent(df: DataFrame, freq: DataFrame, cat: str, out: str | None = None,
-                      label: str = INFREQUENT) -> DataFrame:
-    """Frequent categories stay; rare, unseen and NULL ones share ``label``
-    when the fit saw any rare category, else they become NULL (all zeros)."""
-    out = out or cat
-    has_rare = freq.agg(F.max((~F.col("frequent")).cast("int")).alias("__has_rare"))
-    j = attach(_lookup_join(df, freq.select(cat, F.col("frequent").alias("__freq")), [cat]), has_rare)
-    bucket = (F.when(F.col("__freq") & F.col(cat).isNotNull(), F.col(cat))
-              .when(F.col("__has_rare") == 1, F.lit(label)))
-    return j.select(*[c for c in df.columns if c != out], bucket.alias(out))

@@ -1,6 +1,6 @@
 """Pipeline stages Spark ML lacks, as Estimator/Model pairs.
 
-Both fit with one aggregate and keep only per-category labels (a dictionary,
+They keep only fitted values (medians) or per-category labels (a dictionary,
 like StringIndexer's labels); their transforms are native Column
 expressions, so they run inside whole-stage codegen and persist with the
 pipeline.
@@ -13,7 +13,7 @@ import json
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasInputCols
+from pyspark.ml.param.shared import HasInputCols, HasOutputCols
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +29,39 @@ class _Labels(Params):
         return json.loads(self.getOrDefault(self.labels) or "{}")
 
 
+# --- F5 ---------------------------------------------------------------------
+class MedianFiller(Estimator, HasInputCols, HasOutputCols, DefaultParamsReadable, DefaultParamsWritable):
+    """Fill NULL and NaN with the exact median of the fit rows (the
+    bounded-memory selection; all columns share its passes)."""
+
+    @keyword_only
+    def __init__(self, inputCols=None, outputCols=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _fit(self, df: DataFrame) -> "MedianFillerModel":
+        from .quantiles import exact_quantiles_many
+
+        cols = self.getInputCols()
+        found = exact_quantiles_many(df, {c: [0.5] for c in cols})
+        return MedianFillerModel(inputCols=cols, outputCols=self.getOutputCols(),
+                                 labels=json.dumps({c: found[c][0] for c in cols}))
+
+
+class MedianFillerModel(Model, HasInputCols, HasOutputCols, _Labels, DefaultParamsReadable, DefaultParamsWritable):
+    @keyword_only
+    def __init__(self, inputCols=None, outputCols=None, labels=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        medians = self._labels()
+        filled = [F.coalesce(F.when(~F.isnan(c), F.col(c).cast("double")), F.lit(medians[c]).cast("double")).alias(out)
+                  for c, out in zip(self.getInputCols(), self.getOutputCols())]
+        kept = [c for c in df.columns if c not in self.getOutputCols()]
+        return df.select(*kept, *filled)
+
+
 # --- F6 ---------------------------------------------------------------------
 def most_frequent(df: DataFrame, column: str):
     """The most frequent non-null value (ties -> smallest), None without one:

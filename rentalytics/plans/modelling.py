@@ -20,7 +20,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +38,7 @@ from ..config import (
 from ..functions import numeric_text
 from ..operators import encoding as EN
 from ..operators import metrics as ME
-from ..operators.ml_stages import InfrequentBucketer, ModeFiller
+from ..operators.ml_stages import InfrequentBucketer, MedianFiller, ModeFiller
 from ..session import cut_lineage
 from ..sources import io
 
@@ -117,6 +117,13 @@ def usable_numeric(df: DataFrame, numeric: list[str]) -> list[str]:
     return [c for c in present if row[c] > 0]
 
 
+def one_hot_stages(categorical: list[str]) -> list:
+    """Alphabetical labels of the fit rows -> 0/1 vectors ``<column>__ohe``; unseen and NULL give zeros."""
+    idx = [f"{c}__idx" for c in categorical]
+    return [StringIndexer(inputCols=categorical, outputCols=idx, handleInvalid="keep", stringOrderType="alphabetAsc"),
+            OneHotEncoder(inputCols=idx, outputCols=[f"{c}__ohe" for c in categorical], dropLast=True)]
+
+
 def build_pipeline(numeric: list[str], categorical: list[str], settings: BoostSettings,
                    transform: str = "log1p", mode_fill: bool = False,
                    rare_share: float | None = None) -> Pipeline:
@@ -127,19 +134,15 @@ def build_pipeline(numeric: list[str], categorical: list[str], settings: BoostSe
     num_in = [f"{c}__num" for c in numeric]
     num_out = [f"{c}__imp" for c in numeric]
     if numeric:
-        stages.append(Imputer(strategy="median", inputCols=num_in, outputCols=num_out))
+        stages.append(MedianFiller(inputCols=num_in, outputCols=num_out))
     if categorical and mode_fill:
         stages.append(ModeFiller(inputCols=categorical))
     if categorical and rare_share:
         stages.append(InfrequentBucketer(inputCols=categorical, minFrequency=rare_share))
     vec_cols = list(num_out)
     if categorical:
-        idx = [f"{c}__idx" for c in categorical]
-        ohe = [f"{c}__ohe" for c in categorical]
-        stages.append(StringIndexer(inputCols=categorical, outputCols=idx, handleInvalid="keep",
-                                    stringOrderType="alphabetAsc"))
-        stages.append(OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True))
-        vec_cols += ohe
+        stages += one_hot_stages(categorical)
+        vec_cols += [f"{c}__ohe" for c in categorical]
     stages.append(VectorAssembler(inputCols=vec_cols, outputCol="features", handleInvalid="keep"))
     stages.append(gbt(settings))
     inverse = TRANSFORMS[transform][1].format(RAW_PRED)

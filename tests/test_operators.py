@@ -107,11 +107,13 @@ def test_one_hot_unseen_and_null_all_zero(spark):
 
 
 def test_infrequent_bucket(spark):
+    from rentalytics.operators.ml_stages import InfrequentBucketer
+
     rows = [("common",)] * 120 + [("rare",)] + [(None,)] * 2
     df = spark.createDataFrame(rows, "c string")
-    freq = EN.frequent_categories(df, "c", 0.01)
     test = spark.createDataFrame([("common",), ("rare",), ("unseen",), (None,)], "c string")
-    assert [r.c for r in EN.bucket_infrequent(test, freq, "c").collect()] == \
+    fitted = InfrequentBucketer(inputCols=["c"], minFrequency=0.01).fit(df)
+    assert [r.c for r in fitted.transform(test).collect()] == \
         ["common", "infrequent", "infrequent", "infrequent"]
 
 
