@@ -297,8 +297,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     component; of fully repeated rows one stays, texts without words all stay."""
     members = common.written(jaccard_components(docs), "members")
     key, = common.fresh(docs, "link_key")
-    left_out = members.where(F.col("key") != F.col("lead")).select(F.col("key").alias(key)).distinct()
-    stay = docs.withColumn(key, common.row_key()).join(common.written(left_out, "left_out"), key, "left_anti")
+    left_out = common.written(
+        members.where(F.col("key") != F.col("lead")).select(F.col("key").alias(key)).distinct(), "left_out")
+    stay = docs.withColumn(key, common.row_key()).join(
+        common.broadcast_within(left_out, BROADCAST_ROWS), key, "left_anti")
     repeated = common.written(members.where("n_shingles > 0").groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
                               .where("rows > 1").select(F.col("key").alias(key)), "repeated")
     if not repeated.isEmpty():

@@ -27,7 +27,7 @@ SIMILAR = 0.8
 CLASSES = 4
 # Words of a document taken together; blocks overlap, so no window is lost.
 BLOCK = 4096
-# Test hashes (rows of about 200 bytes) up to which the join may broadcast them.
+# Test hashes (rows of about 200 bytes), or keys of dirty documents, up to which a join may broadcast them.
 BROADCAST_ROWS = 400_000
 
 # ASCII punctuation is dropped from tokens; letters compare without case.
@@ -128,7 +128,8 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     an item.  Null and empty texts stay; repeated rows share their fate."""
     key, = common.fresh(docs, "seed_key")
     dirty = contamination(docs, benchmark).select(F.col("key").alias(key))
-    return docs.withColumn(key, common.row_key()).join(dirty, key, "left_anti").select(*docs.columns)
+    return docs.withColumn(key, common.row_key()).join(
+        common.broadcast_within(dirty, BROADCAST_ROWS), key, "left_anti").select(*docs.columns)
 
 
 def op8_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
