@@ -1,8 +1,8 @@
 """Benchmark decontamination with spaced-seed hashes.
 
 A test item and a document share a passage when ``WINDOW`` tokens in a row
-of one face ``WINDOW`` tokens in a row of the other and at least ``SAME`` of
-them are equal, place by place.  The seeds are fixed masks that ignore some
+of one face ``WINDOW`` tokens in a row of the other and all but two of them
+are equal, place by place.  The seeds are fixed masks that ignore some
 places of the window: the places are dealt into four classes and every mask
 ignores two of them, so whichever two places differ, one mask sees neither.
 Hashes of the masked windows of both sides are joined, and every hit is
