@@ -172,7 +172,7 @@ def scored(docs: DataFrame, net: Network) -> DataFrame:
             got = net.scores(*common.text_bytes(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got, pa.float64())], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(score, "doc_id long, score double")
+    return common.small_batches(docs).select("doc_id", "text").mapInArrow(score, "doc_id long, score double")
 
 
 def accepted(docs: DataFrame, net: Network, least: float = 0.5) -> DataFrame:
@@ -182,7 +182,7 @@ def accepted(docs: DataFrame, net: Network, least: float = 0.5) -> DataFrame:
         for batch in common.sized_batches(batches, "text", BATCH_BYTES):
             yield batch.filter(pa.array(net.scores(*common.text_bytes(batch.column("text"))) >= least))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return common.small_batches(docs).mapInArrow(keep, docs.schema)
 
 
 def op3_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,6 +93,18 @@ def ranked(df: DataFrame, order: list[Column], rank: str, name: str) -> DataFram
             .withColumn(rank, F.col(before) + F.col(place)).drop(part, place, before))
 
 
+#: Rows that Spark hands to a Python worker at once: texts can be long, so fewer than its default.
+ARROW_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df`` for mapInArrow; the session's Arrow batches get ARROW_ROWS rows at most."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= ARROW_ROWS:
+        conf.set(key, str(ARROW_ROWS))
+    return df
+
+
 def sized_batches(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in batches whose texts in ``column`` have about
     ``most`` bytes together; a longer text is a batch of its own."""

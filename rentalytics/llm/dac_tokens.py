@@ -237,13 +237,13 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, segment_ids: int =
     """
     ordered = docs.select("doc_id", "text").orderBy(
         F.col("doc_id").asc_nulls_last(), F.xxhash64("text")).select("doc_id", "text")
-    ordered.mapInArrow(_segments(vocabulary, segment_ids), SEGMENT).write.parquet(path)
+    common.small_batches(ordered).mapInArrow(_segments(vocabulary, segment_ids), SEGMENT).write.parquet(path)
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
     """The segments with ``start``: ids of all documents before the segment.
     Only the id counts of the parts (one row each) are summed up in order."""
-    segments = spark.read.schema(SEGMENT).parquet(path)
+    segments = common.small_batches(spark.read.schema(SEGMENT).parquet(path))
     sums = segments.groupBy("part").agg(F.sum("n_ids").alias("ids"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("part", F.coalesce(F.sum("ids").over(earlier), F.lit(0)).alias("before"))

@@ -397,7 +397,7 @@ def extracted(pages: DataFrame, model: Boosted) -> DataFrame:
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
                  pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(
+    return common.small_batches(pages).select("page_id", "url", "html").mapInArrow(
         extract, "page_id long, url string, text string, n_chars long")
 
 

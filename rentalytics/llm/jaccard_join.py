@@ -260,7 +260,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     links reach, null if none of them has one.  No rows give no rows.
     """
     spark = docs.sparkSession
-    keyed = docs.select("doc_id", common.row_key().alias("key"), "text")
+    keyed = common.small_batches(docs).select("doc_id", common.row_key().alias("key"), "text")
     survey = common.written(keyed.mapInArrow(_survey, SURVEY), "survey")
     levels = spark.sparkContext.broadcast(_levels(survey))
     rows = survey.where(F.col("part").isNull()).select("doc_id", "key", "n", "cls")

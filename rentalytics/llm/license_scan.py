@@ -233,7 +233,7 @@ def license_spans(docs: DataFrame, templates: dict[str, str] | None = None) -> D
                  pa.array([",".join(f"{m.template}:{a}:{b}:{m.coverage:.0%}" for m, a, b in f) for f in found], pa.string())],
                 ["doc_id", "n_licenses", "licenses", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n_licenses long, licenses string, spans string")
+    return common.small_batches(docs).select("doc_id", "text").mapInArrow(scan, "doc_id long, n_licenses long, licenses string, spans string")
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -201,7 +201,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     Whole texts are searched; null and empty texts have no spans.  Repeated
     rows are reported each, an empty table gives no rows.
     """
-    return docs.select("doc_id", "text").mapInArrow(
+    return common.small_batches(docs).select("doc_id", "text").mapInArrow(
         _scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
