@@ -31,7 +31,9 @@ BATCH_BYTES = 2 << 20
 
 # HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title noscript template textarea select iframe object svg math head".split())
+RAW = frozenset("script style title noscript template textarea select iframe svg annotation annotation-xml".split())
+# A raw element ends here; positions are those of the page itself, so no lower-cased copy of it is searched.
+RAW_END = {tag: re.compile(rf"</{tag}(?=[ \t\n\r\f/>])", re.I | re.A) for tag in RAW}
 BLOCKS = tuple(
     "html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot "
     "tr td th caption figure figcaption address center details summary hgroup menu dir nav header footer aside form "
@@ -88,7 +90,6 @@ def parse(source: str) -> Page:
     """A page's nodes and text; broken and cut-off markup is read as far as it goes."""
     page = Page([-1], ["#page"], [0], [])
     stack, block, linked, at = [0], 0, 0, 0
-    lower = None
 
     def text(upto: int) -> None:
         if upto > at:
@@ -108,9 +109,10 @@ def parse(source: str) -> Page:
         tag, closing = m[2].lower(), bool(m[1])
         if tag in RAW:
             if not closing and not m[3].endswith("/"):
-                lower = source.lower() if lower is None else lower
-                end = lower.find(f"</{tag}", at)
-                at = len(source) if end < 0 else end
+                end = RAW_END[tag].search(source, at)
+                at = len(source) if end is None else end.start()
+        elif tag == "head":
+            continue  # its tags may be left out, and what is not raw or void in it is the body's, as in browsers
         elif tag in VOID:
             page.runs.append((block, stack[-1], " ", False))
             block += tag == "hr"

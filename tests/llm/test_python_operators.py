@@ -151,6 +151,25 @@ def test_page_furniture_and_broken_markup(spark):
     assert dom_boost.extracted(none, dom_boost.train_on(none)).count() == 0
 
 
+def test_heads_and_raw_elements_end_where_browsers_end_them(spark):
+    model = dom_boost.train_on(common.table(spark, SMALL, "pages"))
+    story = "<p>One &amp; two words, and more of the story.</p><p>Second <b>bold</b> paragraph of it.</p>"
+    want = "One & two words, and more of the story.\n\nSecond bold paragraph of it."
+    shapes = {
+        f"<html><head><title>t</title><body><nav><a href='/'>Home</a></nav><article>{story}</article></body>": want,
+        f"<head><meta charset=utf-8><title>t</title><article>{story}</article>": want,
+        f"<head><title>t</title><body><header><p>Site name</p></header><article>{story}</article>": want,
+        f"<html><head><title>\u0130\u0130\u0130 \u0130</title></head><body><article>{story}</article></body>": want,
+        f"<head><title>\u0130\u0130</title></head><body><article>{story}</article><SCRIPT>var a = 1;</Script ></body>": want,
+        f"<article>{story}<script>a = '</scripts>'; b</script></article>": want,
+        f"<article>{story}<p>With <math><mi>x</mi><mo>=</mo><mn>2</mn></math> and <object data='a'>words</object> in it.</p></article>":
+            want + "\n\nWith x=2 and words in it.",
+    }
+    rows = spark.createDataFrame([(i, None, s) for i, s in enumerate(shapes)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in dom_boost.extracted(rows, model).collect()}
+    assert [got[i] for i in range(len(shapes))] == list(shapes.values())
+
+
 def test_decoding_never_keeps_below_a_dropped_node():
     rng = np.random.default_rng(1)
     for _ in range(50):
