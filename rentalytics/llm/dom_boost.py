@@ -60,9 +60,12 @@ _GROUP = {word: i for i, words in enumerate(TOKENS.values()) for word in words.s
 DROPPED_TAGS = frozenset("nav header footer aside form fieldset button label dialog menu legend".split())
 CONTENT_TAGS = frozenset(("article", "main"))
 
+# A quote opens a value only after a name and "="; elsewhere it is a character of a name or value, as in browsers.
+_VALUE = r"""(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^ \t\n\r\f<>"'][^ \t\n\r\f<>]*+)"""
+_ATTRIBUTE = rf"""[^ \t\n\r\f/<>][^ \t\n\r\f/<>=]*+(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+{_VALUE}?+)?+"""
 _MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"""
-    r"""|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^<>"']++|"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))*+)>?""", re.S)
+    rf"""|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[ \t\n\r\f/]++|{_ATTRIBUTE})*+)>?""", re.S)
 _NAMED = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
 

@@ -170,6 +170,16 @@ def test_heads_and_raw_elements_end_where_browsers_end_them(spark):
     assert [got[i] for i in range(len(shapes))] == list(shapes.values())
 
 
+def test_stray_quotes_do_not_open_strings(spark):
+    model = dom_boost.train_on(common.table(spark, SMALL, "pages"))
+    pairs = [('title="5" wide"', 'class="b"'), ("don't", "title='it'"), ('title=5" wide', 'title = "a > b"'), ('"', "=\" title='x>y'"),
+             ("title= 'a'b'", "id=\"x\"'"), ('title=""" /', "title=a'b"), ("title=", '/"/ title')]
+    shapes = [f"<article><p {a}>Found words here.</p><p {b}>Next &amp; last.</p></article>" for a, b in pairs]
+    rows = spark.createDataFrame([(i, None, s) for i, s in enumerate(shapes)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in dom_boost.extracted(rows, model).collect()}
+    assert [got[i] for i in range(len(shapes))] == ["Found words here.\n\nNext & last."] * len(shapes)
+
+
 def test_decoding_never_keeps_below_a_dropped_node():
     rng = np.random.default_rng(1)
     for _ in range(50):
