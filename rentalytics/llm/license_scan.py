@@ -5,6 +5,10 @@ template, place).  A document's own winnowed hashes look up templates and
 diagonals; around each diagonal a banded local alignment of the template's
 words with the document's gives the matched words, their share of the
 template and the span in the document.
+
+Neighbouring licences differ in a few words only (versions, NC, SA, Affero),
+so besides its share of words a template has deciding runs of words that the
+alignment must match each and unbroken.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ WINDOW = 3  # a shared run of K + WINDOW - 1 = 5 words always shares a fingerpri
 BAND = 8
 LEAST_COVERAGE = 0.8
 MATCH, MISMATCH, GAP = 2, -1, -1
-NOTHING = (0, 0, 0, 0)  # an alignment's score, matched words, first and end word
+NOTHING = (0, 0, 0, 0, None)  # an alignment's score, matched words, first and end word, and the pairs matched
 BATCH_BYTES = 4 << 20
 
 # Notices and license texts, as published.
@@ -64,10 +68,53 @@ provided with the distribution.""",
     "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy,
 modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary,
 for any purpose, commercial or non-commercial, and by any means.""",
-    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
 }
+# Per template the runs of words that must be equal and unbroken; where none is named, the coverage alone decides.
+DECIDING: dict[str, tuple[str, ...]] = {
+    "MIT-notice": ("MIT License",),
+    "Apache-2.0-notice": ("Apache License Version 2.0",),
+    "Apache-2.0": ("Apache License Version 2.0",),
+    "MPL-2.0": ("Mozilla Public License v. 2.0",),
+    "ISC": ("copyright notice and this permission notice appear in all copies",),
+}
+
+# The further clauses of the BSD licences.
+_NAMES = """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+promote products derived from this software without specific prior written permission."""
+_ADVERTISING = """All advertising materials mentioning features or use of this software must display the following
+acknowledgement: This product includes software developed by the organization."""
+TEMPLATES["BSD-3-Clause"] = f"{TEMPLATES['BSD-2-Clause']} {_NAMES}"
+TEMPLATES["BSD-4-Clause"] = f"{TEMPLATES['BSD-2-Clause']} {_ADVERTISING} {_NAMES}"
+DECIDING["BSD-3-Clause"] = ("endorse or promote products derived from this software",)
+DECIDING["BSD-4-Clause"] = ("advertising materials mentioning features or use of this software must display the following",
+                            *DECIDING["BSD-3-Clause"])
+
+# The GNU licences; the header of GPL-3.0 with their names and versions, "or later" and for one version.
+for _name, _kind, _version in (
+        ("GPL-2.0", "GNU General Public License", "2"), ("GPL-3.0", "GNU General Public License", "3"),
+        ("LGPL-2.0", "GNU Library General Public License", "2"), ("LGPL-2.1", "GNU Lesser General Public License", "2.1"),
+        ("LGPL-3.0", "GNU Lesser General Public License", "3"), ("AGPL-3.0", "GNU Affero General Public License", "3")):
+    _header = " ".join(TEMPLATES["GPL-3.0"].split()).replace("GNU General Public License", _kind)
+    _later = "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    TEMPLATES[f"{_name}-notice"] = f"This work is licensed under the {_kind}, version {_version}."
+    TEMPLATES[f"{_name}-only"] = _header.replace(_later, f"version {_version} as published by the Free Software Foundation.")
+    if _name != "GPL-3.0":
+        TEMPLATES[_name] = _header.replace(_later, _later.replace("version 3", f"version {_version}"))
+    DECIDING[f"{_name}-notice"] = (f"{_kind} version {_version}",)
+    DECIDING[f"{_name}-only"] = (f"{_kind} version {_version} as published",)
+    DECIDING[_name] = (f"{_kind} as published", f"version {_version}")
+
+# The Creative Commons licences' names.
+for _kind, _name in (
+        ("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"),
+        ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+        ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")):
+    for _version, _law in (("4.0", "International"), ("3.0", "Unported")):
+        _title = f"{_name if _version == '4.0' else _name.replace('NoDerivatives', 'NoDerivs')} {_version} {_law}"
+        TEMPLATES[f"CC-{_kind}-{_version}-notice"] = f"Licensed under CC {_kind} {_version}."
+        TEMPLATES[f"CC-{_kind}-{_version}"] = f"This work is licensed under a Creative Commons {_title} License."
+        DECIDING[f"CC-{_kind}-{_version}-notice"] = (f"CC {_kind} {_version}",)
+        DECIDING[f"CC-{_kind}-{_version}"] = (_title,)
 
 # Punctuation separates words: its bytes are read as spaces.
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -112,6 +159,11 @@ def _words(data: np.ndarray, offsets: np.ndarray):
     return word_hashes(_PLAIN[data], offsets)
 
 
+def _hashed(text: str) -> np.ndarray:
+    data = np.frombuffer(text.encode(), np.uint8)
+    return _words(data, np.array([0, len(data)]))[0]
+
+
 @dataclass(frozen=True)
 class Match:
     template: str
@@ -121,10 +173,11 @@ class Match:
     coverage: float
 
 
-def align(template: np.ndarray, doc: np.ndarray, diagonal: int) -> tuple[int, int, int]:
+def align(template: np.ndarray, doc: np.ndarray, diagonal: int) -> tuple[int, int, int, dict[int, int]]:
     """Best local alignment of the template with ``doc`` (word hashes) within
     BAND of a diagonal (document place minus template place): matched words,
-    first and end word in the document."""
+    first and end word in the document, and the document's place of each
+    matched word of the template."""
     width = 2 * BAND + 1
     # Cell (i, b) pairs template word i with document word i + diagonal + b - BAND.
     above = [NOTHING] * width
@@ -135,31 +188,38 @@ def align(template: np.ndarray, doc: np.ndarray, diagonal: int) -> tuple[int, in
             j = i + diagonal + b - BAND
             cell = NOTHING
             if 0 <= j < len(doc):
-                score, matched, first, end = above[b]
+                score, matched, first, end, pairs = above[b]
                 if doc[j] == word:
-                    cell = (score + MATCH, matched + 1, first if matched else j, j + 1)
+                    cell = (score + MATCH, matched + 1, first if matched else j, j + 1, (pairs, i, j))
                 elif score + MISMATCH > 0:
-                    cell = (score + MISMATCH, matched, first, end)
-                for score, matched, first, end in (above[b + 1] if b + 1 < width else NOTHING, left):
+                    cell = (score + MISMATCH, matched, first, end, pairs)
+                for score, matched, first, end, pairs in (above[b + 1] if b + 1 < width else NOTHING, left):
                     if score + GAP > cell[0]:
-                        cell = (score + GAP, matched, first, end)
+                        cell = (score + GAP, matched, first, end, pairs)
                 best = max(best, cell, key=lambda c: (c[0], -c[2]))
             row.append(cell)
             left = cell
         above = row
-    return best[1], best[2], best[3]
+    places, pairs = {}, best[4]
+    while pairs is not None:
+        pairs, i, j = pairs
+        places[i] = j
+    return best[1], best[2], best[3], places
 
 
 class Index:
-    """Inverted index of the templates' fingerprints."""
+    """Inverted index of the templates' fingerprints; ``deciding`` runs that a template does not have are left out."""
 
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], deciding: dict[str, tuple[str, ...]] = DECIDING):
         self.names = list(templates)
-        self.words, hashes, owners, places = [], [], [], []
-        for number, text in enumerate(templates.values()):
-            data = np.frombuffer(text.encode(), np.uint8)
-            words, *_ = _words(data, np.array([0, len(data)]))
+        self.words, self.deciding, hashes, owners, places = [], [], [], [], []
+        for number, (name, text) in enumerate(templates.items()):
+            words = _hashed(text)
             self.words.append(words)
+            runs = [_hashed(run) for run in deciding.get(name, ())]
+            firsts = [(place, place + len(run)) for run in runs for place in range(len(words) - len(run) + 1)
+                      if np.array_equal(words[place:place + len(run)], run)]
+            self.deciding.append(firsts)
             got, at = fingerprints(words, np.array([0]))
             hashes.append(got)
             owners.append(np.full(len(got), number))
@@ -174,6 +234,17 @@ class Index:
         which = np.repeat(np.arange(len(found)), counts)
         return which, np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts) + low[which]
 
+    def possible(self, template: int, doc: np.ndarray, diagonal: int) -> bool:
+        """False if the words in reach of the band cannot give a match: too few of the template, or not all deciding ones."""
+        words = self.words[template]
+        there = np.isin(words, doc[max(diagonal - BAND, 0):max(diagonal + len(words) + BAND, 0)])
+        return there.sum() >= LEAST_COVERAGE * len(words) and all(there[a:b].all() for a, b in self.deciding[template])
+
+    def decided(self, template: int, places: dict[int, int]) -> bool:
+        """Whether every deciding run is matched word by word with nothing between."""
+        return all(i in places and places[i] == places.get(a, -1) + i - a
+                   for a, b in self.deciding[template] for i in range(a, b))
+
     def matches(self, doc: np.ndarray, candidates: set[tuple[int, int]]) -> list[Match]:
         """Confirmed matches of a document from its (template, diagonal)
         candidates; of overlapping ones the one with most matched words."""
@@ -183,8 +254,10 @@ class Index:
                 continue  # within the band of the alignment before
             last = (template, diagonal)
             words = self.words[template]
-            matched, first, end = align(words, doc, diagonal)
-            if matched >= LEAST_COVERAGE * len(words):
+            if not self.possible(template, doc, diagonal):
+                continue
+            matched, first, end, places = align(words, doc, diagonal)
+            if matched >= LEAST_COVERAGE * len(words) and self.decided(template, places):
                 found.add(Match(self.names[template], first, end, matched, matched / len(words)))
         kept: list[Match] = []
         for m in sorted(found, key=lambda m: (-m.matched, m.start, m.template)):

@@ -106,6 +106,38 @@ def test_license_spans_equal_alignment_without_index(spark, no_docs):
     assert license_scan.license_spans(no_docs).count() == 0
 
 
+def test_neighbouring_licences_keep_their_own_names():
+    gpl = " ".join(license_scan.TEMPLATES["GPL-3.0"].split())
+    gnu, bsd = "GNU General Public License", license_scan.TEMPLATES["BSD-2-Clause"]
+    work, cc = "This work is licensed under the ", "This work is licensed under a Creative Commons "
+    names = ("Neither the name of Example Inc. nor the names of its contributors may be used to endorse or promote products derived "
+             "from this software without specific prior written permission.")
+    advert = ("All advertising materials mentioning features or use of this software must display the following acknowledgement: "
+              "This product includes software developed by Example Inc.")
+    texts = {
+        f"{cc}Attribution-NonCommercial 4.0 International License.": ["CC-BY-NC-4.0"], f"{cc}Attribution 3.0 Unported License.": ["CC-BY-3.0"],
+        f"{cc}Attribution-NonCommercial-NoDerivatives 4.0 International License.": ["CC-BY-NC-ND-4.0"],
+        f"{cc}Attribution 4.0 International License.": ["CC-BY-4.0"], f"{cc}Attribution 3.0 United States License.": [],
+        f"{cc}Attribution-ShareAlike 4.0 International License.": ["CC-BY-SA-4.0"],
+        "Licensed under CC BY-NC-SA 4.0.": ["CC-BY-NC-SA-4.0-notice"], "Licensed under CC BY 4.0.": ["CC-BY-4.0-notice"],
+        f"{work}{gnu}, version 2.": ["GPL-2.0-notice"], f"{work}{gnu}, version 3.": ["GPL-3.0-notice"],
+        f"{work}GNU Affero General Public License, version 3.": ["AGPL-3.0-notice"],
+        f"{work}GNU Lesser General Public License, version 2.1.": ["LGPL-2.1-notice"],
+        "Released under the BSD License.": [], "Licensed under the Apache License, Version 1.1.": [],
+        gpl.replace("version 3", "version 2"): ["GPL-2.0"], gpl.replace("GNU", "GNU Affero"): ["AGPL-3.0"],
+        gpl.replace("GNU", "GNU Lesser"): ["LGPL-3.0"], gpl.replace("GNU", "GNU Lesser").replace("version 3", "version 2.1"): ["LGPL-2.1"],
+        gpl.replace("either version 3 of the License, or (at your option) any later version", "version 3 of the License"): ["GPL-3.0"],
+        gpl.replace("as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+                    "version 2 as published by the Free Software Foundation"): ["GPL-2.0-only"],
+        license_scan.TEMPLATES["Apache-2.0"].replace("Apache License", "Educational Community License"): [],
+        bsd: ["BSD-2-Clause"], f"{bsd} {names}": ["BSD-3-Clause"], f"{bsd} {advert} {names}": ["BSD-4-Clause"],
+    }
+    got = license_scan.Index(license_scan.TEMPLATES).scan(*common.text_bytes(pa.array([f"Before it. {t} After it." for t in texts])))
+    assert [[m.template for m, *_ in f] for f in got] == list(texts.values())
+    whole = license_scan.Index(license_scan.TEMPLATES).scan(*common.text_bytes(pa.array(license_scan.TEMPLATES.values())))
+    assert [[m.template for m, *_ in f] for f in whole] == [[t] for t in license_scan.TEMPLATES]
+
+
 def test_notices_of_the_documents(spark):
     docs = {r["doc_id"]: r["text"] for r in common.table(spark, SMALL, "documents").collect()}
     notices = {k: v for k, v in license_scan.TEMPLATES.items() if k.endswith("notice")}
