@@ -254,11 +254,17 @@ class Index:
                 continue  # within the band of the alignment before
             last = (template, diagonal)
             words = self.words[template]
-            if not self.possible(template, doc, diagonal):
-                continue
-            matched, first, end, places = align(words, doc, diagonal)
-            if matched >= LEAST_COVERAGE * len(words) and self.decided(template, places):
-                found.add(Match(self.names[template], first, end, matched, matched / len(words)))
+            parts = [(0, len(doc))]
+            while parts:  # a short notice may stand in the band more than once: the words before and after one are searched again
+                low, high = parts.pop()
+                if not self.possible(template, doc[low:high], diagonal - low):
+                    continue
+                matched, first, end, places = align(words, doc[low:high], diagonal - low)
+                if matched < LEAST_COVERAGE * len(words):
+                    continue
+                if self.decided(template, places):
+                    found.add(Match(self.names[template], low + first, low + end, matched, matched / len(words)))
+                parts += [(low, low + first), (low + end, high)]
         kept: list[Match] = []
         for m in sorted(found, key=lambda m: (-m.matched, m.start, m.template)):
             if all(m.end <= o.start or o.end <= m.start for o in kept):

@@ -138,6 +138,20 @@ def test_neighbouring_licences_keep_their_own_names():
     assert [[m.template for m, *_ in f] for f in whole] == [[t] for t in license_scan.TEMPLATES]
 
 
+def test_repeated_notices_are_each_found():
+    index = license_scan.Index(license_scan.TEMPLATES)
+    notices = {k: v for k, v in license_scan.TEMPLATES.items() if len(v.split()) <= 12}
+    rng = random.Random(4)
+    texts = [" ".join([v + " and" * gap] * n) for v in notices.values() for gap in range(4) for n in (2, 3, 5)]
+    texts += [" ".join(rng.choices([*notices.values(), "or"], k=8)) for _ in range(100)]
+    for text, found in zip(texts, index.scan(*common.text_bytes(pa.array(texts)))):
+        want = sorted((m.start(), k) for k, v in notices.items() for m in re.finditer(re.escape(v.rstrip(".")), text))
+        assert [(a, m.template) for m, a, _ in found] == want
+    damaged = "Released under this MIT License. Released under the MIT License. Licensed under CC BY-ND 4.0. Licensed with CC BY-NC 4.0."
+    found = index.scan(*common.text_bytes(pa.array([damaged])))[0]
+    assert [m.template for m, *_ in found] == ["MIT-notice", "MIT-notice", "CC-BY-ND-4.0-notice", "CC-BY-NC-4.0-notice"]
+
+
 def test_notices_of_the_documents(spark):
     docs = {r["doc_id"]: r["text"] for r in common.table(spark, SMALL, "documents").collect()}
     notices = {k: v for k, v in license_scan.TEMPLATES.items() if k.endswith("notice")}
