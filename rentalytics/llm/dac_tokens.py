@@ -14,6 +14,8 @@ of whole documents and the place where every document ends.
 from __future__ import annotations
 
 import os
+import sys
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -39,8 +41,13 @@ BATCH_BYTES = 2 << 20
 # The vocabulary's marker between texts, and what all its markers begin with.
 BETWEEN = "<|endoftext|>"
 MARKER = "<|"
-# U+0130 is left out: its lower case ends in a mark, which closing punctuation joins.
-_TAIL = r"^(?P<stem>.*(?:[^\x{130}\P{L}]|\p{N}))(?P<tail>[*$%&#.,!?;:]+)$"
+# Letters that the vocabulary's NFC and lower case turn into something that ends in a mark, which closing
+# punctuation joins: U+0130 and those that NFC takes apart (nukta letters, presentation forms).
+_END_IN_MARK = "".join(f"\\x{{{ord(c):x}}}" for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c)[0] == "L"
+                       and unicodedata.category(unicodedata.normalize("NFC", c).lower()[-1])[0] == "M")
+_TAIL = rf"^(?P<stem>.*(?:[^{_END_IN_MARK}\P{{L}}]|\p{{N}}))(?P<tail>[*$%&#.,!?;:]+)$"
+# Capitals before a mark that NFC joins to the small letter only: lower-cased first, such a text has other ids.
+_SMALL_ONLY = r"[HJTWY]\p{M}"
 
 LEVELS = "array<struct<codes:binary,more:binary,ranks:binary>>"
 SEGMENT = (f"part int, seg int, first_id long, n_ids long, doc_ids array<long>, doc_ends array<long>, levels {LEVELS}")
@@ -103,7 +110,8 @@ class WordEncoder:
     the place where closing punctuation follows a letter or digit.  So A-Z
     are lower-cased, words are cut into stem and tail there, and every
     distinct piece is encoded once, many in one call with the end marker
-    between them.  Texts with a marker of their own are encoded whole.
+    between them.  Texts with a marker of their own, or with capitals whose
+    marks join the small letter only, are encoded whole.
     """
 
     def __init__(self, vocabulary: str):
@@ -153,8 +161,9 @@ class WordEncoder:
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by END_ID, and the number of each text's."""
         texts = pc.fill_null(texts, "")
-        marked = pc.indices_nonzero(pc.match_substring(texts, MARKER)).to_pylist()
-        plain = texts if not marked else pc.if_else(pc.match_substring(texts, MARKER), "", texts)
+        whole = pc.or_(pc.match_substring(texts, MARKER), pc.match_substring_regex(texts, _SMALL_ONLY))
+        marked = pc.indices_nonzero(whole).to_pylist()
+        plain = texts if not marked else pc.if_else(whole, "", texts)
         words = pc.ascii_split_whitespace(pc.ascii_lower(plain))
         coded = words.flatten().dictionary_encode()
         cut = pc.extract_regex(coded.dictionary, _TAIL)

@@ -5,6 +5,8 @@ import html
 import itertools
 import random
 import re
+import sys
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -422,6 +424,20 @@ def test_tokens_round_trip(spark, edge_docs, no_docs, tmp_path):
     assert dac_tokens.encoded_digests(edge_docs, vocabulary).count() == len(ROWS)
 
 
+def test_every_letter_before_punctuation_as_in_whole_texts():
+    encode = dac_tokens.WordEncoder(dac_tokens.vocabulary_file())
+    letters = [c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c)[0] in "LN"]
+    marks = [c for c in map(chr, range(0x3100)) if unicodedata.category(c)[0] == "M"]
+    texts = [f"{c}{tail}" for tail in (".", ",", "?", "!!") for c in letters]
+    texts += [f"x {c}{mark}." for mark in marks for c in "AHJTWYhjtwyÄ\u0915\u09a1"] + ["H\u0308\u0331x T\u0308.", "\u09dc\u0958. a"]
+    for at in range(0, len(texts), 20_000):
+        some = texts[at:at + 20_000]
+        ids, counts = encode(pa.array(some))
+        want = [np.array([*x.ids, dac_tokens.END_ID], np.uint32) for x in encode.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        got = np.split(ids, np.cumsum(counts)[:-1])
+        assert [t for t, a, b in zip(some, got, want, strict=True) if not np.array_equal(a, b)] == []
+
+
 def test_tokens_of_the_documents(spark):
     from tokenizers import Tokenizer
 
