@@ -10,9 +10,11 @@ from . import (
     hilbert_shards,
     jaccard_join,
     license_scan,
+    piece_chunks,
     secret_scan,
     source_mix,
     spaced_seeds,
+    token_alignment,
 )
 
 QUERIES = {
@@ -26,6 +28,8 @@ QUERIES = {
     "op8_spaced_seeds": spaced_seeds.op8_spaced_seeds,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_dac_tokens": dac_tokens.op10_dac_tokens,
+    "op11_piece_chunks": piece_chunks.op11_piece_chunks,
+    "op13_token_alignment": token_alignment.op13_token_alignment,
 }
 
 SQL = {
