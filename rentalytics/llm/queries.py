@@ -11,6 +11,7 @@ from . import (
     jaccard_join,
     license_scan,
     piece_chunks,
+    prefix_trie,
     secret_scan,
     source_mix,
     spaced_seeds,
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_dac_tokens": dac_tokens.op10_dac_tokens,
     "op11_piece_chunks": piece_chunks.op11_piece_chunks,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     "op13_token_alignment": token_alignment.op13_token_alignment,
 }
 
