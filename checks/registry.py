@@ -169,6 +169,23 @@ def a1_top_amenities(spark, sf):
     return top.select("amenity", "n", rank.cast("bigint").alias("amenity_rank"))
 
 
+@register("a1_amenities_by_first_place",
+          O.with_blocks("prepared", "amenity_items") + """, places AS (
+SELECT id, unnest(l) AS amenity, generate_subscripts(l, 1) AS at FROM (
+  SELECT id, CASE WHEN json_valid(t) AND t LIKE '[%' THEN from_json(t, '["VARCHAR"]') ELSE []::VARCHAR[] END AS l
+  FROM (SELECT id, regexp_replace(amenities, ',\\s*\\]\\s*$', ']') AS t FROM prepared)))
+SELECT amenity, n, row_number() OVER (ORDER BY n DESC, first) AS amenity_rank FROM (
+  SELECT amenity, count(*) AS n, min((id, at)) AS first FROM places GROUP BY amenity)""")
+def a1_amenities_by_first_place(spark, sf):
+    """All amenities in the order of the reference: by count, ties by first
+    occurrence in the CSV export (rows by id, one file), read in splits."""
+    raw = bench(spark, sf).raw_listings.orderBy(integral_text("id"))
+    path = IO.write_raw_csv(raw.coalesce(1), scratch_path(spark, "ordered_listings_csv"))
+    prepared = L.prepare_listings(IO.read_raw_listings_csv(spark, path, place=True))
+    rank = F.row_number().over(Window.orderBy(F.col("n").desc(), F.col("first")))
+    return L.amenity_frequencies(prepared).select("amenity", "n", rank.cast("bigint").alias("amenity_rank"))
+
+
 @register("p12_amenities_count", O.with_blocks("filled") + "SELECT id, amenities_count FROM filled")
 def p12_amenities_count(spark, sf):
     return bench(spark, sf).with_amenities.select("id", "amenities_count")
@@ -653,8 +670,9 @@ from rentalytics.sources import io as IO  # noqa: E402
 
 @register("s1_csv_ingest_listings", O.with_blocks("raw_listings") + f"SELECT {_raw_sql_cols} FROM raw_listings")
 def s1_csv_ingest_listings(spark, sf):
-    """Export the raw listings as CSV (quoted, multi-line dialect) and ingest them back."""
-    path = IO.write_raw_csv(bench(spark, sf).raw_listings, scratch_path(spark, "raw_listings_csv"))
+    """Export the raw listings as one CSV file (quoted, multi-line dialect; the
+    reference loads one file per table) and ingest it back by splits."""
+    path = IO.write_raw_csv(bench(spark, sf).raw_listings.coalesce(1), scratch_path(spark, "raw_listings_csv"))
     return IO.read_raw_listings_csv(spark, path)
 
 
@@ -917,8 +935,8 @@ def m12_early_stopping(spark, sf):
 @register("s2_csv_ingest_reviews", O.with_blocks("raw_reviews") + f"SELECT {_review_text_sql} FROM raw_reviews")
 def s2_csv_ingest_reviews(spark, sf):
     """Export the raw reviews (whole comment texts, quotes and line breaks
-    included) as CSV and ingest them back with the fixed text schema."""
-    path = IO.write_raw_csv(bench(spark, sf).raw_reviews, scratch_path(spark, "raw_reviews_csv"))
+    included) as one CSV file and ingest it back by splits with the fixed text schema."""
+    path = IO.write_raw_csv(bench(spark, sf).raw_reviews.coalesce(1), scratch_path(spark, "raw_reviews_csv"))
     return _review_text(IO.read_raw_reviews_csv(spark, path))
 
 

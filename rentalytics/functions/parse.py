@@ -70,17 +70,80 @@ def amenity_count(c) -> Column:
     return (F.regexp_count(text, F.lit(",")) + F.lit(1)).cast("bigint")
 
 
+# A Python list literal of strings, by its tokens.  Every quantifier is possessive, so the matcher neither
+# goes back nor recurses, however long the text is.
+_BODY = r"[^{q}\\\n]*+(?:\\(?s:.)[^{q}\\\n]*+)*+"
+_LONG_BODY = r"(?:[^{q}\\]++|\\(?s:.)|{q}(?!{q}{q}))*+"
+_STRING = "[rRuU]?+(?:" + "|".join(
+    [f"{q * 3}{_LONG_BODY.format(q=q)}{q * 3}" for q in "'\""] + [f"{q}(?!{q}{q}){_BODY.format(q=q)}{q}" for q in "'\""]) + ")"
+_TOKEN = rf"{_STRING}|[ \t\n\r\f]++|#[^\n]*+|(?s:.)"
+_LIST_SHAPE = r"^\[(?:s++(?:,s++)*+,?+)?+\]$"  # s: a string; strings side by side are one
+_UNIT = (r"[^\\]++|\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}"
+         r"|\\U[0-9a-fA-F]{8}|\\[0-7]{1,3}|\\(?s:.)")
+# The escapes of one letter.
+_LETTER_ESCAPES = {"\n": "", "\\": "\\", "'": "'", '"': '"', "a": "\a", "b": "\b", "f": "\f", "n": "\n", "r": "\r",
+                   "t": "\t", "v": "\v"}
+# Between two items of the decoded list, and what stands for its first letter inside an item.
+_ITEM_END, _MARK, _MARK_INSIDE = "\x01;", "\x01", "\x01."
+
+
+def _letter(code: Column) -> Column:
+    """Code point -> text; half a surrogate pair is U+FFFD, no code point NULL."""
+    code = F.when(code.between(0xD800, 0xDFFF), F.lit(0xFFFD)).otherwise(code)
+    return F.when(code <= 0x10FFFF, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+
+def _unescaped(unit: Column) -> Column:
+    """One unit of a string's body: plain text as it is, an escape decoded, a wrong one NULL."""
+    kind, rest = F.substring(unit, 2, 1), F.substring(unit, 3, 10)
+    out = F.when(~F.startswith(unit, F.lit("\\")), unit)
+    out = out.when(F.char_length(unit) == 12, F.decode(F.unhex(F.concat(F.substring(unit, 3, 4), F.substring(unit, 9, 4))), "UTF-16BE"))
+    out = out.when(kind.isin("x", "u", "U"), F.when(rest != "", _letter(F.conv(rest, 16, 10).cast("bigint"))))
+    out = out.when(kind.rlike("[0-7]"), _letter(F.conv(F.substring(unit, 2, 3), 8, 10).cast("bigint")))
+    out = out.when(kind == "N", F.lit(None).cast("string"))
+    for escape, text in _LETTER_ESCAPES.items():
+        out = out.when(kind == escape, F.lit(text))
+    return out.otherwise(unit)
+
+
+def _string_value(token: Column) -> Column:
+    """A string token's text: prefix and quotes off, escapes decoded unless raw."""
+    quoted = F.regexp_replace(token, "^[rRuU]", "")
+    ends = F.when(quoted.rlike("^(?:\'\'\'|\"\"\")"), 3).otherwise(1)
+    body = F.substring(quoted, ends + 1, F.char_length(quoted) - 2 * ends)
+    units = F.transform(F.regexp_extract_all(body, F.lit(_UNIT), F.lit(0)), _unescaped)
+    decoded = F.when(~F.exists(units, lambda u: u.isNull()), F.array_join(units, ""))
+    return F.when(F.lower(F.substring(token, 1, 1)) == "r", body).when(~body.contains("\\"), body).otherwise(decoded)
+
+
+def _string_list(text: Column) -> Column:
+    """Text of a Python list literal of strings -> ARRAY<STRING>; anything else NULL."""
+    tokens = F.filter(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), lambda t: ~t.rlike("^[ \t\n\r\f#]"))
+    shape = F.array_join(F.transform(tokens, lambda t: F.when(F.char_length(t) > 1, "s").otherwise(t)), "")
+    values = F.transform(F.filter(tokens, lambda t: ~t.isin("[", "]")), lambda t: F.when(t == ",", F.lit(_ITEM_END)).otherwise(
+        F.replace(_string_value(t), F.lit(_MARK), F.lit(_MARK_INSIDE))))
+    joined = F.regexp_replace(F.array_join(values, ""), f"{_ITEM_END}$", "")  # a trailing comma
+    trailing = shape.endswith(",]")
+    joined = F.when(trailing, joined).otherwise(F.array_join(values, ""))
+    items = F.transform(F.split(joined, _ITEM_END), lambda i: F.replace(i, F.lit(_MARK_INSIDE), F.lit(_MARK)))
+    items = F.when(shape == "[]", F.array().cast("array<string>")).otherwise(items)
+    return F.when(shape.rlike(_LIST_SHAPE) & ~F.exists(values, lambda v: v.isNull()), items)
+
+
 def amenity_list(c) -> Column:
     """Raw list text -> ARRAY<STRING>; NULL or malformed -> empty array.
 
-    Single or double quotes; a trailing comma before the closing bracket is
-    accepted (as a Python list literal allows); text around the list makes it
-    malformed (the JSON reader alone would ignore trailing text).
+    A list literal of strings as Python reads it: either quote, three of them,
+    prefixes r and u, strings side by side, every escape but names (a half
+    surrogate pair is U+FFFD, a whole one its letter), comments, a trailing
+    comma.  Plain lists, without backslash or inner bracket, go through the JSON reader; so do
+    lists with numbers, which come out as text.
     """
-    text = F.regexp_replace(_col(c), r",\s*\]\s*\z", "]")
-    whole = text.rlike(r"(?s)^\s*\[.*\]\s*\z")
-    parsed = F.when(whole, F.from_json(text, "array<string>", {"allowSingleQuotes": "true"}))
-    return F.coalesce(parsed, F.array().cast("array<string>"))
+    text = _col(c)
+    plain = F.regexp_replace(text, r",\s*\]\s*\z", "]")
+    parsed = F.when(~text.contains("\\") & plain.rlike(r"^\s*\[[^\[\]]*+\]\s*\z"),
+                    F.from_json(plain, "array<string>", {"allowSingleQuotes": "true"}))
+    return F.coalesce(parsed, _string_list(text), F.array().cast("array<string>"))
 
 
 def amenity_flag(c, name: str) -> Column:

@@ -65,3 +65,45 @@ def test_amenity_list_matches_python_list_literals(spark):
         assert got[f] == [str(x) for x in ast.literal_eval(f)], f
     for f in malformed:
         assert got[f] == [], f
+
+
+def test_amenity_list_on_drawn_literals(spark):
+    """Every token of the grammar, well-formed or not, against Python's own parser."""
+    import ast
+    import random
+    import warnings
+
+    from rentalytics.functions import amenity_list
+
+    draw = random.Random(5)
+    pieces = ["a", "Wi fi", "é", "日", "😀", ",", "[", "]", "#", " ", "\\n", "\\t", "\\\\", "\\'", '\\"', "\\x41", "\\xe9",
+              "\\u2019", "\\U0001F600", "\\101", "\\7", "\\d", "\\/", "\\\n", "\\x4", "\\u12", "\\U00110000", "\\N{DASH}",
+              "'", '"', "\n", "\x01", ";", ".", "r"]
+
+    def string():
+        quote = draw.choice(["'", '"', "'''", '"""'])
+        return draw.choice(["", "", "", "r", "u", "R", "b", "f"]) + quote + "".join(draw.choices(pieces, k=draw.randrange(5))) + quote
+
+    def literal():
+        items = [draw.choice(["", " "]).join(string() for _ in range(draw.choice([1, 1, 1, 2]))) for _ in range(draw.randrange(4))]
+        text = "[" + draw.choice([",", ", ", " ,\n"]).join(items) + draw.choice(["", "", ",", ", "]) + "]"
+        return draw.choice(["", "", "", "x", "("]) + text.replace(" ", draw.choice([" ", " # c\n"]), 1) + draw.choice(["", "", "", "\n", "]"])
+
+    def expected(text):
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            try:
+                found = ast.literal_eval(text)
+            except Exception:
+                return []
+        return found if isinstance(found, list) and all(isinstance(x, str) for x in found) else []
+
+    texts = [literal() for _ in range(4000)]
+    texts += ["[ ]", "[,]", "['a' 'b', 'c']", "['Caf\\xe9', 'TV']", "['Wi' 'fi']", "[" + ",".join(["'x\\n'"] * 20_000) + "]",
+              "['" + "\\n" * 50_000 + "']"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, v string").repartition(8)
+    got = {r.i: r.items for r in frame.select("i", amenity_list("v").alias("items")).collect()}
+    assert [t[:80] for i, t in enumerate(texts) if got[i] != expected(t)] == []
+    assert sum(bool(expected(t)) for t in texts) > 500
+    pair, half = spark.createDataFrame([('["\\ud83d\\ude00"]',), ('["\\ud83d"]',)], "v string").select(amenity_list("v")).collect()
+    assert (pair[0], half[0]) == (["😀"], ["\ufffd"])
