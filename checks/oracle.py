@@ -245,11 +245,17 @@ SELECT f.*, CAST(len(list_filter(list_distinct(e.qs), lambda x: x > e.mn AND x <
 FROM features f CROSS JOIN (
   SELECT min(price) AS mn, quantile_cont(price, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS qs FROM features) e)"""
 
+# Largest-remainder shares of the rows that are not held out, in whole numbers.
+QUOTAS = """quotas AS (
+SELECT stratum, n - base - CASE WHEN row_number() OVER (ORDER BY rest DESC, stratum) <= kept - sum(base) OVER () THEN 1 ELSE 0 END AS quota
+FROM (SELECT *, CAST(n AS HUGEINT) * kept // total AS base, CAST(n AS HUGEINT) * kept % total AS rest
+      FROM (SELECT stratum, n, sum(n) OVER () AS total, sum(n) OVER () - CAST(ceil(0.2 * sum(n) OVER ()) AS BIGINT) AS kept
+            FROM (SELECT stratum, count(*) AS n FROM strata GROUP BY 1))))"""
+
 SPLIT = f"""split AS (
-SELECT s.* EXCLUDE (rk, sz), rk <= round(0.2 * sz) AS is_test FROM (
-  SELECT st.*, row_number() OVER (PARTITION BY stratum ORDER BY {key_hash('st.id')}, st.id) AS rk,
-         count(*) OVER (PARTITION BY stratum) AS sz
-  FROM strata st) s)"""
+SELECT s.* EXCLUDE (rk, quota), rk <= quota AS is_test FROM (
+  SELECT st.*, q.quota, row_number() OVER (PARTITION BY st.stratum ORDER BY {key_hash('st.id')}, st.id) AS rk
+  FROM strata st JOIN quotas q ON q.stratum = st.stratum) s)"""
 
 TRAIN = """train AS (SELECT * FROM split WHERE NOT is_test)"""
 TEST = """test AS (SELECT * FROM split WHERE is_test)"""
@@ -257,7 +263,8 @@ TEST = """test AS (SELECT * FROM split WHERE is_test)"""
 BLOCKS.update({
     "holdout": (HOLDOUT, ("features",)),
     "strata": (STRATA, ("features",)),
-    "split": (SPLIT, ("strata",)),
+    "quotas": (QUOTAS, ("strata",)),
+    "split": (SPLIT, ("strata", "quotas")),
     "train": (TRAIN, ("split",)),
     "test": (TEST, ("split",)),
 })

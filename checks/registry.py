@@ -171,11 +171,11 @@ def a1_top_amenities(spark, sf):
 
 @register("a1_amenities_by_first_place",
           O.with_blocks("prepared", "amenity_items") + """, places AS (
-SELECT id, unnest(l) AS amenity, generate_subscripts(l, 1) AS at FROM (
+SELECT id, unnest(l) AS amenity, generate_subscripts(l, 1) AS pos FROM (
   SELECT id, CASE WHEN json_valid(t) AND t LIKE '[%' THEN from_json(t, '["VARCHAR"]') ELSE []::VARCHAR[] END AS l
   FROM (SELECT id, regexp_replace(amenities, ',\\s*\\]\\s*$', ']') AS t FROM prepared)))
 SELECT amenity, n, row_number() OVER (ORDER BY n DESC, first) AS amenity_rank FROM (
-  SELECT amenity, count(*) AS n, min((id, at)) AS first FROM places GROUP BY amenity)""")
+  SELECT amenity, count(*) AS n, min((id, pos)) AS first FROM places GROUP BY amenity)""")
 def a1_amenities_by_first_place(spark, sf):
     """All amenities in the order of the reference: by count, ties by first
     occurrence in the CSV export (rows by id, one file), read in splits."""
@@ -428,6 +428,14 @@ def t1_kfold_assignment(spark, sf):
     return _folds(spark, sf).select("id", "fold")
 
 
+@register("t1_balanced_folds",
+          O.with_blocks("features") + f"""SELECT id, CAST(CASE WHEN rk < (n % 5) * (n // 5 + 1) THEN rk // (n // 5 + 1)
+ELSE (n % 5) + (rk - (n % 5) * (n // 5 + 1)) // (n // 5) END AS INTEGER) AS fold
+FROM (SELECT id, row_number() OVER (ORDER BY {O.key_hash('id')}, id) - 1 AS rk, count(*) OVER () AS n FROM features)""")
+def t1_balanced_folds(spark, sf):
+    return FO.balanced_folds(bench(spark, sf).features, k=5, seed=42).select("id", "fold")
+
+
 @register("t2_random_holdout", O.with_blocks("holdout") + "SELECT id, is_holdout FROM holdout")
 def t2_random_holdout(spark, sf):
     return FO.holdout_flag(bench(spark, sf).features, 0.1, seed=42).select("id", "is_holdout")

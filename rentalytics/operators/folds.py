@@ -1,12 +1,12 @@
 """Folds, splits and quantile bins, all deterministic per key.
 
-Membership is a function of ``key_hash(id, seed)`` only, so it survives
-repartitioning, retries and executor loss unchanged.
+Membership is a function of the keys and ``key_hash(id, seed)`` only, so it
+survives repartitioning, retries and executor loss unchanged.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,6 +26,26 @@ def assign_folds(df: DataFrame, k: int = 5, seed: int = 42, key: str = "id",
     return df.withColumn(fold_col, (key_hash(key, seed) % k).cast("int"))
 
 
+def balanced_folds(df: DataFrame, k: int = 5, seed: int = 42, key: str = "id", fold_col: str = "fold") -> DataFrame:
+    """Folds whose sizes differ by one at most: the rows in the order of (H(key),
+    key), cut into k runs, the first n % k of them one row longer.
+
+    Only the k - 1 rows where runs end are looked for (``last_of_quotas``); every
+    other row is compared with them, so no row is sorted or moved.  A null key
+    takes part like any other; rows that share a key share a fold, and the sizes
+    are exact where keys are distinct.
+    """
+    ends = [f"(n div {k}) * {j} + least({j}, n % {k})" for j in range(1, k)]
+    quotas = (df.agg(F.count(F.lit(1)).alias("n"))
+              .select(F.lit(0).alias("s"), F.posexplode(F.array(*[F.expr(e) for e in ends])).alias("cut", "quota")))
+    cuts = last_of_quotas(df.withColumn("__one", F.lit(0)), "__one", quotas, seed, key)
+    ordered = F.sort_array(F.collect_list(F.struct("cut", "last")))
+    one_row = cut_lineage(cuts.agg(ordered.alias("__cuts")))  # k - 1 pairs
+    passed = F.filter("__cuts", lambda c: c["last"] < _order_pair(key, seed))
+    return (df.crossJoin(F.broadcast(one_row))
+            .select(*df.columns, F.size(passed).cast("int").alias(fold_col)))
+
+
 # --- T2 ---------------------------------------------------------------------
 def holdout_flag(df: DataFrame, fraction: float, seed: int = 42, key: str = "id",
                  flag_col: str = "is_holdout") -> DataFrame:
@@ -62,55 +82,71 @@ def quantile_bins(df: DataFrame, col: str, q: int = 10, out: str = "stratum",
 
 
 # --- T3 ---------------------------------------------------------------------
-def rank_within(df: DataFrame, group: str, order_hash: str, tie: str, out: str = "rank",
-                bucket_bits: int = 10) -> DataFrame:
-    """1-based rank of each row inside its ``group`` by (order_hash, tie).
-
-    A window over the whole group would put a hot group (a third of the rows)
-    into one task.  Rows are instead ranked inside (group, hash bucket) -
-    2**bucket_bits buckets from the top bits of the hash - and shifted by the
-    number of rows in lower buckets of the same group, read from a small
-    (groups x buckets) count table.
+def _order_pair(key: str, seed: int) -> Column:
+    """What rows are ordered by, nulls first: H of the key's text and the key itself."""
+    h = F.coalesce(key_hash(key, seed), F.lit(-1)).alias("h")
+    return F.struct(h, F.col(key).alias("k"))
+
+
+def last_of_quotas(df: DataFrame, group: str, quotas: DataFrame, seed: int = 42, key: str = "id",
+                   bucket_bits: int = 16) -> DataFrame:
+    """(s, cut, last): the last pair (H(key), key) of the first ``quota`` rows of group ``s``,
+    for each row (s, cut, quota) of ``quotas``; a quota of no row has none.
+
+    Counts per (group, hash bucket) say in which bucket a quota ends; only the
+    pairs of such buckets - one in 2**bucket_bits of the group - are ranked.
     """
     shift = HASH_BITS - bucket_bits
-    with_bucket = df.withColumn("__bucket", F.shiftright(F.col(order_hash), shift))
-    counts = with_bucket.groupBy(group, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col(group).alias("__g"), F.col("__bucket").alias("__b"),
-                            F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    offsets = broadcast_if_small(offsets, 1 << 22)
-    cond = with_bucket[group].eqNullSafe(offsets["__g"]) & (with_bucket["__bucket"] == offsets["__b"])
-    joined = with_bucket.join(offsets, cond, "left").drop("__g", "__b")
-    local = Window.partitionBy(group, "__bucket").orderBy(order_hash, tie)
-    ranked = joined.withColumn(out, F.row_number().over(local) + F.col("__offset"))
-    return ranked.drop("__bucket", "__offset")
+    hashed = df.select(F.col(group).alias("s"), _order_pair(key, seed).alias("last"))
+    hashed = hashed.withColumn("bucket", F.shiftright("last.h", shift))
+    counts = (hashed.groupBy("s", "bucket").agg(F.count(F.lit(1)).alias("n"))
+              .withColumn("upto", F.sum("n").over(Window.partitionBy("s").orderBy("bucket"))))
+    wanted = quotas.select(F.col("s").alias("q_s"), "cut", "quota")
+    ends = (counts.join(broadcast_if_small(wanted, 1 << 20), F.col("s").eqNullSafe(F.col("q_s")))
+            .where((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("n") < F.col("quota")))
+            .select(F.col("s").alias("end_s"), F.col("bucket").alias("end_bucket"), "cut",
+                    (F.col("quota") - F.col("upto") + F.col("n")).alias("rest")))
+    ends = cut_lineage(ends)
+    buckets = broadcast_if_small(ends.select("end_s", "end_bucket").distinct(), 1 << 20)
+    place = F.row_number().over(Window.partitionBy("s", "bucket").orderBy("last.h", F.col("last.k").asc_nulls_first()))
+    ranked = hashed.join(buckets, F.col("s").eqNullSafe(F.col("end_s")) & (F.col("bucket") == F.col("end_bucket"))).select(
+        "s", "bucket", "last", place.alias("rank"))
+    found = ranked.join(broadcast_if_small(ends, 1 << 20), F.col("s").eqNullSafe(F.col("end_s"))
+                        & (F.col("bucket") == F.col("end_bucket")) & (F.col("rank") == F.col("rest")))
+    return found.select("s", "cut", "last")
+
+
+def stratified_quotas(counts: DataFrame, fraction: float) -> DataFrame:
+    """(s, n, quota) of counts (s, n): the rows of each stratum to hold out.
+
+    ``ceil(fraction * total)`` rows are held out in all.  The others are shared
+    out by largest remainders: every stratum has the whole part of its exact
+    share, and what is left goes one by one to the largest remainders (ties: the
+    smaller stratum, null first).  All shares are whole numbers, so no rounding
+    of floats can move a row.  One row per stratum is ranked.
+    """
+    whole = Window.partitionBy()
+    total, kept = F.col("total"), F.col("kept")
+    shares = (counts.withColumn("total", F.sum("n").over(whole))
+              .withColumn("kept", total - F.least(total, F.ceil(F.lit(float(fraction)) * total)))
+              .withColumn("product", F.col("n").cast("decimal(19,0)") * kept.cast("decimal(18,0)"))
+              .withColumn("base", F.expr("cast(product div total as bigint)"))
+              .withColumn("remainder", F.col("product") - F.col("base").cast("decimal(19,0)") * total.cast("decimal(18,0)")))
+    spare = kept - F.sum("base").over(whole)
+    place = F.row_number().over(Window.orderBy(F.col("remainder").desc(), F.col("s").asc_nulls_first()))
+    return shares.select("s", "n", (F.col("n") - F.col("base") - F.when(place <= spare, 1).otherwise(0)).alias("quota"))
 
 
 def stratified_holdout(df: DataFrame, stratum: str, fraction: float, seed: int = 42,
                        key: str = "id", flag_col: str = "is_test", bucket_bits: int = 16) -> DataFrame:
-    """Per stratum, the round(fraction * n) rows with the smallest (H(key), key) are held out.
+    """The rows of each stratum with the smallest (H(key), key) are held out, as many
+    as its quota (``stratified_quotas``: ``ceil(fraction * n)`` rows in all).
 
-    Counts per (stratum, hash bucket) say in which bucket a stratum's quota
-    ends; only the (hash, key) pairs of that bucket - one in 2**bucket_bits of
-    the stratum - are ranked, which gives the last pair held out.  Every other
-    row is compared with its stratum's pair: no full row is sorted or moved.
+    Every row is compared with the last pair that its stratum holds out: no full row is sorted or moved.
     """
-    shift = HASH_BITS - bucket_bits
-    hashed = df.select(F.col(stratum).alias("s"), key_hash(key, seed).alias("h"), F.col(key).alias("k"))
-    bucket = F.shiftright("h", shift).alias("bucket")
-    upto = Window.partitionBy("s").orderBy("bucket")
-    counts = (hashed.groupBy("s", bucket).agg(F.count(F.lit(1)).alias("n"))
-              .withColumn("upto", F.sum("n").over(upto))
-              .withColumn("quota", F.round(F.lit(float(fraction)) * F.sum("n").over(Window.partitionBy("s")))))
-    ends = (counts.where((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("n") < F.col("quota")))
-            .select(F.col("s").alias("end_s"), F.col("bucket").alias("end_bucket"),
-                    (F.col("quota") - F.col("upto") + F.col("n")).alias("rest")))
-    ends = broadcast_if_small(cut_lineage(ends), 1 << 20)
-    last = (hashed.join(ends, F.col("s").eqNullSafe(F.col("end_s")) & (F.shiftright("h", shift) == F.col("end_bucket")))
-            .withColumn("rank", F.row_number().over(Window.partitionBy("s").orderBy("h", "k")))
-            .where(F.col("rank") == F.col("rest"))
-            .select(F.col("s").alias("__s"), F.struct("h", "k").alias("__last")))
+    counts = df.groupBy(F.col(stratum).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    quotas = cut_lineage(stratified_quotas(counts, fraction)).select("s", F.lit(0).alias("cut"), "quota")
+    last = last_of_quotas(df, stratum, quotas, seed, key, bucket_bits).select(F.col("s").alias("__s"), F.col("last").alias("__last"))
     last = broadcast_if_small(cut_lineage(last), 1 << 20)
     out = df.join(last, F.col(stratum).eqNullSafe(F.col("__s")), "left")
-    own = F.struct(key_hash(key, seed).alias("h"), F.col(key).alias("k"))
-    return out.select(*df.columns, F.coalesce(own <= F.col("__last"), F.lit(False)).alias(flag_col))
+    return out.select(*df.columns, F.coalesce(_order_pair(key, seed) <= F.col("__last"), F.lit(False)).alias(flag_col))
