@@ -696,6 +696,24 @@ def s4_overwrite_table_sink(spark, sf):
     return _fixed(IO.read_table(spark, path), CLEAN_FIXED)
 
 
+@register("s4_replace_survives_failure",
+          O.with_blocks("clean") + f"SELECT {_sql_fixed(CLEAN_FIXED, 'c')}, true AS failed FROM clean c")
+def s4_replace_survives_failure(spark, sf):
+    """A replacement that fails on its last rows leaves the old table whole; one
+    that reads the table itself replaces it."""
+    path = scratch_path(spark, "replaced_listings")
+    IO.write_table(bench(spark, sf).listings, path)
+    old = IO.read_table(spark, path)
+    broken = old.withColumn("price", F.when(F.col("id") == old.agg(F.max("id")).first()[0], F.raise_error(F.lit("midway"))).otherwise(F.col("price")))
+    failed = False
+    try:
+        IO.write_table(broken, path)
+    except Exception as e:
+        failed = "midway" in str(e)
+    IO.write_table(IO.read_table(spark, path), path)
+    return _fixed(IO.read_table(spark, path), CLEAN_FIXED).withColumn("failed", F.lit(failed))
+
+
 @register("s5_feature_cache", O.with_blocks("features") + f"SELECT {_sql_fixed(FEATURE_FIXED)} FROM features")
 def s5_feature_cache(spark, sf):
     """Read-through cache: first call builds and writes, the second reads the cache."""
