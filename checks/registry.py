@@ -7,6 +7,7 @@ rounded to 6 places on both sides; texts are returned as length + md5.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -672,7 +673,7 @@ import os  # noqa: E402
 
 from rentalytics.config import LISTING_KEEP_COLUMNS  # noqa: E402
 from rentalytics.plans import modelling as MO  # noqa: E402
-from rentalytics.session import scratch_path  # noqa: E402
+from rentalytics.session import cut_lineage, scratch_path  # noqa: E402
 from rentalytics.sources import io as IO  # noqa: E402
 
 
@@ -837,6 +838,133 @@ def m1_gbt_log_target_predictions(spark, sf):
         "id", "price", F.round(MO.PREDICTION, 4).alias("prediction"))
 
 
+# Two regularised stumps on the flag: the second on what the first leaves over, both with L1 and L2 penalties.
+REGULARISED_STUMPS = MO.BoostSettings(max_iter=2, max_depth=1, step_size=0.5, algorithm="regularised", reg_alpha=3.0,
+                                      reg_lambda=20.0, min_child_weight=3.0)
+_leaf_value = "-sign(sum(m - y)) * greatest(abs(sum(m - y)) - 3.0, 0) / (count(*) + 20.0) * 0.5"
+
+
+@register("m1_regularised_stumps",
+          O.with_blocks("train", "test") +
+          f", s0 AS (SELECT {STUMP_FEATURE} AS v, ln(1 + price) AS y, (SELECT avg(ln(1 + price)) FROM train) AS m FROM train), "
+          f"l1 AS (SELECT v, {_leaf_value} AS w FROM s0 GROUP BY v), "
+          "s1 AS (SELECT s0.v, y, m + w AS m FROM s0 JOIN l1 ON l1.v = s0.v), "
+          f"l2 AS (SELECT v, {_leaf_value} AS w FROM s1 GROUP BY v) "
+          "SELECT t.id, t.price, round(exp((SELECT any_value(m) FROM s0) + l1.w + l2.w) - 1, 4) AS prediction "
+          f"FROM test t JOIN l1 ON l1.v = t.{STUMP_FEATURE} JOIN l2 ON l2.v = t.{STUMP_FEATURE}")
+def m1_regularised_stumps(spark, sf):
+    """Second-order boosting on log1p(price) with penalised leaves."""
+    df = MO.with_label(_split(spark, sf), "price", "log1p")
+    model = MO.build_pipeline([STUMP_FEATURE], [], REGULARISED_STUMPS, "log1p").fit(df.where(~F.col("is_test")))
+    return model.transform(df.where(F.col("is_test"))).select("id", "price", F.round(MO.PREDICTION, 4).alias("prediction"))
+
+
+@register("m1_absolute_error_stump",
+          O.with_blocks("train", "test") +
+          ", b AS (SELECT median(ln(price)) AS m FROM train), "
+          f"l AS (SELECT {STUMP_FEATURE} AS v, 0.5 * median(ln(price) - m) AS w FROM train, b GROUP BY 1) "
+          f"SELECT t.id, t.price, round(exp(m + w), 4) AS prediction FROM test t JOIN l ON l.v = t.{STUMP_FEATURE} CROSS JOIN b")
+def m1_absolute_error_stump(spark, sf):
+    """The absolute-error objective: start at the median, leaves refitted as medians of their residuals."""
+    df = MO.with_label(_split(spark, sf), "price", "log")
+    settings = MO.settings_from_reference({"objective": "reg:absoluteerror", "n_estimators": 1, "max_depth": 1, "learning_rate": 0.5},
+                                          MO.BoostSettings(algorithm="regularised"))
+    model = MO.build_pipeline([STUMP_FEATURE], [], settings, "log").fit(df.where(~F.col("is_test")))
+    return model.transform(df.where(F.col("is_test"))).select("id", "price", F.round(MO.PREDICTION, 4).alias("prediction"))
+
+
+@register("m1_stump_on_imputed_column",
+          O.with_blocks("train", "test") +
+          ", md AS (SELECT median(latitude) AS med FROM train), "
+          "tr AS (SELECT coalesce(latitude, med) AS x, ln(1 + price) AS y FROM train, md), "
+          "b AS (SELECT avg(y) AS m, count(*) AS n, sum(y) AS sy FROM tr), "
+          "v AS (SELECT x, count(*) AS n, sum(y - m) AS g FROM tr, b GROUP BY x), "
+          "c AS (SELECT x AS cut, sum(n) OVER w AS hl, sum(g) OVER w AS gl FROM v WINDOW w AS (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), "
+          "best AS (SELECT cut, hl, gl FROM c, b WHERE hl IS NOT NULL ORDER BY round(gl * gl / (hl + 1) + gl * gl / (n - hl + 1), 9) DESC, cut LIMIT 1) "
+          "SELECT t.id, round(exp(m + CASE WHEN coalesce(t.latitude, med) < cut THEN gl / (hl + 1) ELSE -gl / (n - hl + 1) END) - 1, 4) AS prediction "
+          "FROM test t, md, b, best")
+def m1_stump_on_imputed_column(spark, sf):
+    """A regularised stump on a numeric column with missing values: median imputed, cut where the gain is highest."""
+    df = MO.with_label(_split(spark, sf), "price", "log1p")
+    settings = MO.BoostSettings(max_iter=1, max_depth=1, step_size=1.0, algorithm="regularised", max_bins=1024)
+    model = MO.build_pipeline(["latitude"], [], settings, "log1p").fit(df.where(~F.col("is_test")))
+    return model.transform(df.where(F.col("is_test"))).select("id", F.round(MO.PREDICTION, 4).alias("prediction"))
+
+
+@register("m3_stump_on_one_hot_column",
+          O.with_blocks("train", "test") +
+          ", b AS (SELECT avg(ln(1 + price)) AS m, count(*) AS n FROM train), "
+          "v AS (SELECT room_type AS x, count(*) AS h, sum(ln(1 + price) - m) AS g FROM train, b WHERE room_type IS NOT NULL GROUP BY 1), "
+          "best AS (SELECT x, h, g FROM v, b WHERE h < n ORDER BY round(g * g / (h + 1) + g * g / (n - h + 1), 9) DESC, x LIMIT 1) "
+          "SELECT t.id, round(exp(m + CASE WHEN coalesce(t.room_type = x, false) THEN g / (h + 1) ELSE -g / (n - h + 1) END) - 1, 4) AS prediction "
+          "FROM test t, b, best")
+def m3_stump_on_one_hot_column(spark, sf):
+    """A regularised stump on a one-hot encoded category: the best value against all others."""
+    df = MO.with_label(_split(spark, sf), "price", "log1p")
+    settings = MO.BoostSettings(max_iter=1, max_depth=1, step_size=1.0, algorithm="regularised")
+    model = MO.build_pipeline([], ["room_type"], settings, "log1p").fit(df.where(~F.col("is_test")))
+    return model.transform(df.where(F.col("is_test"))).select("id", F.round(MO.PREDICTION, 4).alias("prediction"))
+
+
+# A leaf that takes a third of the remaining way on every step comes nearer all the time, on rows whose means
+# the held-out ones share; the curve is written out for both flags.
+_PATIENCE_TREES = 8
+
+
+@register("m12_patience_curve",
+          O.with_blocks("train", "test") +
+          ", b AS (SELECT avg(ln(1 + price)) AS m FROM train), "
+          f"l AS (SELECT {STUMP_FEATURE} AS v, avg(ln(1 + price)) AS mean FROM train GROUP BY 1), "
+          f"e AS (SELECT CAST(k.n AS BIGINT) AS tree, sqrt(avg(power(ln(1 + t.price) - (l.mean - (l.mean - b.m) * power(2.0 / 3, k.n)), 2))) AS err "
+          f"FROM test t JOIN l ON l.v = t.{STUMP_FEATURE} CROSS JOIN b CROSS JOIN (SELECT unnest(range(1, {_PATIENCE_TREES + 1})) AS n) k GROUP BY 1), "
+          "r AS (SELECT tree, err, (SELECT arg_min(tree, err) FROM e) AS best_tree FROM e) "
+          "SELECT tree, round(err, 6) AS error, best_tree FROM r")
+def m12_patience_curve(spark, sf):
+    """Validation error after every tree (stumps of step 1/3, no penalty) and the tree at which the model ends."""
+    df = MO.with_label(_split(spark, sf), "price", "log1p")
+    settings = MO.BoostSettings(max_iter=_PATIENCE_TREES, max_depth=1, step_size=1 / 3, algorithm="regularised", reg_lambda=0.0,
+                                validation_col="is_test", patience=_PATIENCE_TREES)
+    fitted = MO.build_pipeline([STUMP_FEATURE], [], settings, "log1p").fit(df).stages[-2]
+    rows = [(i + 1, error, fitted.getNumTrees) for i, error in enumerate(fitted.validationErrors)]
+    return spark.createDataFrame(rows, "tree long, error double, best_tree long").withColumn("error", F.round("error", 6))
+
+
+@register("m1_regularised_on_all_features",
+          O.with_blocks("test") + "SELECT count(*) AS test_rows, true AS below_baseline FROM test")
+def m1_regularised_on_all_features(spark, sf):
+    """The tuned model's own settings (fewer, larger steps) on every feature: its test error is below the median's."""
+    split = _split(spark, sf)
+    df = MO.with_label(split, "price", "log")
+    numeric, categorical = MO.matrix_model_columns(df)
+    settings = MO.settings_from_reference(
+        {"n_estimators": 4, "max_depth": 4, "learning_rate": 0.4, "min_child_weight": 3, "subsample": 0.8, "colsample_bytree": 0.6,
+         "reg_alpha": 0.01, "reg_lambda": 0.1, "gamma": 0}, MO.BoostSettings(algorithm="regularised"))
+    train, test = df.where(~F.col("is_test")), df.where(F.col("is_test"))
+    model = MO.build_pipeline(numeric, categorical, settings, "log", rare_share=0.01).fit(train)
+    own = ME.error_metrics(model.transform(test), "price", MO.PREDICTION).select("n", "mae")
+    return own.crossJoin(ME.median_baseline(train, test, "price")).select(
+        F.col("n").alias("test_rows"), (F.col("mae") < F.col("baseline_mae")).alias("below_baseline"))
+
+
+@register("m4_te_cross_validation",
+          O.with_blocks("features") +
+          "SELECT CAST(f AS INTEGER) AS fold, (n // 5) + CASE WHEN f < n % 5 THEN 1 ELSE 0 END AS n, nested, true AS below_baseline "
+          "FROM (SELECT count(*) AS n FROM features), (SELECT unnest(range(5)) AS f), (SELECT unnest([true, false]) AS nested)")
+def m4_te_cross_validation(spark, sf):
+    """Cross-validation with target encoding over all features, the reference's
+    mode and the nested one: fold sizes exact, every fold's error below the one
+    of the median of the other folds."""
+    f = bench(spark, sf).features.where(F.col("price").isNotNull())
+    folds = cut_lineage(FO.balanced_folds(f, 5, 42).select("fold", "price"))
+    baseline = [ME.median_baseline(folds.where(F.col("fold") != i), folds.where(F.col("fold") == i), "price")
+                .select(F.lit(i).alias("fold"), "baseline_mae") for i in range(5)]
+    baseline = functools.reduce(DataFrame.unionByName, baseline)
+    settings = MO.BoostSettings(max_iter=5, max_depth=4, step_size=0.4)
+    out = [MO.te_cross_validation(f, settings, nested=nested, parallelism=3)[0].withColumn("nested", F.lit(nested)) for nested in (True, False)]
+    return out[0].unionByName(out[1]).join(baseline, "fold").select(
+        "fold", "n", "nested", (F.col("mae") < F.col("baseline_mae")).alias("below_baseline"))
+
+
 @register("m4_cross_validation",
           O.with_blocks("folds") +
           f"SELECT CAST(h.fold AS INTEGER) AS fold, round(avg(abs(m.p - h.price)), 4) AS mae, "
@@ -875,9 +1003,10 @@ def m5_final_te_model(spark, sf):
           ", j AS (SELECT id, price FROM joined), "
           "e AS (SELECT min(price) AS mn, quantile_cont(price, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS qs FROM j), "
           "st AS (SELECT j.*, len(list_filter(list_distinct(e.qs), lambda x: x > e.mn AND x < j.price)) AS stratum FROM j, e), "
-          f"rk AS (SELECT st.*, row_number() OVER (PARTITION BY stratum ORDER BY {O.key_hash('st.id')}, st.id) AS rk, "
-          "count(*) OVER (PARTITION BY stratum) AS sz FROM st), "
-          "sp AS (SELECT *, rk <= round(0.2 * sz) AS is_test FROM rk), "
+          + O.QUOTAS.replace("FROM strata ", "FROM st ") +
+          f", rk AS (SELECT st.*, row_number() OVER (PARTITION BY st.stratum ORDER BY {O.key_hash('st.id')}, st.id) AS rk, "
+          "quota FROM st JOIN quotas q ON q.stratum = st.stratum), "
+          "sp AS (SELECT *, rk <= quota AS is_test FROM rk), "
           "md AS (SELECT median(price) AS m FROM sp WHERE NOT is_test) "
           "SELECT (SELECT count(*) FROM sp WHERE NOT is_test) AS train_rows, (SELECT count(*) FROM sp WHERE is_test) AS test_rows, "
           "(SELECT round(m, 6) FROM md) AS train_median, "

@@ -92,15 +92,11 @@ def _select_ranks(values: DataFrame, targets: dict[tuple[int, int], tuple[float,
     return out
 
 
-def exact_quantiles_many(df: DataFrame, probs: dict[str, list[float]], final_rows: int = FINAL_ROWS,
-                         buckets: int = BUCKETS) -> dict[str, list[float | None]]:
-    """Exact interpolated quantiles for several columns; the columns share
-    every pass (one long-format frame with a column id)."""
-    cols = list(probs)
-    pairs = F.array(*[F.struct(F.lit(i).alias("c"), F.col(name).cast("double").alias("v"))
-                      for i, name in enumerate(cols)])
-    values = (df.select(F.explode(pairs).alias("p")).select("p.c", "p.v")
-              .where(F.col("v").isNotNull() & ~F.isnan("v")))
+def exact_quantiles_long(values: DataFrame, probs: dict[int, list[float]], final_rows: int = FINAL_ROWS,
+                         buckets: int = BUCKETS) -> dict[int, list[float | None]]:
+    """Exact interpolated quantiles of each series ``c`` of the long frame (c int, v
+    double); NULL and NaN are skipped.  All series share every pass."""
+    values = values.where(F.col("v").isNotNull() & ~F.isnan("v"))
     infinity = float("inf")
     finite = F.when(F.abs("v") != infinity, F.col("v"))
     stats = {r["c"]: r for r in values.groupBy("c").agg(
@@ -108,12 +104,12 @@ def exact_quantiles_many(df: DataFrame, probs: dict[str, list[float]], final_row
         F.count(finite).alias("finite"), F.min(finite).alias("mn"), F.max(finite).alias("mx")).collect()}
     values = values.where(F.abs("v") != infinity)
     targets, positions, at = {}, {}, {}
-    for i, name in enumerate(cols):
+    for i in probs:
         st = stats.get(i)
         if st is None:
             continue
-        positions[name] = [(st["n"] - 1) * p for p in probs[name]]
-        for pos in positions[name]:
+        positions[i] = [(st["n"] - 1) * p for p in probs[i]]
+        for pos in positions[i]:
             for r in {int(math.floor(pos)), int(math.ceil(pos))}:
                 if r < st["below"]:
                     at[(i, r)] = -infinity
@@ -123,20 +119,31 @@ def exact_quantiles_many(df: DataFrame, probs: dict[str, list[float]], final_row
                     targets[(i, r - st["below"])] = (st["mn"], st["mx"], st["finite"])
     found = _select_ranks(values, targets, final_rows, buckets)
     at.update({(i, r + stats[i]["below"]): value for (i, r), value in found.items()})
-    out: dict[str, list[float | None]] = {}
-    for i, name in enumerate(cols):
-        if name not in positions:
-            out[name] = [None for _ in probs[name]]
+    out: dict[int, list[float | None]] = {}
+    for i in probs:
+        if i not in positions:
+            out[i] = [None for _ in probs[i]]
             continue
         res = []
-        for pos in positions[name]:
+        for pos in positions[i]:
             lower, higher = math.floor(pos), math.ceil(pos)
             a, b = at[(i, lower)], at[(i, higher)]
             res.append(float(a) if lower == higher or a == b else (higher - pos) * a + (pos - lower) * b)
-        out[name] = res
+        out[i] = res
     return out
 
 
+def exact_quantiles_many(df: DataFrame, probs: dict[str, list[float]], final_rows: int = FINAL_ROWS,
+                         buckets: int = BUCKETS) -> dict[str, list[float | None]]:
+    """Exact interpolated quantiles for several columns; the columns share
+    every pass (one long-format frame with a column id)."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("c"), F.col(name).cast("double").alias("v"))
+                      for i, name in enumerate(probs)])
+    values = df.select(F.explode(pairs).alias("p")).select("p.c", "p.v")
+    found = exact_quantiles_long(values, dict(enumerate(probs.values())), final_rows, buckets)
+    return {name: found[i] for i, name in enumerate(probs)}
+
+
 def exact_quantiles(df: DataFrame, col: str, probs: list[float], final_rows: int = FINAL_ROWS,
                     buckets: int = BUCKETS) -> list[float | None]:
     """Exact linearly interpolated quantiles of ``col`` (NULL/NaN skipped)."""

@@ -1,12 +1,12 @@
 """Price models on Spark ML: pipelines, cross-validation, random search,
 final training, importances, batch scoring.
 
-The boosted trees are Spark's ``GBTRegressor`` (distributed histogram
-splits); the reference's XGBoost settings are mapped onto it by
-``settings_from_reference`` - GBT has no L1/L2 leaf penalties, so
-``reg_alpha``/``reg_lambda`` are recorded but have no effect, and column
-sampling is per node instead of per tree.  Numbers are therefore not
-comparable with the reference's published errors.
+The boosted trees are, by ``BoostSettings.algorithm``, Spark's ``GBTRegressor``
+(``gbt``) or the second-order booster of ``operators.boosting`` (``regularised``).
+``settings_from_reference`` reads the reference's setting names.  The second one
+has all of them: L1/L2 leaf penalties, split loss, hessian child weight, columns
+drawn per tree, absolute error with leaf medians, patience.  ``gbt`` knows no
+leaf penalties, draws columns per node and takes the others in its own meaning.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import random
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, replace
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +38,7 @@ from ..config import (
 from ..functions import numeric_text
 from ..operators import encoding as EN
 from ..operators import metrics as ME
+from ..operators.boosting import RegularisedBooster, TreeSettings
 from ..operators.ml_stages import InfrequentBucketer, MedianFiller, ModeFiller
 from ..session import cut_lineage
 from ..sources import io
@@ -70,28 +71,50 @@ class BoostSettings:
     seed: int = 42
     validation_col: str | None = None
     validation_tol: float = 0.01
+    algorithm: str = "gbt"
+    reg_alpha: float = 0.0
+    reg_lambda: float = 1.0
+    gamma: float = 0.0
+    min_child_weight: float = 1.0
+    patience: int | None = None  # ``regularised`` with a validation column
     ignored: tuple = ()
 
+    def effective(self) -> "BoostSettings":
+        """These settings without what the algorithm does not look at: equal ones give equal models."""
+        if self.algorithm == "regularised":
+            return replace(self, min_info_gain=0.0, min_instances_per_node=1, validation_tol=0.0, ignored=())
+        return replace(self, reg_alpha=0.0, reg_lambda=1.0, gamma=0.0, min_child_weight=1.0, patience=None, ignored=())
+
 
 def settings_from_reference(params: dict, base: BoostSettings = BoostSettings()) -> BoostSettings:
-    """XGBoost-style parameter names -> GBTRegressor settings (M1 mapping)."""
+    """The reference's parameter names -> settings (M1 mapping), for the algorithm of ``base``."""
     s = base
     mapping = {
-        "n_estimators": ("max_iter", int), "learning_rate": ("step_size", float),
-        "max_depth": ("max_depth", int), "subsample": ("subsampling_rate", float),
-        "colsample_bytree": ("feature_subset", lambda v: "all" if float(v) >= 1.0 else str(float(v))),
-        "min_child_weight": ("min_instances_per_node", lambda v: max(1, int(v))),
-        "gamma": ("min_info_gain", float),
-        "objective": ("loss", lambda v: "absolute" if "absolute" in str(v) else "squared"),
+        "n_estimators": {"max_iter": int}, "learning_rate": {"step_size": float},
+        "max_depth": {"max_depth": int}, "subsample": {"subsampling_rate": float},
+        "colsample_bytree": {"feature_subset": lambda v: "all" if float(v) >= 1.0 else str(float(v))},
+        "min_child_weight": {"min_instances_per_node": lambda v: max(1, int(v)), "min_child_weight": float},
+        "gamma": {"min_info_gain": float, "gamma": float},
+        "reg_alpha": {"reg_alpha": float}, "reg_lambda": {"reg_lambda": float},
+        "objective": {"loss": lambda v: "absolute" if "absolute" in str(v) else "squared"},
     }
-    ignored = []
+    unused = {"reg_alpha", "reg_lambda"} if base.algorithm == "gbt" else set()
     for k, v in params.items():
-        if k in mapping:
-            field, conv = mapping[k]
-            s = replace(s, **{field: conv(v)})
-        else:
-            ignored.append(k)
-    return replace(s, ignored=tuple(sorted(ignored)))
+        s = replace(s, **{field: convert(v) for field, convert in mapping.get(k, {}).items()})
+    return replace(s, ignored=tuple(sorted(k for k in params if k not in mapping or k in unused)))
+
+
+def booster(settings: BoostSettings) -> Estimator:
+    """The boosted-tree stage of a pipeline."""
+    if settings.algorithm == "gbt":
+        return gbt(settings)
+    trees = TreeSettings(
+        trees=settings.max_iter, step=settings.step_size, depth=settings.max_depth, alpha=settings.reg_alpha,
+        lam=settings.reg_lambda, gamma=settings.gamma, min_child_weight=settings.min_child_weight,
+        rows=settings.subsampling_rate, features=1.0 if settings.feature_subset == "all" else float(settings.feature_subset),
+        objective=settings.loss, max_bins=settings.max_bins, patience=settings.patience, seed=settings.seed)
+    return RegularisedBooster(featuresCol="features", labelCol=LABEL, predictionCol=RAW_PRED,
+                              validationIndicatorCol=settings.validation_col, settings=json.dumps(asdict(trees)))
 
 
 def gbt(settings: BoostSettings) -> GBTRegressor:
@@ -144,7 +167,7 @@ def build_pipeline(numeric: list[str], categorical: list[str], settings: BoostSe
         stages += one_hot_stages(categorical)
         vec_cols += [f"{c}__ohe" for c in categorical]
     stages.append(VectorAssembler(inputCols=vec_cols, outputCol="features", handleInvalid="keep"))
-    stages.append(gbt(settings))
+    stages.append(booster(settings))
     inverse = TRANSFORMS[transform][1].format(RAW_PRED)
     stages.append(SQLTransformer(statement=f"SELECT *, {inverse} AS {PREDICTION} FROM __THIS__"))
     return Pipeline(stages=stages)
@@ -203,9 +226,9 @@ def te_cross_validation(features: DataFrame, settings: BoostSettings, k: int = 5
     rows get an out-of-fold encoding over the remaining folds, and the
     held-out fold gets the mapping fitted on the training rows.
     """
-    from ..operators.folds import assign_folds
+    from ..operators.folds import balanced_folds
 
-    base = cut_lineage(with_label(assign_folds(features.where(F.col("price").isNotNull()), k, seed),
+    base = cut_lineage(with_label(balanced_folds(features.where(F.col("price").isNotNull()), k, seed),
                                   "price", "log1p"))
     if not nested:
         df = EN.oof_target_encoding(base, TE_CATEGORY_COLUMN, "price", "fold", out=TE_OUTPUT_COLUMN)
@@ -266,6 +289,7 @@ def random_search(train: DataFrame, draws: list[dict], fold_col: str = "fold", k
     numeric, categorical = matrix_model_columns(df)
     *prepare, _, back = build_pipeline(numeric, categorical, base, transform, rare_share=rare_share).getStages()
     settings = [settings_from_reference(d, base) for d in draws]
+    different = list(dict.fromkeys(x.effective() for x in settings))  # draws that differ in ignored settings only are one
 
     def vectors(fold: int) -> tuple[DataFrame, DataFrame]:
         rest, held = df.where(F.col(fold_col) != fold), df.where(F.col(fold_col) == fold)
@@ -274,13 +298,14 @@ def random_search(train: DataFrame, draws: list[dict], fold_col: str = "fold", k
 
     def mae(task: tuple[int, int]) -> float:
         rest, held = folds[task[0]]
-        scored = back.transform(gbt(settings[task[1]]).fit(rest).transform(held))
+        scored = back.transform(booster(different[task[1]]).fit(rest).transform(held))
         return ME.error_metrics(scored, "price", PREDICTION).first()["mae"]
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         folds = list(pool.map(vectors, range(k)))
-        errors = list(pool.map(mae, [(f, d) for f in range(k) for d in range(len(draws))]))
-    means = [sum(errors[d::len(draws)]) / k for d in range(len(draws))]
+        errors = list(pool.map(mae, [(f, d) for f in range(k) for d in range(len(different))]))
+    by_settings = {x: sum(errors[d::len(different)]) / k for d, x in enumerate(different)}
+    means = [by_settings[x.effective()] for x in settings]
     best = min(range(len(draws)), key=lambda d: means[d])
     model = build_pipeline(numeric, categorical, settings[best], transform, rare_share=rare_share).fit(df)
     return model, draws[best], means
@@ -294,12 +319,12 @@ def train_searched_model(joined: DataFrame, draws: list[dict], k: int = 5, seed:
     setting, test MAE overall / in the tail / in the body, the training-median
     baseline, and (optionally) model + report saved.  Returns the fitted
     pipeline and a 1-row report."""
-    from ..operators.folds import assign_folds, quantile_bins, stratified_holdout
+    from ..operators.folds import balanced_folds, quantile_bins, stratified_holdout
 
     split = stratified_holdout(quantile_bins(joined.where(F.col("price").isNotNull()), "price", strata),
                                "stratum", test_fraction, seed)
     split = cut_lineage(split)
-    train = assign_folds(split.where(~F.col("is_test")), k, seed)
+    train = cut_lineage(balanced_folds(split.where(~F.col("is_test")), k, seed))
     test = split.where(F.col("is_test"))
     model, best, cv_maes = random_search(train, draws, "fold", k, base, "log", 0.01, parallelism)
     scored = model.transform(with_label(test, "price", "log"))
@@ -391,7 +416,7 @@ def save_trained(trained: TrainedModel, model_dir: str, te: tuple[DataFrame, Dat
     if te is not None:
         io.write_target_encoding(te[0], te[1], os.path.join(model_dir, "target_encoding"))
     meta = {
-        "model_name": f"GBT regressor ({trained.transform} target"
+        "model_name": f"{'GBT' if trained.settings.algorithm == 'gbt' else 'Second-order boosting'} regressor ({trained.transform} target"
                       + (" + neighbourhood target encoding)" if trained.uses_te else ")"),
         "trained_on": datetime.date.today().isoformat(),
         "features": [n for n, _ in trained.feature_types],
