@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-# The documented bound of the training sample: pages, and bytes of the longest one.
+# The documented bound of the training sample: different pages, and bytes of all of them together (one page at least).
 SAMPLE_PAGES = 300
-SAMPLE_BYTES = 100_000
+SAMPLE_BYTES = 30_000_000
+VARIANTS = 4
 BATCH_BYTES = 2 << 20
 
 # HTML's element kinds.
@@ -37,7 +38,7 @@ RAW_END = {tag: re.compile(rf"</{tag}(?=[ \t\n\r\f/>])", re.I | re.A) for tag in
 BLOCKS = tuple(
     "html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot "
     "tr td th caption figure figcaption address center details summary hgroup menu dir nav header footer aside form "
-    "fieldset legend dialog button label hr".split())
+    "fieldset legend dialog button hr".split())
 BLOCK = frozenset(BLOCKS)
 # An element of a key's kind ends when one of its values begins.
 ENDED_BY = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"},
@@ -57,8 +58,16 @@ TOKENS = {
 }
 GROUPS = tuple(TOKENS)
 _GROUP = {word: i for i, words in enumerate(TOKENS.values()) for word in words.split()}
-DROPPED_TAGS = frozenset("nav header footer aside form fieldset button label dialog menu legend".split())
+DROPPED_TAGS = frozenset("nav header footer aside form fieldset button dialog menu legend".split())
 CONTENT_TAGS = frozenset(("article", "main"))
+# Classes of these say something of the whole page, and inline elements in the others belong to their sentence.
+PAGE_TAGS = frozenset(("html", "body"))
+SENTENCES = frozenset("p li dt dd td th h1 h2 h3 h4 h5 h6 blockquote figcaption caption pre".split())
+# Parts of a list, table or figure: without words of their own they go with the whole.
+PARTS = frozenset("li dt dd thead tbody tfoot tr td th caption figcaption summary".split())
+PART_ODDS = 1.0
+# In training pages: this element's own tag and classes say nothing of it.
+NEUTRAL = "data-training-neutral"
 
 # A quote opens a value only after a name and "="; elsewhere it is a character of a name or value, as in browsers.
 _VALUE = r"""(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^ \t\n\r\f<>"'][^ \t\n\r\f<>]*+)"""
@@ -81,17 +90,18 @@ def _groups(attributes: str) -> int:
 
 @dataclass
 class Page:
-    """Nodes (parent, tag, attribute groups) in page order and runs of text (block, node, text, in a link)."""
+    """Nodes (parent, tag, attribute groups, neutral in training) in page order and runs of text (block, node, text, in a link)."""
 
     parents: list[int]
     tags: list[str]
     groups: list[int]
+    neutral: list[bool]
     runs: list[tuple[int, int, str, bool]]
 
 
 def parse(source: str) -> Page:
     """A page's nodes and text; broken and cut-off markup is read as far as it goes."""
-    page = Page([-1], ["#page"], [0], [])
+    page = Page([-1], ["#page"], [0], [False], [])
     stack, block, linked, at = [0], 0, 0, 0
 
     def text(upto: int) -> None:
@@ -101,7 +111,8 @@ def parse(source: str) -> Page:
     def push(tag: str, attributes: str) -> None:
         page.parents.append(stack[-1])
         page.tags.append(tag)
-        page.groups.append(_groups(attributes) if "=" in attributes else 0)
+        page.groups.append(_groups(attributes) if "=" in attributes and tag not in PAGE_TAGS else 0)
+        page.neutral.append(NEUTRAL in attributes)
         stack.append(len(page.tags) - 1)
 
     while (m := _MARKUP.search(source, at)) is not None:
@@ -144,19 +155,20 @@ def parse(source: str) -> Page:
                     break
         else:
             linked += tag == "a"
-            if _NAMED.search(m[3]):
+            if page.tags[stack[-1]] not in SENTENCES and _NAMED.search(m[3]):
                 push(tag, m[3])
     text(len(source))
     return page
 
 
 def taught(page: Page) -> np.ndarray:
-    """The rules' label of each node: 1 if article text is in it."""
+    """The rules' label of each node: 1 if article text is in it.  Neutral nodes
+    have their parent's; what stands in them is judged on its own."""
     drops = sum(1 << i for i, g in enumerate(GROUPS) if g != "content")
     content = 1 << GROUPS.index("content")
     dropped, inside = [], []
-    for parent, tag, groups in zip(page.parents, page.tags, page.groups, strict=True):
-        out = tag in DROPPED_TAGS or (groups & drops) > 0
+    for parent, tag, groups, neutral in zip(page.parents, page.tags, page.groups, page.neutral, strict=True):
+        out = not neutral and (tag in DROPPED_TAGS or (groups & drops) > 0)
         dropped.append(out or (parent >= 0 and dropped[parent]))
         inside.append(tag in CONTENT_TAGS or (groups & content) > 0 or (parent >= 0 and inside[parent]))
     some = any(i and not d for i, d in zip(inside, dropped, strict=True))
@@ -172,7 +184,7 @@ def taught(page: Page) -> np.ndarray:
 FEATURE_TAGS = ("article main section div p h1 h2 h3 ul ol li table td blockquote pre nav header footer aside form "
                 "button label figure dialog span a body").split()
 _TAG = {t: i for i, t in enumerate(FEATURE_TAGS)}
-PLAIN = 14  # features before the indicators
+PLAIN = 16  # features before the indicators
 FEATURES = PLAIN + 2 * len(FEATURE_TAGS) + 2 * len(GROUPS)
 
 
@@ -189,6 +201,11 @@ class Forest:
     parent: np.ndarray
     depth: np.ndarray
     x: np.ndarray
+    part: np.ndarray | None = None
+
+    def odds(self, model: "Boosted") -> np.ndarray:
+        """The model's log odds of each node; a part's speak for keeping it if the whole is kept."""
+        return np.where(self.part, PART_ODDS, model.odds(self.x))
 
 
 def forest(pages: list[Page]) -> Forest:
@@ -232,16 +249,19 @@ def forest(pages: list[Page]) -> Forest:
     page_first = before[starts][page_of] if n else before
     page_total = total[starts][page_of] if n else total
     inherited = groups.copy()
+    in_content, in_dropped = (np.fromiter((t in tags for t in tag_list), bool, n) for tags in (CONTENT_TAGS, DROPPED_TAGS))
     for level in reversed(list(_levels(depth))):
         level = level[parent[level] >= 0]
-        inherited[level] |= inherited[parent[level]]
+        for values in (inherited, in_content, in_dropped):
+            values[level] |= values[parent[level]]
     siblings = np.maximum(children[up], 1)
     x = np.zeros((n, FEATURES), np.float32)
     whole = np.maximum(total, 1)
     for i, values in enumerate((
             depth, np.log1p(own), np.log1p(total), links / whole, np.log1p(nodes), total / nodes,
             total / np.maximum(page_total, 1), np.log1p(siblings), nth / siblings, same / siblings, children,
-            (before - page_first) / np.maximum(page_total, 1), points / whole, total / np.maximum(total[up], 1))):
+            (before - page_first) / np.maximum(page_total, 1), points / whole, total / np.maximum(total[up], 1),
+            in_content, in_dropped)):
         x[:, i] = values
     known = np.flatnonzero(tag >= 0)
     x[known, PLAIN + tag[known]] = 1
@@ -250,7 +270,8 @@ def forest(pages: list[Page]) -> Forest:
     for i in range(len(GROUPS)):
         x[:, PLAIN + 2 * len(FEATURE_TAGS) + i] = groups >> i & 1
         x[:, PLAIN + 2 * len(FEATURE_TAGS) + len(GROUPS) + i] = inherited >> i & 1
-    return Forest(parent, depth, x)
+    part = np.fromiter((t in PARTS for t in tag_list), bool, n) & (groups == 0)
+    return Forest(parent, depth, x, part)
 
 
 @dataclass
@@ -271,7 +292,7 @@ class Boosted:
         return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate: float = 0.3, bins: int = 16) -> Boosted:
+def boost(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 4, rate: float = 0.3, bins: int = 16) -> Boosted:
     """Second-order boosting of the log loss on binned features."""
     share = float(np.clip(y.mean(), 1e-4, 1 - 1e-4)) if len(y) else 0.5
     model = Boosted(float(np.log(share / (1 - share))), [])
@@ -347,53 +368,101 @@ FURNITURE = (
     '<div class="comments"><p>{}</p><p>{}</p></div>', '<div id="footer"><p>{}</p></div>', "<footer><p>{}</p></footer>",
     '<div class="related"><h3>{}</h3><a href="/y">{}</a></div>',
 )
+# What an article may hold beside paragraphs, and wrappers with misleading words (! is the neutral mark).
+CONTENTS = (
+    "<table !><thead><tr><th>{}</th><th>{}</th></tr></thead><tbody><tr><td>{}</td><td>{}</td></tr><tr><td>{}</td><td>{}</td></tr></tbody></table>",
+    "<table ! class='data related'><tr><td>{}</td><td>{}</td></tr></table>",
+    "<table !><caption>{}</caption><tr><th>{}</th><td>{}</td></tr><tr><th>{}</th><td>{}</td></tr><tr><th>{}</th><td>{}</td></tr></table>",
+    "<table !><tr><td>{}</td><td>{}</td><td>{}</td></tr><tr><td>{}</td><td>{}</td><td>{}</td></tr><tr><td>{}</td><td>{}</td><td>{}</td></tr></table>", "<pre !><code>{}</code></pre>", "<pre ! class='top'>{}\n  {}</pre>",
+    "<ul !><li>{}</li><li>{}</li><li>{}</li></ul>", "<ol ! class='menu'><li>{}</li><li>{}</li></ol>", "<ul !><li><a href='/r'>{}</a></li><li>{}</li></ul>",
+    "<blockquote !><p>{}</p></blockquote>", "<blockquote ! class='social'>{}</blockquote>", "<figure !><img src=a><figcaption>{}</figcaption></figure>",
+    "<dl !><dt>{}</dt><dd>{}</dd><dt>{}</dt><dd>{}</dd></dl>", "<h2 !>{}</h2><p>{}</p>", "<section !><h3>{}</h3><p>{}</p><p>{}</p></section>",
+    "<div ! class='top-story'><p>{}</p><p>{}</p></div>", "<div ! class='top-story'><p>{}</p></div>", "<div ! class='story top'>{}</div>",
+    "<div ! class='side-story'><p>{}</p></div>", "<div ! class='text promo'><p>{}</p></div>", "<div ! class='notice'><h3>{}</h3><p>{}</p></div>", "<p ! class='search-term'>{}</p>",
+    "<div ! class='side-note'>{}</div>", "<details !><summary>{}</summary><p>{}</p></details>", "<address !>{}</address>", "<p !>{}</p>",
+    "<div ! id='header-2'><h2>{}</h2><p>{}</p></div>", "<p ! class='footer-text'>{}</p>", "<div !><p>{}</p><pre>{}</pre><p>{}</p></div>",
+)
+MISLEADING = (("<article ! class='post has-sidebar comments-open'>", "</article>"), ("<div class='content'><article ! class='top story'>", "</article></div>"),
+              ("<main ! class='header-fixed'><article>", "</article></main>"), ("<article ! id='ad-free'><div ! class='top-story'>", "</div></article>"),
+              ("<div ! class='page side-layout'><div class='entry'>", "</div></div>"), ("<section ! class='menu-open'><article>", "</article></section>"))
 WRAPS = (("<article>", "</article>"), ("<main><article>", "</article></main>"), ('<div class="content">', "</div>"),
          ('<div id="main-content"><div class="post">', "</div></div>"), ('<main role="main">', "</main>"))
 
 
 def variant(source: str, rng: np.random.Generator) -> str:
-    """The page with some furniture before, in and after its article, and the article in other wrapping."""
+    """The page with furniture before, in and after its article, other kinds of
+    content in it, and the article in other wrapping."""
     words = re.sub(r"<[^>]*>|&\w+;?", " ", source).split() or ["x"]
 
-    def piece() -> str:
-        shape = FURNITURE[rng.integers(len(FURNITURE))]
+    def piece(shapes: tuple[str, ...]) -> str:
+        shape = shapes[rng.integers(len(shapes))].replace("!", NEUTRAL)
         while "{}" in shape:
             start = int(rng.integers(len(words)))
-            shape = shape.replace("{}", html.escape(" ".join(words[start:start + 1 + int(rng.integers(25))])), 1)
+            most = 25 if rng.random() < 0.6 else 3
+            shape = shape.replace("{}", html.escape(" ".join(words[start:start + 1 + int(rng.integers(most))])), 1)
         return shape
 
-    left, right = WRAPS[rng.integers(len(WRAPS))]
-    inner = "</p>" + piece() + "<p>" if rng.random() < 0.5 else "</p><p>"
-    source = source.replace("</p><p>", inner, 1)
-    source = re.sub(r"<article[^>]*>", lambda _: piece() + left + (piece() if rng.random() < 0.3 else ""), source, count=1)
-    return source.replace("</article>", right + piece() + piece(), 1)
+    wraps = WRAPS if rng.random() < 0.6 else MISLEADING
+    left, right = (w.replace("!", NEUTRAL) for w in wraps[rng.integers(len(wraps))])
+    if rng.random() < 0.2:  # a short article, or one of a few blocks of any kind
+        few = "".join(piece(CONTENTS) for _ in range(rng.integers(3))) + piece(("<p>{}</p>", "<p>{}</p><p>{}</p>", "<h1>{}</h1><p>{}</p>"))
+        source = re.sub(r"(<article[^>]*>).*?(</article>)", lambda m: m[1] + few + m[2], source, count=1, flags=re.S)
+        if rng.random() < 0.3:  # nothing but the article, perhaps cut off
+            source = re.search(r"<article.*?</article>|\Z", source, re.S)[0][:None if rng.random() < 0.5 else -len("</p></article>")]
+            return source.replace("<article", left + "<article", 1) if rng.random() < 0.5 else source
+    inner = "".join(piece(CONTENTS) for _ in range(rng.integers(4)))
+    if rng.random() < 0.5:
+        inner += piece(FURNITURE) + ("" if rng.random() < 0.5 else piece(CONTENTS))
+    source = source.replace("</p><p>", f"</p>{inner}<p>", 1)
+    first, last = (piece(CONTENTS) if rng.random() < 0.3 else "" for _ in range(2))
+    source = re.sub(r"<article[^>]*>", lambda _: piece(FURNITURE) + left + (piece(FURNITURE) if rng.random() < 0.3 else first), source, count=1)
+    return source.replace("</article>", last + right + piece(FURNITURE) + piece(FURNITURE), 1)
+
+
+def sample_of(pages: DataFrame) -> list[str]:
+    """At most SAMPLE_PAGES different pages of at most SAMPLE_BYTES together, the
+    first by a hash of the html: only hashes and sizes are sorted, and a table of
+    many copies gives the pages that it has.  The first is taken however long it is."""
+    key = F.xxhash64("html")
+    found = (pages.where(F.octet_length("html") > 0).groupBy(key.alias("key")).agg(F.max(F.octet_length("html")).alias("size"))
+             .orderBy("key").limit(SAMPLE_PAGES).collect())
+    taken, size = [], 0
+    for row in found:
+        size += row["size"]
+        if taken and size > SAMPLE_BYTES:
+            break
+        taken.append(row["key"])
+    if not taken:
+        return []
+    rows = pages.select("html", key.alias("key")).where(F.col("key").isin(taken)).groupBy("key").agg(F.min("html").alias("html"))
+    return [r["html"] for r in sorted(rows.collect(), key=lambda r: r["key"])]
 
 
 def train_on(pages: DataFrame, seed: int = 5) -> Boosted:
-    """Trees from a sample of SAMPLE_PAGES different pages at most, taken by a hash of their html."""
-    some = pages.select("html").where((F.octet_length("html") <= SAMPLE_BYTES)
-                                      & common.in_share("html", SAMPLE_PAGES, pages.count()))
-    sample = some.distinct().orderBy(F.xxhash64("html"), "html").limit(SAMPLE_PAGES).collect()
+    """Trees from a bounded sample of the different pages, each also in VARIANTS variants."""
     rng = np.random.default_rng(seed)
-    sources = [r["html"] for r in sample]
-    parsed = [parse(s) for s in sources + [variant(s, rng) for s in sources] + [variant(s, rng) for s in sources]]
+    sources = sample_of(pages)
+    parsed = [parse(s) for s in sources + [variant(s, rng) for _ in range(VARIANTS) for s in sources]]
     if not parsed:
         return Boosted(0.0, [])
-    return boost(forest(parsed).x, np.concatenate([taught(p) for p in parsed]).astype(np.float64))
+    tree, labels = forest(parsed), np.concatenate([taught(p) for p in parsed]).astype(np.float64)
+    return boost(tree.x[~tree.part], labels[~tree.part])
 
 
 def extracted(pages: DataFrame, model: Boosted) -> DataFrame:
     """page_id, url, text, n_chars of every row of ``pages``.
 
     The whole html is read; null or empty html, and pages without article
-    text, give an empty text.  Repeated rows are returned each.
+    text, give an empty text; of several articles on a page, nested or not, all
+    text is kept.  Repeated rows are returned each, and further columns of any
+    name are not read.
     """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.sized_batches(batches, "html", BATCH_BYTES):
             parsed = [parse(s or "") for s in batch.column("html").to_pylist()]
             tree = forest(parsed)
-            kept = decode(tree, model.odds(tree.x))
+            kept = decode(tree, tree.odds(model))
             texts, start = [], 0
             for page in parsed:
                 texts.append(page_text(page, kept[start:start + len(page.tags)]))

@@ -228,6 +228,50 @@ def test_stray_quotes_do_not_open_strings(spark):
     assert [got[i] for i in range(len(shapes))] == ["Found words here.\n\nNext & last."] * len(shapes)
 
 
+def test_article_content_of_all_kinds_is_kept(spark):
+    model = dom_boost.train_on(common.table(spark, SMALL, "pages"))
+    filler = "Words of the story stand here, and more of them follow. "
+    story, plain = f"<p>{filler * 3}</p><p>{filler * 2}</p>", [(filler * 3).strip(), (filler * 2).strip()]
+    inside = {
+        "<table><tr><th>Year</th><th>Sum</th></tr><tr><td>2001</td><td>17 units</td></tr></table>": ["Year", "Sum", "2001", "17 units"],
+        "<pre>x = 1\n  y = 2</pre>": ["x = 1 y = 2"], "<pre><code>call(a, b)</code></pre>": ["call(a, b)"],
+        "<ul><li>First thing</li><li>Second thing</li></ul>": ["First thing", "Second thing"],
+        "<blockquote><p>Someone said this once.</p></blockquote>": ["Someone said this once."],
+        "<figure><img src=a><figcaption>A picture of it</figcaption></figure>": ["A picture of it"],
+        "<dl><dt>Term</dt><dd>What it means</dd></dl>": ["Term", "What it means"],
+        '<div class="top-story"><p>Inside a wrapper.</p></div>': ["Inside a wrapper."],
+        '<p>A <span class="ad">word</span> and a <label>label</label> inside.</p>': ["A word and a label inside."],
+    }
+    furniture = '<header><p>Site name</p></header><nav><a href="/">Home</a></nav>{}<footer><p>Imprint of us</p></footer>'
+    cases = [(f"<article>{story}{own}<p>The end of it, all told.</p></article>", [*plain, *want, "The end of it, all told."])
+             for own, want in inside.items()]
+    cases += [(f'<div class="top-story"><article>{story}</article></div>', plain), (f'<article><div class="top-story">{story}</div></article>', plain),
+              (f'<article class="post has-sidebar">{story}</article>', plain)]
+    pages = [f'<body class="page comment-closed">{furniture.format(c)}</body>' for c, _ in cases] + [furniture.format(c) for c, _ in cases]
+    rows = spark.createDataFrame([(i, None, s) for i, s in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in dom_boost.extracted(rows, model).collect()}
+    assert [pages[i] for i in got if got[i] != "\n\n".join(cases[i % len(cases)][1])] == []
+
+
+@pytest.mark.parametrize("different", [1, 3, 300])
+def test_tables_of_repeated_pages(spark, different):
+    pages = [r["html"] for r in common.table(spark, SMALL, "pages").orderBy("page_id").collect()]
+    pages = [p.replace("</article>", f"<p>Copy {i}.</p></article>") for i, p in enumerate((pages * 2)[:different])]
+    clashing = [f"'{c}' as {c}" for c in ("key", "size", "keep", "hash")]
+    rows = spark.range(20_000).selectExpr("id as page_id", f"cast(id % {different} as int) as i", *clashing)
+    rows = rows.join(spark.createDataFrame(list(enumerate(pages)), "i int, html string"), "i").withColumn("url", F.lit(None).cast("string"))
+    wrong = F.col("text") != F.element_at(F.array(*[F.lit(article_text(p)) for p in pages]), (F.col("page_id") % different + 1).cast("int"))
+    got = dom_boost.extracted(rows, dom_boost.train_on(rows))
+    assert got.count() == 20_000 and got.where(wrong).count() == 0
+
+
+def test_long_pages_are_learnt_from_and_read(spark):
+    page = "<body><nav><a href='/'>Home</a></nav><article>" + "<p>Some words of a long story.</p>" * 40_000 + "</article><footer><p>us</p></footer></body>"
+    rows = spark.createDataFrame([(1, None, page)], "page_id long, url string, html string")
+    assert len(dom_boost.sample_of(rows)) == 1
+    assert dom_boost.extracted(rows, dom_boost.train_on(rows)).first().text == "\n\n".join(["Some words of a long story."] * 40_000)
+
+
 def test_decoding_never_keeps_below_a_dropped_node():
     rng = np.random.default_rng(1)
     for _ in range(50):
