@@ -670,6 +670,7 @@ def a11_kept_categories(spark, sf):
 # --------------------------------------------------------------------------- sources and sinks
 import json  # noqa: E402
 import os  # noqa: E402
+import uuid  # noqa: E402
 
 from rentalytics.config import LISTING_KEEP_COLUMNS  # noqa: E402
 from rentalytics.plans import modelling as MO  # noqa: E402
@@ -1052,6 +1053,51 @@ def m10_feature_importance(spark, sf):
     return top.select("feature", F.lit(1).alias("place"))
 
 
+def _stump_step(rows: str, best: str) -> str:
+    """The best cut over both columns of ``rows`` (id, a, b, y, m), gradients m - y, lambda 1: feature, cut, sums below it, gain."""
+    return (f"{best} AS (SELECT * FROM (SELECT f, x AS cut, round(gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1), 9) AS gain, "
+            "gl, hl, gt, ht FROM (SELECT f, x, sum(g) OVER lower AS gl, sum(h) OVER lower AS hl, sum(g) OVER (PARTITION BY f) AS gt, sum(h) OVER (PARTITION BY f) AS ht "
+            "FROM (SELECT f, x, sum(g) AS g, count(*) AS h FROM "
+            f"(SELECT 0 AS f, a AS x, m - y AS g FROM {rows} UNION ALL SELECT 1, b, m - y FROM {rows}) GROUP BY f, x) "
+            "WINDOW lower AS (PARTITION BY f ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))) "
+            "WHERE hl IS NOT NULL ORDER BY gain DESC, f, cut LIMIT 1)")
+
+
+@register("m10_two_stump_importances",
+          O.with_blocks("train") +
+          ", s0 AS (SELECT id, CAST(accommodates AS DOUBLE) AS a, CAST(beds AS DOUBLE) AS b, ln(1 + price) AS y, (SELECT avg(ln(1 + price)) FROM train) AS m "
+          "FROM train WHERE accommodates IS NOT NULL AND beds IS NOT NULL), " + _stump_step("s0", "b1") +
+          ", s1 AS (SELECT id, a, b, y, m + 0.5 * CASE WHEN (CASE WHEN f = 0 THEN a ELSE b END) < cut THEN -gl / (hl + 1) ELSE -(gt - gl) / (ht - hl + 1) END AS m "
+          "FROM s0, b1), " + _stump_step("s1", "b2") +
+          ", g AS (SELECT n.f, n.feature, coalesce((SELECT avg(gain) FROM (SELECT f, gain FROM b1 UNION ALL SELECT f, gain FROM b2) u WHERE u.f = n.f), 0) AS gain "
+          "FROM (VALUES (0, 'accommodates'), (1, 'beds')) n(f, feature)) "
+          "SELECT feature, round(gain / (SELECT sum(gain) FROM g), 6) AS importance FROM g")
+def m10_two_stump_importances(spark, sf):
+    """Importances (mean gain per feature, as shares) of two regularised stumps over two columns."""
+    df = MO.with_label(_split(spark, sf), "price", "log1p").where(~F.col("is_test"))
+    settings = MO.BoostSettings(max_iter=2, max_depth=1, step_size=0.5, algorithm="regularised")
+    model = MO.build_pipeline(["accommodates", "beds"], [], settings, "log1p").fit(df)
+    return MO.feature_importances(model, model.transform(df), 2).withColumn("importance", F.round("importance", 6))
+
+
+@register("a8_written_tables",
+          O.with_blocks("clean", "reviews_clean", "summary") +
+          "SELECT 'listings_features' AS table_name, true AS in_database, 'MANAGED' AS table_type, "
+          "34 AS n_cols, count(*) AS n FROM clean "
+          "UNION ALL SELECT 'reviews', true, 'MANAGED', 6, count(*) FROM reviews_clean "
+          "UNION ALL SELECT 'reviews_summary', true, 'MANAGED', 6, count(*) FROM summary")
+def a8_written_tables(spark, sf):
+    """The clean step written to the catalog twice (replaced whole), then listed from its database with row counts."""
+    from rentalytics.plans.cleaning import CleanTables, write_clean_tables
+
+    b = bench(spark, sf)
+    database = f"clean_{uuid.uuid4().hex[:12]}"  # a warehouse may still hold the folders of an earlier session
+    for _ in range(2):
+        paths = write_clean_tables(CleanTables(b.listings, b.reviews, b.summary), database)
+    listing = PR.catalog_listing(spark, database).withColumn("in_database", F.col("database") == database).drop("database")
+    return listing.join(PR.row_counts({name: IO.read_table(spark, path) for name, path in paths.items()}), "table_name")
+
+
 @register("m11_batch_scoring",
           O.with_blocks("features") + "SELECT id, true AS as_in_memory, neighbourhood_cleansed IS NULL AS without_area FROM features")
 def m11_batch_scoring(spark, sf):

@@ -42,8 +42,7 @@ def catalog_listing(spark: SparkSession, database: str | None = None) -> DataFra
     """Tables and views in the catalog with their column counts (metadata only)."""
     rows = []
     for t in spark.catalog.listTables(database):
-        cols = spark.catalog.listColumns(t.name, t.database) if t.database else \
-            spark.catalog.listColumns(t.name)
+        cols = spark.catalog.listColumns(f"{t.database}.{t.name}" if t.database else t.name)
         rows.append((t.name, t.database, t.tableType, len(cols)))
     return spark.createDataFrame(rows, "table_name string, database string, table_type string, n_cols int")
 

@@ -102,15 +102,22 @@ def replace(spark: SparkSession, path: str, write: Callable[[str], None]) -> str
 
 def replace_catalog_table(df: DataFrame, name: str, save: Callable[[str], None]) -> str:
     """Replace the catalog table ``name``: ``save(staged name)`` writes a table
-    beside it, which takes its name when it is whole; the old one goes last."""
+    beside it, which takes its name when it is whole; the old one goes last.
+    A name that the catalog does not know, but whose folder lies in the
+    warehouse, is refused, as Spark itself does."""
     spark = df.sparkSession
+    known = spark.catalog.tableExists(name)
     staged, old = (f"{name}__{what}_{uuid.uuid4().hex[:8]}" for what in ("new", "old"))
     try:
         save(staged)
+        place = spark.sql(f"DESCRIBE TABLE EXTENDED {staged}").where("col_name = 'Location'").first()["data_type"]
+        folder = f"{os.path.dirname(place.rstrip('/'))}/{name.split('.')[-1].lower()}"
+        if not known and _Files(spark, folder).exists(folder):
+            raise FileExistsError(f"{folder} exists, but no table {name}")
     except BaseException:
         spark.sql(f"DROP TABLE IF EXISTS {staged}")
         raise
-    if spark.catalog.tableExists(name):
+    if known:
         spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
     spark.sql(f"ALTER TABLE {staged} RENAME TO {name}")
     spark.sql(f"DROP TABLE IF EXISTS {old}")
