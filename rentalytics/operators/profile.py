@@ -39,9 +39,12 @@ def clean_audit(tables: Mapping[str, DataFrame], price_col: str = "price") -> Da
 
 # --- A8 ---------------------------------------------------------------------
 def catalog_listing(spark: SparkSession, database: str | None = None) -> DataFrame:
-    """Tables and views in the catalog with their column counts (metadata only)."""
+    """Tables and views in the catalog with their column counts (metadata only);
+    of a named ``database`` its own only, without the session's temporary views."""
     rows = []
     for t in spark.catalog.listTables(database):
+        if database and t.database != database:
+            continue
         cols = spark.catalog.listColumns(f"{t.database}.{t.name}" if t.database else t.name)
         rows.append((t.name, t.database, t.tableType, len(cols)))
     return spark.createDataFrame(rows, "table_name string, database string, table_type string, n_cols int")
