@@ -76,7 +76,7 @@ def predicted(model, df):
 
 @pytest.mark.parametrize("s", [
     TreeSettings(trees=2, depth=2, step=0.5, lam=0.0),
-    TreeSettings(trees=2, depth=3, step=0.3, lam=2.0, alpha=4.0, gamma=3.0, min_child_weight=8, block=1),
+    TreeSettings(trees=2, depth=2, step=0.3, lam=2.0, alpha=4.0, gamma=3.0, min_child_weight=8, block=1),
     TreeSettings(trees=2, depth=2, step=0.7, objective="absolute"),
 ], ids=["plain", "penalised", "absolute"])
 def test_predictions_equal_brute_force(spark, s):
@@ -86,7 +86,7 @@ def test_predictions_equal_brute_force(spark, s):
 
 def test_patience_keeps_the_best_trees(spark, tmp_path):
     x, y, held, df = table(spark, n=80, seed=3)
-    s = TreeSettings(trees=9, depth=2, step=1.2, lam=0.0, patience=2, block=4)
+    s = TreeSettings(trees=6, depth=1, step=1.5, lam=0.0, patience=2, block=3)
     margins = brute(x, y, held, s)[1:]
     errors = [float(np.sqrt(np.mean((y - m)[held] ** 2))) for m in margins]
     kept, best = _until_patience(errors, 2)
@@ -104,7 +104,7 @@ def test_until_patience():
 
 def test_drawn_rows_and_features_and_odd_tables(spark):
     x, y, held, df = table(spark)
-    s = TreeSettings(trees=4, depth=2, rows=0.6, features=0.5)
+    s = TreeSettings(trees=2, depth=2, rows=0.6, features=0.7)
     one, other = fit(df, s), fit(df, s)
     assert one._fitted() == other._fitted() and np.mean((predicted(one, df) - y) ** 2) < y.var()
     assert abs(sum(one.featureImportances) - 1) < 1e-9 and one.featureImportances[3] == 0
