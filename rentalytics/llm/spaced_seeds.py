@@ -6,14 +6,17 @@ are equal, place by place.  The seeds are fixed masks that ignore some
 places of the window: the places are dealt into four classes and every mask
 ignores two of them, so whichever two places differ, one mask sees neither.
 Hashes of the masked windows of both sides are joined, and every hit is
-verified by comparing the two windows token by token.
+verified by comparing the two windows token by token (by 64-bit hashes of the
+tokens; the seeds read 31 bits of each).
+
+An item of fewer than ``PASSAGE`` tokens ("yes") is no passage: it stands in
+texts by chance.  It matches only a document that consists of its tokens.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations
-from math import ceil
 from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,8 +25,10 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 13
-# Share of equal tokens that a window needs (11 of 13).
-SIMILAR = 0.8
+# Tokens that an item needs to be looked for inside of documents.
+PASSAGE = 5
+# One token in so many may differ (0.8 of them are equal), two at most, as the masks guarantee; five agree entirely.
+EQUAL_OF = 5
 CLASSES = 4
 # Words of a document taken together; blocks overlap, so no window is lost.
 BLOCK = 4096
@@ -43,19 +48,19 @@ def masks(window: int) -> list[tuple[int, ...]]:
 
 
 def needed(window: int) -> int:
-    """Equal tokens that make a window a hit; two may differ at most, as the masks guarantee."""
-    return max(ceil(SIMILAR * window), window - 2)
+    """Equal tokens that make a window a hit: all of up to five, all but one of six to nine, all but two of more."""
+    return window - (min(window // EQUAL_OF, 2) if window > EQUAL_OF else 0)
 
 
 def token_codes(text: Column) -> Column:
-    """The text's tokens as 31-bit hashes, in order; null gives none."""
+    """The text's tokens as 64-bit hashes, in order; null gives none."""
     plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), common.SPACES + PUNCTUATION, " " * len(common.SPACES))
     words = F.array_remove(F.split(plain, " "), "")
-    return F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << 31) - 1)))
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
 def _factor(mask: int, place: int) -> int:
-    """27 bits, fixed per mask and place: sums of 31-bit codes times these fit in a long."""
+    """27 bits, fixed per mask and place: sums of 31 bits of a code times these fit in a long."""
     return pow(48271, 1 + mask * 64 + place, (1 << 31) - 1) >> 4
 
 
@@ -75,7 +80,7 @@ def windows(df: DataFrame, window: int, place: str) -> DataFrame:
 
 def with_seeds(df: DataFrame, window: int, seed: str) -> DataFrame:
     """Rows of ``windows`` once per mask, with the masked window's hash."""
-    hashes = [reduce(add, [F.col(f"w{p}") * F.lit(_factor(m, p)) for p in places])
+    hashes = [reduce(add, [F.col(f"w{p}").bitwiseAND(F.lit((1 << 31) - 1)) * F.lit(_factor(m, p)) for p in places])
               for m, places in enumerate(masks(window))]
     return df.withColumn(seed, F.explode(F.array(*hashes)))
 
@@ -85,15 +90,21 @@ def shared_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n_windows, first and last token place of the hits in the document.
 
     ``docs`` has key and text, ``benchmark`` item_id and text.  Items with
-    fewer than WINDOW tokens are windows of their own length (up to five
-    tokens they must agree entirely).  Items without tokens match nothing.
+    fewer than WINDOW tokens are windows of their own length (five tokens
+    must agree entirely, of six to nine one may differ); with fewer than
+    PASSAGE tokens they match documents of exactly these tokens.  Items and
+    documents without tokens (null, empty, punctuation only) match nothing;
+    repeated items and rows change nothing; other columns are not read.
     """
     items = common.written(
         benchmark.select("item_id", token_codes(F.col("text")).alias("codes")).where(F.size("codes") > 0), "items")
     lengths = [r[0] for r in items.select(F.least(F.size("codes"), F.lit(WINDOW)).alias("n")).distinct().collect()]
     coded = docs.select("key", token_codes(F.col("text")).alias("codes"))
-    found = []
-    for window in sorted(lengths):
+    whole = common.written(items.where(F.size("codes") < PASSAGE).select("item_id", F.col("codes").alias("item_codes")), "short_items")
+    found = [coded.where(F.size("codes") < PASSAGE).join(
+        common.broadcast_within(whole, BROADCAST_ROWS), F.col("codes") == F.col("item_codes")).select(
+            "key", "item_id", F.lit(0).alias("place"), F.size("codes").alias("end"))]
+    for window in sorted(n for n in lengths if n >= PASSAGE):
         own = items.where(F.least(F.size("codes"), F.lit(WINDOW)) == window)
         names = [f"w{p}" for p in range(window)]
         test = with_seeds(windows(own, window, "item_place"), window, "seed").select(
@@ -105,9 +116,6 @@ def shared_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                             for p, n in enumerate(names)])
         found.append(hits.where(same >= needed(window)).select(
             "key", "item_id", "place", (F.col("place") + window).alias("end")))
-    if not found:
-        found = [coded.where(F.lit(False)).select(
-            "key", F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("place"), F.lit(0).alias("end"))]
     # A window can be hit through several masks and by several windows of an item: places count once.
     hit = reduce(DataFrame.unionByName, found).distinct()
     return hit.groupBy("key", "item_id").agg(
@@ -116,7 +124,12 @@ def shared_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document that shares a window with an item: key, n_items,
-    item_id (the smallest), n_windows, first_token, end_token."""
+    item_id (the smallest), n_windows, first_token, end_token.
+
+    ``docs`` needs doc_id and text; key is common.row_key of them, so repeated
+    rows are one row here.  Null and empty texts, and empty tables on either
+    side, give no rows; null ids are kept like others.
+    """
     keyed = docs.select(common.row_key().alias("key"), "text")
     return common.written(shared_windows(keyed, benchmark).groupBy("key").agg(
         F.count(F.lit(1)).alias("n_items"), F.min("item_id").alias("item_id"), F.sum("n_windows").alias("n_windows"),
@@ -125,7 +138,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` (all columns) without the documents that share a window with
-    an item.  Null and empty texts stay; repeated rows share their fate."""
+    an item.  Null and empty texts stay; repeated rows share their fate;
+    columns with the names used here (seed_key, key) come out as they were."""
     key, = common.fresh(docs, "seed_key")
     dirty = contamination(docs, benchmark).select(F.col("key").alias(key))
     return docs.withColumn(key, common.row_key()).join(

@@ -152,22 +152,29 @@ def plain_tokens(text):
     return [w for w in (text or "").lower().translate(cut).split(" ") if w]
 
 
+# Tokens of a window -> how many of them must be equal, place by place.
+EQUAL = {5: 5, 6: 5, 7: 6, 8: 7, 9: 8, 10: 8, 11: 9, 12: 10, 13: 11}
+
+
 def brute_shared(docs, items):
+    """Items below five tokens are whole documents; others are windows of up to 13 tokens."""
     out = set()
     for key, text in docs:
         d = plain_tokens(text)
         for item, other in items:
             t = plain_tokens(other)
-            w = min(len(t), spaced_seeds.WINDOW)
-            if w and any(sum(a == b for a, b in zip(d[i:i + w], t[j:j + w])) >= spaced_seeds.needed(w)
-                         for i in range(len(d) - w + 1) for j in range(len(t) - w + 1)):
+            w = min(len(t), 13)
+            if 0 < w < 5 and d == t or w >= 5 and any(
+                    sum(a == b for a, b in zip(d[i:i + w], t[j:j + w])) >= EQUAL[w]
+                    for i in range(len(d) - w + 1) for j in range(len(t) - w + 1)):
                 out.add((key, item))
     return out
 
 
 def test_masks_see_every_pair_of_substitutions():
-    for window in range(1, 14):
-        allowed = window - spaced_seeds.needed(window)
+    assert {w: spaced_seeds.needed(w) for w in range(5, 14)} == EQUAL
+    for window in range(5, 14):
+        allowed = window - EQUAL[window]
         for changed in itertools.combinations(range(window), allowed):
             assert any(not set(changed) & set(places) for places in spaced_seeds.masks(window))
 
@@ -181,14 +188,18 @@ def test_decontamination(spark, no_docs):
 
     docs = [(1, f"before, {item.upper()}! after"), (2, changed(6, 13)), (3, changed(2, 5, 9, 12, 16)), (4, changed(9)),
             (5, None), (6, ""), (7, "a b c d"), (8, "short ITEM, here"), (9, "zero " * 5000 + item), (9, "zero " * 5000 + item),
-            (10, " ".join(words[:13])), (11, " ".join(words[:12])), (None, item), (12, "eins zwei drei vier xxx sechs sieben acht")]
-    items = [(1, item), (2, "short item here"), (3, None), (4, ""), (5, "eins zwei drei vier fünf sechs sieben acht"), (None, "a b c d")]
+            (10, " ".join(words[:13])), (11, " ".join(words[:12])), (None, item), (12, "eins zwei drei vier xxx sechs sieben acht"),
+            (13, "So: what is the capital of France?"), (14, "what is the size of France"), (15, "Yes!"), (16, "oh yes indeed"), (17, "!?"),
+            (18, "one two xxx four five six"), (19, "one xxx three xxx five six")]
+    items = [(1, item), (2, "short item here"), (3, None), (4, ""), (5, "eins zwei drei vier fünf sechs sieben acht"), (None, "a b c d"),
+             (6, "what is the capital of"), (7, "yes"), (7, "yes"), (8, "one two three four five six"), (9, "..")]
     frame = spark.createDataFrame([(d, t, "kept") for d, t in docs], "doc_id long, text string, key string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     keyed = spark.createDataFrame([(str(i), t) for i, (_, t) in enumerate(docs)], "key string, text string")
     got = {(int(r["key"]), r["item_id"]) for r in spaced_seeds.shared_windows(keyed, bench).collect()}
     assert got == brute_shared([(i, t) for i, (_, t) in enumerate(docs)], items)
     dirty = {k for k, _ in got}
+    assert {docs[k][0] for k in dirty} & set(range(13, 20)) == {13, 15, 18}
     clean = spaced_seeds.clean_documents(frame, bench)
     assert clean.columns == frame.columns
     assert Counter((r["doc_id"], r["text"]) for r in clean.collect()) == Counter(
