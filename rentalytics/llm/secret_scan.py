@@ -42,7 +42,8 @@ EXTRA = (
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
+    # Only where a run of its characters begins: no run is walked through twice.
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
 )
 RULES = BASE + EXTRA
 
