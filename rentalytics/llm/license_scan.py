@@ -13,6 +13,7 @@ alignment must match each and unbroken.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +25,9 @@ from . import common
 from .shingles import mixed, word_hashes
 
 K = 3
-WINDOW = 3  # a shared run of K + WINDOW - 1 = 5 words always shares a fingerprint
+# A shared run of K + WINDOW - 1 = 4 words always shares a fingerprint, and with a fifth of
+# 16 words or more replaced or left out such a run remains.
+WINDOW = 2
 BAND = 8
 LEAST_COVERAGE = 0.8
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -116,6 +119,33 @@ for _kind, _name in (
         DECIDING[f"CC-{_kind}-{_version}-notice"] = (f"CC {_kind} {_version}",)
         DECIDING[f"CC-{_kind}-{_version}"] = (_title,)
 
+# Further notices and texts, as published.
+TEMPLATES["CC0-1.0"] = """To the extent possible under law, the author has waived all copyright and related or neighboring
+rights to this work."""
+TEMPLATES["EPL-2.0"] = """This program and the accompanying materials are made available under the terms of the Eclipse
+Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"""
+TEMPLATES["BSL-1.0"] = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of
+the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display,
+distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit
+third-parties to whom the Software is furnished to do so, all subject to the following:"""
+TEMPLATES["Zlib"] = """This software is provided 'as-is', without any express or implied warranty. In no event will the
+authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use
+this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject
+to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you
+wrote the original software. If you use this software in a product, an acknowledgment in the product documentation
+would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be
+misrepresented as being the original software. 3. This notice may not be removed or altered from any source
+distribution."""
+DECIDING["CC0-1.0"] = ("waived all copyright and related",)
+DECIDING["EPL-2.0"] = ("Eclipse Public License 2.0",)
+
+# Identifiers that tags name.
+for _name in ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "Unlicense", "CC0-1.0", "EPL-2.0", "BSL-1.0", "Zlib",
+              "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later",
+              "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later"):
+    TEMPLATES[f"{_name}-tag"] = f"SPDX-License-Identifier: {_name}"
+    DECIDING[f"{_name}-tag"] = (TEMPLATES[f"{_name}-tag"],)
+
 # Punctuation separates words: its bytes are read as spaces.
 _PLAIN = np.arange(256, dtype=np.uint8)
 for _c in b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~":
@@ -226,6 +256,27 @@ class Index:
             places.append(at)
         order = np.argsort(np.concatenate(hashes), kind="stable")
         self.hashes, self.owners, self.places = (np.concatenate(v)[order] for v in (hashes, owners, places))
+        # The longest deciding run of each template: its words -> (template, place in it).
+        self.runs: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        for number, firsts in enumerate(self.deciding):
+            if firsts:
+                a, b = max(firsts, key=lambda run: run[1] - run[0])
+                run = tuple(self.words[number][a:b].tolist())
+                self.runs.setdefault(run, []).extend((number, c) for c, d in firsts
+                                                     if np.array_equal(self.words[number][c:d], run))
+        self.run_starts = np.array(sorted({run[0] for run in self.runs}), np.uint64)
+
+    def run_hits(self, words: np.ndarray, firsts: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(text, template, diagonal) of every deciding run that is unbroken in a text."""
+        near = np.flatnonzero(np.isin(words, self.run_starts))
+        text = np.searchsorted(firsts, near, "right") - 1
+        first, end = firsts[text], firsts[text + 1]
+        for run, owners in self.runs.items():
+            here = np.flatnonzero((words[near] == np.uint64(run[0])) & (near + len(run) <= end))
+            for step, word in enumerate(run[1:], 1):
+                here = here[words[near[here] + step] == np.uint64(word)]
+            for template, place in owners:
+                yield from zip(text[here].tolist(), [template] * len(here), (near[here] - first[here] - place).tolist(), strict=True)
 
     def hits(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (index into ``found``, posting) of equal hashes."""
@@ -265,11 +316,12 @@ class Index:
                 if self.decided(template, places):
                     found.add(Match(self.names[template], low + first, low + end, matched, matched / len(words)))
                 parts += [(low, low + first), (low + end, high)]
-        kept: list[Match] = []
+        kept: list[Match] = []  # by start; they do not overlap, so only the neighbours of a place can
         for m in sorted(found, key=lambda m: (-m.matched, m.start, m.template)):
-            if all(m.end <= o.start or o.end <= m.start for o in kept):
-                kept.append(m)
-        return sorted(kept, key=lambda m: m.start)
+            at = bisect_left(kept, m.start, key=lambda o: o.start)
+            if (at == 0 or kept[at - 1].end <= m.start) and (at == len(kept) or m.end <= kept[at].start):
+                kept.insert(at, m)
+        return kept
 
     def scan(self, data: np.ndarray, offsets: np.ndarray) -> list[list[tuple[Match, int, int]]]:
         """Per text its matches with their first and end place in code points."""
@@ -281,14 +333,19 @@ class Index:
         candidates: dict[int, set[tuple[int, int]]] = {}
         for d, template, diagonal in zip(doc.tolist(), self.owners[posting].tolist(), diagonals.tolist(), strict=True):
             candidates.setdefault(d, set()).add((template, diagonal))
+        for d, template, diagonal in self.run_hits(words, firsts):
+            candidates.setdefault(d, set()).add((template, diagonal))
         out: list[list[tuple[Match, int, int]]] = [[] for _ in range(len(offsets) - 1)]
         for d, own in candidates.items():
             base = int(firsts[d])
-            raw = data[offsets[d]:offsets[d + 1]].tobytes()
-            for m in self.matches(words[base:firsts[d + 1]], own):
+            confirmed = self.matches(words[base:firsts[d + 1]], own)
+            if not confirmed:
+                continue
+            # Code points before each byte of the text: bytes that go on with a character do not count.
+            points = np.cumsum((data[offsets[d]:offsets[d + 1]] & 0xC0) != 0x80)
+            for m in confirmed:
                 a, b = int(starts[base + m.start] - offsets[d]), int(ends[base + m.end - 1] - offsets[d])
-                first = len(raw[:a].decode())
-                out[d].append((m, first, first + len(raw[a:b].decode())))
+                out[d].append((m, int(points[a]) - 1, int(points[b - 1])))
         return out
 
 

@@ -6,6 +6,7 @@ import itertools
 import random
 import re
 import sys
+import time
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -154,6 +155,34 @@ def test_repeated_notices_are_each_found():
     assert [m.template for m, *_ in found] == ["MIT-notice", "MIT-notice", "CC-BY-ND-4.0-notice", "CC-BY-NC-4.0-notice"]
 
 
+def test_no_cut_or_damaged_notice_is_lost_to_the_index():
+    """Every accepted alignment on any diagonal is found through the index: random cuts, replaced, lost and added words."""
+    index = license_scan.Index(license_scan.TEMPLATES)
+    rng = random.Random(7)
+    short = [v.split() for v in license_scan.TEMPLATES.values() if len(v.split()) <= 30]
+    long = [v.split() for v in license_scan.TEMPLATES.values() if len(v.split()) > 30]
+    texts = ["This project is licensed under the MIT License - see LICENSE.", "// SPDX-License-Identifier: GPL-2.0-or-later"]
+    for words in [rng.choice(short) for _ in range(600)] + [rng.choice(long) for _ in range(30)]:
+        rate, own = rng.choice((0, 0.1, 0.2)), words[rng.randrange(3):len(words) - rng.randrange(3)]
+        own = [w if rng.random() > rate else rng.choice(("other", "", f"{w} more")) for w in own]
+        texts.append(" ".join([*rng.sample(("see", "the", "file", "is", "a"), 3), *own, "or", "not"]))
+    for text, found in zip(texts, index.scan(*common.text_bytes(pa.array(texts)))):
+        doc = license_scan._hashed(text)
+        near = {t for t in range(len(index.names)) if np.isin(index.words[t], doc).sum() >= 0.8 * len(index.words[t])}
+        everywhere = {(t, d) for t in near for d in range(-len(index.words[t]), len(doc) + 1)}
+        lost = {m.template for m in index.matches(doc, everywhere)} - {m.template for m, *_ in found}
+        assert not lost, (text, lost)
+    assert [[m.template for m, *_ in f] for f in index.scan(*common.text_bytes(pa.array(texts[:2])))] == [["MIT-notice"], ["GPL-2.0-or-later-tag"]]
+
+
+def test_texts_full_of_notices_take_linear_time():
+    index = license_scan.Index({k: license_scan.TEMPLATES[k] for k in ("MIT-notice", "MIT")})
+    text = "é Released under the MIT License. " * 12_000
+    started = time.process_time()
+    found, = index.scan(*common.text_bytes(pa.array([text])))
+    assert [a for _, a, _ in found] == [2 + 34 * i for i in range(12_000)] and time.process_time() - started < 60
+
+
 def test_notices_of_the_documents(spark):
     docs = {r["doc_id"]: r["text"] for r in common.table(spark, SMALL, "documents").collect()}
     notices = {k: v for k, v in license_scan.TEMPLATES.items() if k.endswith("notice")}
@@ -316,6 +345,17 @@ def test_secrets(spark, edge_docs, no_docs):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == i for _, k, _ in spans) for i in range(3))
 
 
+def test_rules_take_linear_time():
+    token = "eyJ" + "a" * 20 + ".eyJ" + "b" * 20 + ".c_d"
+    texts = ["eyJ" * 300_000, "eyJ" * 100_000 + ". " + token, "-----BEGIN " * 80_000, "password" + " " * 500_000, "eyJa." * 100_000 + "!"]
+    started = time.process_time()
+    got = secret_scan.Scanner().scan(pa.array(texts))
+    assert time.process_time() - started < 20  # a quadratic rule takes minutes
+    kinds = [[secret_scan.RULES[k].kind for _, k, _ in spans if k >= 3] for spans in got]
+    assert kinds[0] == kinds[2] == kinds[3] == [] and kinds[1] == ["jwt"]
+    assert got[1][-1][0] == len(texts[1]) - len(token) and got[1][-1][2] == len(texts[1])
+
+
 def holds(query, text):
     if query == secret_scan.ANY:
         return True
