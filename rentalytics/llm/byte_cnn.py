@@ -26,10 +26,11 @@ FILTERS = 32
 EPOCHS = 10
 STEP_DOCS = 32
 RATE = 0.004
-# The documented bound of the training sample: labelled rows of each class,
-# and the longest text (bytes) that is used for training.  Scoring has no bound.
+# The documented bound of the training sample, per class: labelled rows, and bytes of their
+# texts together.  Texts are whole whatever their length; long ones make the sample smaller
+# (the one that passes the bound is the last).  Scoring has no bound.
 SAMPLE_PER_CLASS = 1500
-SAMPLE_BYTES = 20_000
+SAMPLE_BYTES = 6_000_000
 # Bytes scored together, and chunks per matrix product.
 BATCH_BYTES = 1 << 20
 PRODUCT_CHUNKS = 1 << 14
@@ -73,6 +74,21 @@ class Network:
                  for i in range(0, len(codes), PRODUCT_CHUNKS)]
         return np.concatenate(parts)
 
+    def strongest(self, codes: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each filter's largest response in each document and the chunk that gives it, by blocks of chunks."""
+        ends = np.append(firsts[1:], len(codes))
+        value = np.full((len(firsts), self.filters.shape[1]), -np.inf, np.float32)
+        place = np.zeros(value.shape, np.int64)
+        for at in range(0, len(codes), PRODUCT_CHUNKS):
+            seen = self.responses(codes[at:at + PRODUCT_CHUNKS])
+            for d in range(np.searchsorted(ends, at, "right"), np.searchsorted(firsts, at + len(seen))):
+                a, b = max(firsts[d] - at, 0), min(ends[d] - at, len(seen))
+                best = seen[a:b].argmax(0)
+                top = np.take_along_axis(seen[a:b], best[None], 0)[0]
+                place[d] = np.where(top > value[d], at + a + best, place[d])
+                value[d] = np.maximum(top, value[d])
+        return value, place
+
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The probability of label 1 per document (the training share where nothing could be learnt)."""
         if self.filters is None:
@@ -110,10 +126,8 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, prior: floa
             step += 1
             offsets = np.cumsum([0, *(len(blobs[r]) for r in rows)])
             codes, firsts = chunks(np.frombuffer(b"".join(blobs[r] for r in rows), np.uint8), offsets)
-            seen = net.responses(codes)
-            ends = [*firsts[1:], len(codes)]
-            best = np.stack([a + seen[a:b].argmax(0) for a, b in zip(firsts, ends, strict=True)])
-            pooled = np.maximum(np.take_along_axis(seen, best, 0) + net.bias, 0)
+            value, best = net.strongest(codes, firsts)
+            pooled = np.maximum(value + net.bias, 0)
             chance = 1 / (1 + np.exp(-(pooled @ net.out + net.shift)))
             miss = ((chance - labels[rows]) * weights[rows] / weights[rows].sum()).astype(np.float32)
             back = miss[:, None] * net.out * (pooled > 0)
@@ -136,9 +150,11 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, prior: floa
 def train_on(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Network:
     """A network for ``label`` from a sample of the labelled rows that are not held out.
 
-    Rows are taken by a hash of their id, SAMPLE_PER_CLASS of each class at
-    most, and weigh as much as their class has in all labelled rows.  Null
-    labels and null ids are ignored; of contradicting labels the smallest counts.
+    Rows are taken by a hash of their id, SAMPLE_PER_CLASS rows and about
+    SAMPLE_BYTES of each class at most, and weigh as much as their class has in
+    all labelled rows.  Null labels, null ids and null texts are ignored; of
+    contradicting labels the smallest counts, of rows with one id the shortest
+    text.  Without labels, or without documents of them, every score is the prior.
     """
     known = (labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
              .groupBy("doc_id").agg(F.min(label).alias("label")))
@@ -153,8 +169,19 @@ def train_on(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Netw
         some = known.where((F.col("label") == value) & common.in_share("doc_id", SAMPLE_PER_CLASS, counts[value]))
         part = some.orderBy(order, "doc_id").limit(SAMPLE_PER_CLASS)
         sample = part if sample is None else sample.unionByName(part)
-    texts = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", "text")
-    rows = (texts.join(F.broadcast(sample), "doc_id")  # 2 * SAMPLE_PER_CLASS rows at most
+    # Of rows with one id the shortest is learnt from, null texts never: 2 * SAMPLE_PER_CLASS narrow rows at most.
+    face = F.struct(F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("hash"))
+    sizes = (docs.where(F.col("text").isNotNull()).select("doc_id", face.alias("face"))
+             .join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("face").alias("face"))
+             .orderBy(order, "doc_id").collect())
+    held, chosen = dict.fromkeys(counts, 0), []
+    for r in sizes:
+        if held[r["label"]] < SAMPLE_BYTES:
+            held[r["label"]] += r["face"]["bytes"]
+            chosen.append((r["doc_id"], r["label"], *r["face"]))
+    wanted = docs.sparkSession.createDataFrame(chosen, "doc_id long, label int, bytes int, hash long")
+    faced = docs.select("doc_id", "text", F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("hash"))
+    rows = (faced.join(F.broadcast(wanted), ["doc_id", "bytes", "hash"])
             .dropDuplicates(["doc_id"]).orderBy(order, "doc_id").collect())
     values = np.array([r["label"] for r in rows], np.float64)
     if not len(values):
@@ -165,7 +192,11 @@ def train_on(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Netw
 
 
 def scored(docs: DataFrame, net: Network) -> DataFrame:
-    """doc_id and score of every row of ``docs``; a null text counts as empty."""
+    """doc_id and score of every row of ``docs``; a null text counts as empty.
+
+    Repeated rows are scored each and alike; an empty table gives no rows;
+    columns but doc_id and text are not read.
+    """
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.sized_batches(batches, "text", BATCH_BYTES):
@@ -176,7 +207,11 @@ def scored(docs: DataFrame, net: Network) -> DataFrame:
 
 
 def accepted(docs: DataFrame, net: Network, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns kept, whose score is ``least`` or more."""
+    """The rows of ``docs``, all columns kept, whose score is ``least`` or more.
+
+    Null and empty texts have the score of an empty document and share one
+    fate; repeated rows are kept or dropped together.
+    """
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.sized_batches(batches, "text", BATCH_BYTES):

@@ -70,6 +70,43 @@ def test_classifier_edge_cases(spark, edge_docs, no_docs):
         assert kept.columns == edge_docs.columns and kept.count() == sum(r["score"] >= 0.5 for r in got)
 
 
+def plain_score(net, text):
+    """One document's score, chunk by chunk."""
+    raw, best = (text or "").encode(), [-np.inf] * byte_cnn.FILTERS
+    for start in range(0, max(len(raw) - byte_cnn.CHUNK, 0) + byte_cnn.STRIDE, byte_cnn.STRIDE):
+        chunk = [b + 1 for b in raw[start:start + byte_cnn.CHUNK]]
+        chunk += [0] * (byte_cnn.CHUNK - len(chunk))
+        seen = np.concatenate([net.embedding[c] for c in chunk]).astype(np.float64)
+        best = [max(old, float(seen @ net.filters[:, k])) for k, old in enumerate(best)]
+    z = sum(max(b + float(c), 0) * float(o) for b, c, o in zip(best, net.bias, net.out)) + net.shift
+    return 1 / (1 + np.exp(-z))
+
+
+def test_scores_equal_a_plain_computation(spark, edge_docs):
+    docs = common.table(spark, SF, "documents")
+    net = byte_cnn.train_on(docs, common.table(spark, SF, "labels"))
+    texts = [r[1] for r in ROWS if r[1] != LONG] + [r.text for r in docs.limit(10).collect()] + ["é" * 7, "x" * 16, "x" * 17]
+    got = net.scores(*common.text_bytes(pa.array(texts, pa.string())))
+    assert np.allclose(got, [plain_score(net, t) for t in texts], atol=1e-4)
+    codes, firsts = byte_cnn.chunks(*common.text_bytes(pa.array([LONG * 3, "short", LONG], pa.string())))
+    seen, ends = net.responses(codes), [*firsts[1:], len(codes)]
+    value, place = net.strongest(codes, firsts)
+    assert len(codes) > 2 * byte_cnn.PRODUCT_CHUNKS
+    assert np.array_equal(np.take_along_axis(seen, place, 0), value)
+    assert all(np.allclose(value[d], seen[a:b].max(0)) and (place[d] >= a).all() and (place[d] < b).all()
+               for d, (a, b) in enumerate(zip(firsts, ends)))
+
+
+def test_long_texts_are_learnt_from(spark):
+    def text(i):
+        return " ".join(("fine" if i % 2 else "junk") + str((i * 31 + j * 17) % 97) for j in range(4000))
+
+    docs = spark.createDataFrame([(i, text(i)) for i in range(120)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
+    rows = byte_cnn.scored(docs, byte_cnn.train_on(docs, labels)).collect()
+    assert len(text(1)) > 20_000 and all((r.score >= 0.5) == (r.doc_id % 2 == 1) for r in rows)
+
+
 def test_chunks_cover_every_byte():
     for size in (0, 1, 15, 16, 17, 24, 25, 1000):
         data = np.arange(size) % 251
