@@ -9,9 +9,7 @@ readers skip files by their min/max statistics.
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -19,7 +17,7 @@ from . import common
 DIMENSIONS = ("source", "lang", "size")
 BITS = 5
 SHARDS = 16
-# Accuracy of the cell bounds: at most rows / ACCURACY rows away from the exact quantile.
+# Accuracy of a number's cell bounds: at most rows / ACCURACY rows away from the exact quantile.
 ACCURACY = 10_000
 
 
@@ -78,28 +76,56 @@ def curve_index(cells: list[Column], bits: int) -> Column:
     return F.aggregate(F.array(*corners), start, step)["index"]
 
 
-def _image(df: DataFrame, column: str) -> Column:
-    """A number in the column's order: text is read as the six bytes after
-    the prefix that all its values share."""
-    if dict(df.dtypes)[column] != "string":
-        return F.col(column).cast("double")
-    low, high = df.agg(F.min(column), F.max(column)).first()
-    shared = len(os.path.commonprefix([(low or "").encode(), (high or "").encode()]))
-    six = F.hex(F.substring(F.col(column).cast("binary"), shared + 1, 6))
-    return F.conv(F.rpad(six, 12, "0"), 16, 10).cast("double")
+def text_cuts(df: DataFrame, column: str, cells: int) -> list[str]:
+    """The values of a text column that end its cells of near equal row counts,
+    in order, a value once per cell that it ends; nulls do not count.
+
+    Whole values are counted, sorted by ranges and their counts summed up in
+    order, so a value that a third of all rows share is one row, and no task
+    sees all values.  At most ``cells`` values reach the driver.
+    """
+    value, n, part, before, upto = "value", "n", "part", "before", "upto"
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias(value)).agg(F.count(F.lit(1)).alias(n))
+    laid = common.written(counts.orderBy(value).select("*", F.spark_partition_id().alias(part)), "cut_values")
+    sums = laid.groupBy(part).agg(F.sum(n).alias(before))
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(part, F.coalesce(F.sum(before).over(earlier), F.lit(0)).alias(before))
+    total = laid.agg(F.sum(n)).first()[0] or 1
+    inside = Window.partitionBy(part).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    running = laid.join(F.broadcast(starts), part).select(value, n, (F.col(before) + F.sum(n).over(inside)).alias(upto))
+    ended = F.expr(f"({upto} * {cells}L) div {total}L - (({upto} - {n}) * {cells}L) div {total}L").alias("ended")
+    return [r[value] for r in running.select(value, ended).where("ended > 0").orderBy(value).collect()
+            for _ in range(r["ended"])][:cells - 1]
+
+
+def cell_bounds(df: DataFrame, dimensions: tuple[str, ...], cells: int) -> dict[str, list]:
+    """Per dimension the bounds of its cells: a row's cell is the number of bounds below its value.
+
+    Text is cut by the counts of its whole values, numbers by approximate quantiles (ACCURACY).
+    """
+    kinds = dict(df.dtypes)
+    numbers = [c for c in dimensions if kinds[c] != "string"]
+    steps = [i / cells for i in range(1, cells)]
+    bounds = {c: text_cuts(df, c, cells) for c in dimensions if kinds[c] == "string"}
+    if numbers:
+        cuts = df.agg(*[F.percentile_approx(F.col(c).cast("double"), steps, ACCURACY).alias(f"cut{i}")
+                        for i, c in enumerate(numbers)]).first()
+        bounds.update((c, own or []) for c, own in zip(numbers, cuts, strict=True))
+    return {c: bounds[c] for c in dimensions}
 
 
 def hilbert_order(df: DataFrame, dimensions: tuple[str, ...], bits: int = BITS) -> Column:
     """The curve index of every row of ``df``; a null is in a dimension's first cell."""
-    images = {c: _image(df, c) for c in dimensions}
-    steps = [i / (1 << bits) for i in range(1, 1 << bits)]
-    cuts = df.agg(*[F.percentile_approx(v, steps, ACCURACY).alias(f"cut{i}")
-                    for i, v in enumerate(images.values())]).first()
-    bounds = F.array(*[F.array(*[F.lit(x) for x in own or []]).cast("array<double>") for own in cuts])
-    # Lambda variables hold what each step computed: no image or cell is evaluated twice.
-    cells = F.transform(F.array(*images.values()), lambda image, i: F.size(
-        F.filter(F.get(bounds, i), lambda bound: image > bound)))
-    index = F.transform(F.array(cells), lambda c: curve_index([F.get(c, F.lit(i)) for i in range(len(images))], bits))
+    kinds = dict(df.dtypes)
+
+    def cell(column: str, own: list) -> Column:
+        kind = "string" if kinds[column] == "string" else "double"
+        value = F.col(column).cast(kind)
+        return F.size(F.filter(F.array(*[F.lit(x) for x in own]).cast(f"array<{kind}>"), lambda bound: value > bound))
+
+    cells = [cell(column, own) for column, own in cell_bounds(df, dimensions, 1 << bits).items()]
+    # The lambda variable holds the cells: none is evaluated twice.
+    index = F.transform(F.array(F.array(*cells)), lambda c: curve_index([F.get(c, F.lit(i)) for i in range(len(cells))], bits))
     return F.get(index, F.lit(0))
 
 

@@ -67,6 +67,29 @@ def test_shards_edge_cases(edge_docs, no_docs, tmp_path):
     assert edge_docs.sparkSession.read.parquet(str(tmp_path / "shards")).count() == len(ROWS)
 
 
+def test_text_cells_are_cut_by_whole_values(spark):
+    names = ["https://alpha.org", "https://beta.org", "https://gamma.org", "arxiv", "books", None, "", "https://beta.org/é"]
+    values = [names[min(i % 11, 7)] for i in range(2000)] + ["hot"] * 1000
+    rows = spark.createDataFrame([(v,) for v in values], "source string").repartition(5)
+    for cells in (4, 32):
+        known = sorted((v for v in values if v is not None), key=lambda v: v.encode())
+        want = [known[-(-len(known) * i // cells) - 1] for i in range(1, cells)]
+        assert hilbert_shards.text_cuts(rows, "source", cells) == want
+    assert hilbert_shards.text_cuts(rows.limit(0), "source", 4) == []
+    assert hilbert_shards.text_cuts(rows.where("source is null"), "source", 4) == []
+
+
+def test_sources_with_a_common_prefix_are_pruned_apart(spark):
+    names = ["https://alpha.org", "https://beta.org", "https://gamma.org", "arxiv", "books"]
+    rows = spark.createDataFrame([(i, f"text {i % 97} " * (i % 23), "en", names[i * 7 % 5]) for i in range(4000)],
+                                 "doc_id long, text string, lang string, source string")
+    spread = defaultdict(set)
+    for r in hilbert_shards.hilbert_shards(rows).select("source", "shard").collect():
+        spread[r.source].add(r.shard)
+    # A fifth of the rows fills 3.2 shards; the curve may turn to a source again, but none is strewn over most shards.
+    assert max(map(len, spread.values())) <= 8
+
+
 def brute_dedup(rows):
     groups = defaultdict(list)
     for doc_id, text in rows:
