@@ -70,3 +70,33 @@ def test_haversine_null_and_known_distance(spark):
 def test_date_text(spark):
     got = [r[0] for r in one_col(spark, ["2024-02-29", "2024-02-30", "garbage", None]).select(date_text("v")).collect()]
     assert str(got[0]).startswith("2024-02-29") and got[1:] == [None, None, None]
+
+
+def test_parsing_matches_a_text_once(spark):
+    """No expression that the optimizer copies into filters may hold long chains of regular
+    expressions: their generated method then outgrows what the JVM compiles."""
+    from rentalytics.functions import date_text, integral_text, numeric_text, truthy_int
+
+    df = spark.createDataFrame([("1",)], "v string")
+    for parse, most in ((numeric_text, 2), (integral_text, 1), (truthy_int, 1), (date_text, 1)):
+        plan = df.select(parse("v").alias("p"))._jdf.queryExecution().analyzed().toString().lower()
+        assert plan.count("rlike") + plan.count("regexp_replace") <= most, parse.__name__
+
+
+def test_dates_read_by_the_cast_are_those_of_the_pattern(spark):
+    from rentalytics.functions import date_text
+
+    texts = [f"{y}-{m:02d}-{d:02d}" for y in ("0000", "0001", "1000", "1582", "1900", "2000", "2023", "2024", "9999")
+             for m in (0, 1, 2, 10, 13) for d in (0, 1, 15, 28, 29, 30, 31, 32)] + ["2020-1-02", " 2020-01-02", "2020-01-02\n", "soon", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    by_pattern = F.try_to_date("v", "yyyy-MM-dd").cast("timestamp_ntz")
+    assert df.where(~date_text("v").eqNullSafe(by_pattern)).collect() == []
+
+
+def test_whole_numbers_as_text(spark):
+    from rentalytics.functions import integral_text
+
+    want = {"12": 12, " 12.0 ": 12, "1e3": 1000, "12.5": None, "9223372036854775807": 2 ** 63 - 1, "9223372036854775808": None,
+            "9e18": None, "-8e18": -8 * 10 ** 18, "inf": None, "nan": None, "1d": None, "": None, "100000000000000223": 100000000000000223}
+    df = spark.createDataFrame([(t,) for t in want], "v string")
+    assert {r.v: r.n for r in df.select("v", integral_text("v").alias("n")).collect()} == want
