@@ -269,3 +269,25 @@ def test_property_map_fitted_on_some_rows(spark):
     half = L.property_type_map(everywhere.where("id % 2 = 0"), 0.01)
     kept = {r.property_type for r in half.collect() if r.property_type_slim != "Other"}
     assert {r.property_type_slim for r in partly.select("property_type_slim").distinct().collect()} <= kept | {"Other"}
+
+
+def test_numbers_parsed_together_are_those_parsed_alone(spark):
+    from rentalytics.functions import numeric_text
+
+    texts = ["1e3", " 12 ", "1d", "nan", "", None, "1,000", "inf", " inf ", "1e999", "-.5", "N/A"]
+    df = spark.createDataFrame([(str(i), a, b) for i, (a, b) in enumerate(zip(texts, reversed(texts)))],
+                               "id string, beds string, latitude string")
+    alone = df.select(F.col("id").cast("bigint"), numeric_text("beds"), numeric_text("latitude"))
+    parsed = L.parse_listings(df)
+    assert parsed.columns == ["id", "beds", "latitude"]
+    assert parsed.orderBy("id").collect() == alone.orderBy("id").collect()
+    assert L.parse_listings(df.select("id")).columns == ["id"]
+
+
+def test_flags_as_booleans_and_as_text(spark):
+    from rentalytics.operators.features import add_amenity_ints, add_superhost_int
+
+    df = spark.createDataFrame([(1, True, "True", None), (2, False, "no", True), (3, None, " YES ", False)],
+                               "id long, amenity_a boolean, amenity_b string, host_is_superhost boolean")
+    rows = add_superhost_int(add_amenity_ints(df)).orderBy("id").collect()
+    assert [tuple(r) for r in rows] == [(1, 1, 1, 0, 2), (2, 0, 0, 1, 0), (3, 0, 1, 0, 1)]

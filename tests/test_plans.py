@@ -1,5 +1,7 @@
 """Physical-plan shape: native expressions only, pushdown, one shuffle per join side."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from checks.workbench import bench
@@ -8,7 +10,7 @@ from rentalytics.operators import encoding as EN
 from rentalytics.operators import folds as FO
 from rentalytics.operators import listings as L
 from rentalytics.operators import reviews as R
-from rentalytics.operators.features import join_reviews
+from rentalytics.operators.features import build_features, join_reviews
 from rentalytics.session import scratch_path
 from rentalytics.sources import io
 
@@ -34,6 +36,26 @@ def test_no_python_in_cleaning_join_and_encoding(spark, capsys):
         assert "WholeStageCodegen" in p or "*(" in p or "AdaptiveSparkPlan" in p
 
 
+HOTSPOT_LIMIT = 8000  # bytes of a method; the JVM never compiles a longer one
+
+
+def largest_method(df, capsys) -> int:
+    capsys.readouterr()
+    df.sparkSession.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df.explain("codegen")
+    finally:
+        df.sparkSession.conf.set("spark.sql.adaptive.enabled", "true")
+    return max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out))
+
+
+def test_generated_methods_of_the_clean_step_are_compiled(spark, capsys):
+    b = bench(spark, SMOKE_DIR)
+    steps = {"prepared listings": L.prepare_listings(b.raw_listings), "summary": R.summarise_reviews(b.reviews),
+             "features": build_features(join_reviews(b.listings, b.summary))}
+    assert {name: n for name, n in ((k, largest_method(df, capsys)) for k, df in steps.items()) if n > HOTSPOT_LIMIT} == {}
+
+
 def test_filter_and_projection_reach_the_scan(spark, capsys):
     path = scratch_path(spark, "pushdown")
     io.write_table(bench(spark, SMOKE_DIR).listings, path)
