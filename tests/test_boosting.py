@@ -116,3 +116,15 @@ def test_drawn_rows_and_features_and_odd_tables(spark):
     assert none.getNumTrees == 0 and none.transform(df).count() == len(y)
     constant = spark.createDataFrame([(i, Vectors.dense([1.0]), float(i)) for i in range(5)], ["i", "features", "label"])
     assert predicted(fit(constant, TreeSettings(trees=3)), constant).tolist() == [2.0] * 5
+
+
+def test_rows_of_the_wanted_features_come_from_generated_code(spark, capsys):
+    from rentalytics.operators.boosting import feature_rows
+
+    rows = spark.createDataFrame([(0, 1.5, [3, 4, 5]), (2, -1.0, [6, 7, 8])], "node int, g double, bins array<int>")
+    found = feature_rows(rows, [0, 2])
+    assert sorted(map(tuple, found.collect())) == [(0, 1.5, 0, 3), (0, 1.5, 2, 5), (2, -1.0, 0, 6), (2, -1.0, 2, 8)]
+    capsys.readouterr()
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "posexplode" in plan and "lambdafunction" not in plan
