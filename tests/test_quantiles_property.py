@@ -34,3 +34,16 @@ def test_extreme_ranges_end(spark):
     for final_rows in (1, 8):
         assert exact_quantiles_many(df, {"x": probs}, final_rows=final_rows)["x"] == direct
     assert direct == list(df.agg(F.percentile("x", probs).alias("p")).first().p)
+
+
+def test_each_series_is_looked_up_not_searched(spark):
+    """A value meets the brackets of its own series only, by a join on the series."""
+    from rentalytics.operators import quantiles as Q
+
+    values = spark.createDataFrame([(0, 1.0), (0, 5.0), (1, 1.0), (1, 5.0), (2, 1.0)], "c int, v double")
+    brackets = [F.struct(F.lit(c).alias("of"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
+                for c, lo, hi in ((0, 0.0, 2.0), (0, 1.0, 9.0), (1, 4.0, 5.0))]
+    hits = Q._inside(values, brackets)
+    assert sorted((r.c, r.v, r.lo) for r in hits.collect()) == [(0, 1.0, 0.0), (0, 1.0, 1.0), (0, 5.0, 1.0), (1, 5.0, 4.0)]
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "lambda" not in plan
