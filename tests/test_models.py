@@ -123,3 +123,21 @@ def test_train_scope_encoding_and_early_stopping(spark):
                                 validation_tol=0.01)
     model = MO.build_pipeline(numeric, categorical, settings, "log1p", mode_fill=True).fit(df)
     assert model.stages[-2].getNumTrees < 200      # stopped on the validation rows
+
+
+def test_early_stopping_encodes_its_rows_once(spark, monkeypatch):
+    """The passes of the fit read written rows, not the fold-wise join anew."""
+    import pytest
+
+    from checks import registry
+
+    class Stop(Exception):
+        pass
+
+    def look(df):
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+        raise Stop
+
+    monkeypatch.setattr(registry.MO, "te_model_columns", look)
+    with pytest.raises(Stop):
+        registry.m12_early_stopping(spark, SMOKE_DIR)
