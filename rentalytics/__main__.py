@@ -25,14 +25,6 @@ from .plans import modelling as M
 from .session import build_session
 from .sources import io
 
-TABLES = ("listings_features", "reviews", "reviews_summary")
-
-
-def _paths(base: str) -> dict[str, str]:
-    sep = "/" if "/" in base or base.startswith("file:") else "."
-    return {t: f"{base}{sep}{t}" for t in TABLES}
-
-
 def main(argv: list[str] | None = None) -> int:
     ap = argparse.ArgumentParser(prog="rentalytics")
     sub = ap.add_subparsers(dest="cmd", required=True)
@@ -69,14 +61,13 @@ def main(argv: list[str] | None = None) -> int:
     spark = build_session()
     if args.cmd == "clean":
         params = CleanParams(max_minimum_nights=args.max_minimum_nights)
-        tables = C.clean_tables(io.read_raw_listings_csv(spark, args.listings),
-                                io.read_raw_reviews_csv(spark, args.reviews), params)
-        paths = C.write_clean_tables(tables, args.out, buckets=args.buckets)
+        paths = C.write_clean_step(io.read_raw_listings_csv(spark, args.listings),
+                                   io.read_raw_reviews_csv(spark, args.reviews), args.out, params, buckets=args.buckets)
         C.audit_clean_tables(spark, paths).show(truncate=False)
     elif args.cmd == "audit":
-        C.audit_clean_tables(spark, _paths(args.clean)).show(truncate=False)
+        C.audit_clean_tables(spark, C.table_paths(args.clean)).show(truncate=False)
     elif args.cmd == "features":
-        paths = _paths(args.clean)
+        paths = C.table_paths(args.clean)
         io.cached_table(spark, args.out, lambda: C.feature_table(
             io.read_table(spark, paths["listings_features"]), io.read_table(spark, paths["reviews_summary"])),
             refresh=args.refresh).select(F.count(F.lit(1)).alias("rows")).show()
@@ -91,7 +82,7 @@ def main(argv: list[str] | None = None) -> int:
         trained = M.train_te_model(feats, settings, model_dir=args.model_dir)
         print(json.dumps(trained.metrics))
     elif args.cmd == "train":
-        paths = _paths(args.clean)
+        paths = C.table_paths(args.clean)
         joined = C.join_reviews(io.read_table(spark, paths["listings_features"]),
                                 io.read_table(spark, paths["reviews_summary"]), keep_listing_id=False)
         if args.space:

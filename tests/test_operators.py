@@ -223,6 +223,42 @@ def test_library_plan_equals_staged_workbench(spark):
     assert sorted(tuple(r) for r in f.collect()) == sorted(tuple(r) for r in b.features.collect())
 
 
+def test_clean_step_reads_the_raw_reviews_once(spark, monkeypatch):
+    import __spark_entry__ as E
+    from checks import workbench
+
+    build, seen = workbench.fixtures.raw_reviews, spark.sparkContext.accumulator(0)
+    raw = build(spark, SMOKE_DIR)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(workbench, "_CACHE", {})
+    monkeypatch.setattr(workbench.fixtures, "raw_reviews", lambda *_: raw.mapInArrow(counted, raw.schema))
+    audit = E.queries()["s4_clean_step_tables_audit"](spark, SMOKE_DIR)
+    assert {r["table_name"] for r in audit.collect()} == {"listings_features", "reviews", "reviews_summary"}
+    assert seen.value == raw.count()
+
+
+@pytest.mark.parametrize("buckets", [None, 4])
+def test_clean_step_writes_the_rows_of_the_clean_tables(spark, buckets):
+    from checks.workbench import bench
+    from rentalytics.plans.cleaning import clean_tables, write_clean_step
+    from rentalytics.session import scratch_path
+    from rentalytics.sources import io
+
+    b = bench(spark, SMOKE_DIR)
+    base = "rentalytics_clean_step" if buckets else scratch_path(spark, "clean_step")
+    paths = write_clean_step(b.raw_listings, b.raw_reviews, base, buckets=buckets)
+    t = clean_tables(b.raw_listings, b.raw_reviews)
+    for name, df in {"listings_features": t.listings, "reviews": t.reviews, "reviews_summary": t.summary}.items():
+        written = io.read_table(spark, paths[name])
+        assert written.dtypes == df.dtypes
+        assert sorted(map(str, written.collect())) == sorted(map(str, df.collect()))
+
+
 def test_review_summary_with_hot_listing(spark):
     """One listing holds a third of all reviews: partial aggregation keeps the
     result exact (checked against pandas)."""
